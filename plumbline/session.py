@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,16 +26,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(name: str = "plumbline", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(name: str = "plumbline", cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
@@ -49,13 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="plumbline-")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has written to yet."""
-    import uuid
-
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
