@@ -1,0 +1,4 @@
+"""All registered queries. Importing the package registers them."""
+
+from plumbline.queries import profiles  # noqa: F401
+from plumbline.queries.registry import ORACLE, QUERIES  # noqa: F401
