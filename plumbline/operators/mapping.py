@@ -170,9 +170,10 @@ def unique_names(columns: DataFrame) -> DataFrame:
     simple = tagged.filter(~F.col("tangled")).select(
         "dataset", "position",
         F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn.cast("string"))).alias("unique"))
+    dataset_type = columns.schema["dataset"].dataType.simpleString()
     tangled = (
-        tagged.filter("tangled").groupBy("dataset", "family")
-        .applyInPandas(_assign_in_order, "dataset string, position long, unique string")
+        tagged.filter("tangled").withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")
+        .applyInPandas(_assign_in_order, f"dataset {dataset_type}, position long, unique string")
     )
     return simple.select("dataset", F.col("position").cast("long").alias("position"), "unique").unionByName(tangled)
 

@@ -11,6 +11,8 @@ numeric key, and only those columns are read for it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,97 +176,120 @@ def resolved(measures: DataFrame) -> DataFrame:
 
 
 _MEASURED = (
-    "position int, name string, type string, rows long, nulls long, spelled_distinct long, min string, max string, "
-    "max_len int, max_scale int, max_int_digits int, date_format string, date_ambiguous boolean, has_time boolean, "
-    "number_style string, spelled_two_ways boolean, out_of_range long, fingerprint string, beyond_limit boolean"
+    "dataset string, position int, name string, type string, rows long, nulls long, spelled_distinct long, min string, "
+    "max string, max_len int, max_scale int, max_int_digits int, date_format string, date_ambiguous boolean, "
+    "has_time boolean, number_style string, spelled_two_ways boolean, out_of_range long, fingerprint string, "
+    "beyond_limit boolean"
 )
 _EMPTY = {"type": "empty", "rows": 0, "nulls": 0, "spelled_distinct": 0, "max_len": 0, "date_ambiguous": False,
-          "has_time": False, "spelled_two_ways": False, "out_of_range": 0, "fingerprint": "", "beyond_limit": False}
+          "has_time": False, "spelled_two_ways": False, "out_of_range": 0, "fingerprint": ""}
+KEYS = ["dataset", "position"]
+
 
+def _all_cells(tables: dict[str, DataFrame], positions: dict[str, list[int]]) -> DataFrame | None:
+    """The cells of the chosen columns of every table, as one DataFrame."""
+    parts = [cells(df, positions[name]).select(F.lit(name).alias("dataset"), "position", "cell")
+             for name, df in tables.items() if positions[name]]
+    return reduce(DataFrame.union, parts) if parts else None
 
-def measure(df: DataFrame, positions: list[int] | None = None) -> DataFrame:
+
+def measure(cell_rows: DataFrame) -> DataFrame:
     """One row per column: everything a profile says, with the distinct count where spellings settle it."""
-    values = dictionary(cells(df, positions), ["position"])
-    return resolved(column_measures(classified(values), ["position"]))
+    return resolved(column_measures(classified(dictionary(cell_rows, KEYS)), KEYS))
 
 
-def measure_unshuffled(df: DataFrame, positions: list[int]) -> DataFrame:
+def measure_unshuffled(cell_rows: DataFrame) -> DataFrame:
     """The same row for columns whose distinct count is not wanted: no value leaves its task."""
-    values = cells(df, positions).select(
-        "position", V.trimmed(F.col("cell")).alias("value"), F.lit(None).cast("int").alias("long_length"),
-        F.lit(1).alias("n"))
-    return resolved(column_measures(classified(values), ["position"]))
-
-
-def columns_beyond(df: DataFrame, limit: int) -> set[int]:
-    """Positions of columns certain to hold more distinct values than ``limit``: a sketch with 1% error says so by
-    more than ten errors."""
-    sketch = cells(df).groupBy("position").agg(
-        F.approx_count_distinct(F.xxhash64(V.trimmed(F.col("cell"))), 0.01).alias("n"))
-    return {int(r["position"]) for r in sketch.filter(F.col("n") > limit * 1.1).collect()}
-
-
-def _measured_rows(df: DataFrame, distinct_limit: int | None) -> list[dict]:
-    beyond = set() if distinct_limit is None else columns_beyond(df, distinct_limit)
-    within = [i for i in range(len(df.columns)) if i not in beyond]
-    rows = [] if not within else measure(df, within).collect()
-    if beyond:
-        rows += measure_unshuffled(df, sorted(beyond)).collect()
-    found = {int(r["position"]): r.asDict() for r in rows}
+    values = cell_rows.select(
+        *KEYS, V.trimmed(F.col("cell")).alias("value"), F.lit(None).cast("int").alias("long_length"), F.lit(1).alias("n"))
+    return resolved(column_measures(classified(values), KEYS))
+
+
+def columns_beyond(cell_rows: DataFrame, limit: int) -> set[tuple[str, int]]:
+    """Columns certain to hold more distinct values than ``limit``: a sketch with 1% error says so by ten errors."""
+    sketch = cell_rows.groupBy(*KEYS).agg(F.approx_count_distinct(F.xxhash64(V.trimmed(F.col("cell"))), 0.01).alias("n"))
+    return {(r["dataset"], int(r["position"])) for r in sketch.filter(F.col("n") > limit * 1.1).collect()}
+
+
+def _measured_rows(tables: dict[str, DataFrame], distinct_limit: int | None) -> list[dict]:
+    every = {name: list(range(len(df.columns))) for name, df in tables.items()}
+    beyond = set() if distinct_limit is None else columns_beyond(_all_cells(tables, every), distinct_limit)
+    counted = _all_cells(tables, {n: [i for i in ps if (n, i) not in beyond] for n, ps in every.items()})
+    uncounted = _all_cells(tables, {n: [i for i in ps if (n, i) in beyond] for n, ps in every.items()})
+    rows = [] if counted is None else measure(counted).collect()
+    rows += [] if uncounted is None else measure_unshuffled(uncounted).collect()
+    found = {(r["dataset"], int(r["position"])): r.asDict() for r in rows}
     fields = T._parse_datatype_string(_MEASURED).names
     measured = []
-    for position, name in enumerate(df.columns):
-        row = {**_EMPTY, **found.get(position, {})}
-        row.update(position=position, name=name, beyond_limit=position in beyond)
-        measured.append({f: row.get(f) for f in fields})
+    for dataset, df in tables.items():
+        for position, name in enumerate(df.columns):
+            row = {**_EMPTY, **found.get((dataset, position), {})}
+            row.update(dataset=dataset, position=position, name=name, beyond_limit=(dataset, position) in beyond)
+            measured.append({f: row.get(f) for f in fields})
     return measured
 
 
-def number_key_counts(df: DataFrame, columns: list[dict]) -> DataFrame:
-    """``(position, keys)``: how many numbers each column holds, whatever their spelling. One shuffle, of keys
-    already made unique on the map side."""
-    keyed = df.select(*[
-        V.number_key(V.from_brazilian(v) if c["number_style"] == "br" else v).alias(str(c["position"]))
-        for c in columns for v in [V.trimmed(F.col(quoted(c["name"])))]
-    ])
-    rows = keyed.unpivot([], [quoted(str(c["position"])) for c in columns], "position", "key")
-    return rows.groupBy(F.col("position").cast("int").alias("position")).agg(F.countDistinct("key").alias("keys"))
-
-
-def profile(df: DataFrame, dataset: str, distinct_limit: int | None = None) -> DataFrame:
-    """The column profile of ``df``, one row per column in ``COLUMN_PROFILE`` order.
+def number_key_counts(tables: dict[str, DataFrame], columns: list[dict]) -> DataFrame:
+    """``(dataset, position, keys)``: how many numbers each column holds, whatever their spelling. One shuffle, of
+    keys already made unique on the map side."""
+    parts = []
+    for dataset, df in tables.items():
+        chosen = [c for c in columns if c["dataset"] == dataset]
+        if not chosen:
+            continue
+        keyed = []
+        for c in chosen:
+            value = V.trimmed(F.col(quoted(c["name"])))
+            text = V.from_brazilian(value) if c["number_style"] == "br" else value
+            keyed.append(V.number_key(text).alias(str(c["position"])))
+        rows = df.select(*keyed).unpivot([], [quoted(str(c["position"])) for c in chosen], "position", "key")
+        parts.append(rows.select(F.lit(dataset).alias("dataset"), "position", "key"))
+    rows = reduce(DataFrame.union, parts)
+    return rows.groupBy("dataset", F.col("position").cast("int").alias("position")).agg(F.countDistinct("key").alias("keys"))
+
+
+def profile_many(tables: dict[str, DataFrame], distinct_limit: int | None = None) -> DataFrame:
+    """The column profiles of several tables, one row per column in ``COLUMN_PROFILE`` order, from the same jobs.
 
     Distinct counts are exact and say what a typed load would tell apart. With ``distinct_limit`` a column holding
     more values reports NULL and ``distinct_capped``; columns far beyond it are recognised by a sketch, and their
     values are never shuffled.
     """
     # Columns are renamed so that names differing only in case can be told apart.
-    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    named = {dataset: df.toDF(*[f"c{i}" for i in range(len(df.columns))]) for dataset, df in tables.items()}
     measured = _measured_rows(named, distinct_limit)
     respelled = [c for c in measured if c["spelled_distinct"] is None and not c["beyond_limit"]]
-    values = [tuple({**c, "name": name}.values()) for c, name in zip(measured, df.columns)]
-    by_column = df.sparkSession.createDataFrame(values, _MEASURED).coalesce(1)
+    values = [tuple({**c, "name": tables[c["dataset"]].columns[c["position"]]}.values()) for c in measured]
+    spark = next(iter(tables.values())).sparkSession
+    by_column = spark.createDataFrame(values, _MEASURED).coalesce(1)
     if respelled:
-        joined = number_key_counts(named, respelled).join(F.broadcast(by_column), "position", "right")
+        joined = number_key_counts(named, respelled).join(F.broadcast(by_column), KEYS, "right")
     else:
         joined = by_column.withColumn("keys", F.lit(None).cast("long"))
     exact = F.when(~F.col("spelled_two_ways") & ~F.col("beyond_limit"), F.coalesce("spelled_distinct", "keys"))
     over = F.lit(False) if distinct_limit is None else F.coalesce(exact > distinct_limit, F.lit(False))
+    capped = F.col("beyond_limit") | over
     filled = F.col("rows") - F.col("nulls")
-    return (
-        joined.withColumn("dataset", F.lit(dataset))
-        .withColumn("distinct_capped", F.col("beyond_limit") | over)
-        .withColumn("distinct", F.when(~F.col("distinct_capped"), exact))
-        .withColumn("null_ratio", F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).otherwise(F.lit(0.0)))
-        .withColumn("is_key_candidate", F.coalesce((F.col("distinct") == filled) & (filled > 0), F.lit(False)))
-        .select(*COLUMN_PROFILE)
-    )
+    counted = joined.withColumns({"distinct_capped": capped, "distinct": F.when(~capped, exact)})
+    return counted.withColumns({
+        "null_ratio": F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).otherwise(F.lit(0.0)),
+        "is_key_candidate": F.coalesce((F.col("distinct") == filled) & (filled > 0), F.lit(False)),
+    }).select(*COLUMN_PROFILE)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """``(rows, duplicate_rows)``: rows equal to an earlier one, compared cell by cell as they are."""
-    key = row_key([F.col(quoted(c)) for c in df.columns])
-    return df.select(key.alias("key")).agg(
+def profile(df: DataFrame, dataset: str, distinct_limit: int | None = None) -> DataFrame:
+    """The column profile of one table; see ``profile_many``."""
+    return profile_many({dataset: df}, distinct_limit)
+
+
+def duplicate_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(dataset, rows, duplicate_rows)``: rows equal to an earlier one, compared cell by cell as they are."""
+    keys = []
+    for dataset, df in tables.items():
+        positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        keys.append(positional.select(
+            F.lit(dataset).alias("dataset"), row_key([F.col(c) for c in positional.columns]).alias("key")))
+    return reduce(DataFrame.union, keys).groupBy("dataset").agg(
         F.count("*").alias("rows"), (F.count("*") - F.countDistinct("key")).alias("duplicate_rows"))
 
 
@@ -273,7 +298,8 @@ def dataset_totals(columns: DataFrame, duplicates: DataFrame, discarded: Column
     totals = columns.groupBy("dataset").agg(
         F.max("rows").alias("rows"), F.count("*").alias("columns"), F.sum("rows").alias("total_cells"),
         F.sum("nulls").alias("empty_cells"))
-    extra = duplicates.select(*[c for c in duplicates.columns if c != "rows"])
-    joined = totals.join(F.broadcast(extra), "dataset") if "dataset" in extra.columns else totals.crossJoin(extra)
+    copies = duplicates.select("dataset", F.col("duplicate_rows").alias("copies"))
+    joined = totals.join(F.broadcast(copies), "dataset", "left").withColumn(
+        "duplicate_rows", F.coalesce("copies", F.lit(0)).cast("long")).drop("copies")
     return joined.withColumn("filled_cells", F.col("total_cells") - F.col("empty_cells")).withColumn(
         "rows_discarded", (F.lit(0) if discarded is None else discarded).cast("long"))

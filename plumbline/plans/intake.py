@@ -29,7 +29,7 @@ def profile_table(df: DataFrame, dataset: str, distinct_limit: int | None = None
     """Profile a table. ``names`` are the real column names when ``df`` carries positional ones."""
     named = df.toDF(*names) if names else df
     columns = P.profile(named, dataset, distinct_limit)
-    duplicates = P.duplicate_rows(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).withColumn("dataset", F.lit(dataset))
+    duplicates = P.duplicate_rows({dataset: df})
     totals = P.dataset_totals(columns, duplicates, F.lit(discarded))
     identical = G.identical_columns(df, columns)
     encodings = df.sparkSession.createDataFrame([(dataset, encoding)], "dataset string, encoding string")

@@ -184,3 +184,296 @@ def _register_profile(name: str) -> None:
 
 for _name in TEXT_TABLES:
     _register_profile(_name)
+
+# ---- several tables at once ---------------------------------------------------------------------------------------
+
+
+def text_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: text_table(spark, sf_dir, name) for name in TEXT_TABLES}
+
+
+def all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_many(text_tables(spark, sf_dir))
+
+
+ALL_COLUMNS_SQL = " UNION ALL ".join(f"(SELECT * FROM ({profile_sql(text_table_sql(n), list(TEXT_TABLES[n]), n)}))" for n in TEXT_TABLES)
+DUPLICATES_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, count(*) AS rows, count(*) - count(DISTINCT {{{', '.join(repr(c) + ': ' + c for c in TEXT_TABLES[n])}}}) AS duplicate_rows FROM ({text_table_sql(n)})"
+    for n in TEXT_TABLES)
+
+
+@query("profile_all_tables", ALL_COLUMNS_SQL)
+def _profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_columns(spark, sf_dir).drop("out_of_range", "fingerprint")
+
+
+@query("duplicate_rows_all_tables", DUPLICATES_SQL)
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.duplicate_rows(text_tables(spark, sf_dir))
+
+
+@query("duplicate_document_texts", "SELECT 'documents' AS dataset, count(*) AS rows, count(*) - count(DISTINCT {'t': text, 'l': lang, 's': source}) AS duplicate_rows FROM documents")
+def _document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.duplicate_rows({"documents": spread(table(spark, sf_dir, "documents").select("text", "lang", "source"))})
+
+
+TOTALS_SQL = f"""SELECT c.dataset, c.rows, c.columns, c.total_cells, c.empty_cells, d.duplicate_rows,
+  c.total_cells - c.empty_cells AS filled_cells, CAST(0 AS BIGINT) AS rows_discarded
+  FROM (SELECT dataset, max(rows) AS rows, count(*) AS columns, CAST(sum(rows) AS BIGINT) AS total_cells,
+    CAST(sum(nulls) AS BIGINT) AS empty_cells FROM ({ALL_COLUMNS_SQL}) GROUP BY dataset) c
+  JOIN ({DUPLICATES_SQL}) d USING (dataset)"""
+
+
+def all_totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tables = text_tables(spark, sf_dir)
+    columns = P.profile_many(tables)
+    return columns, P.dataset_totals(columns, P.duplicate_rows(tables))
+
+
+@query("dataset_totals", TOTALS_SQL)
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_totals(spark, sf_dir)[1]
+
+
+@query("quality_ratios", f"""SELECT t.dataset, filled_cells / total_cells AS completeness, (rows - duplicate_rows) / rows AS row_uniqueness,
+  q.consistent / t.columns AS type_consistency, CAST(1 AS DOUBLE) AS name_compatibility, CAST(1 AS DOUBLE) AS rows_kept
+  FROM ({TOTALS_SQL}) t JOIN (SELECT dataset, count(*) FILTER (type <> 'mixed') AS consistent FROM ({ALL_COLUMNS_SQL}) GROUP BY dataset) q USING (dataset)""")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.quality(*all_totals(spark, sf_dir))
+
+
+@query("column_notes", f"""SELECT dataset, position, name, concat_ws('; ', CASE WHEN is_key_candidate THEN 'candidata a chave (valores únicos)' END,
+  CASE type WHEN 'decimal' THEN 'decimal(' || (max_int_digits + max_scale) || ',' || max_scale || ') é o mínimo observado' || CASE WHEN number_style = 'br' THEN '; vírgula decimal e ponto de milhar' ELSE '' END
+    WHEN 'integer' THEN 'faixa ' || min || ' a ' || max
+    WHEN 'date' THEN 'de ' || min || ' a ' || max || '; formato ' || date_format || CASE WHEN date_ambiguous THEN ' (ambíguo: dia/mês assumido)' ELSE '' END
+    WHEN 'text' THEN CASE WHEN max_len > 0 THEN 'até ' || max_len || ' caracteres' END END) AS note FROM ({ALL_COLUMNS_SQL})""")
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.column_notes(all_columns(spark, sf_dir))
+
+
+# ---- flags --------------------------------------------------------------------------------------------------------
+
+FLAGGED_COLUMNS = {
+    "doc id": ("CAST(d.doc_id AS STRING)",) * 2,
+    "lang": ("lang",) * 2,
+    "Lang": ("CASE WHEN d.doc_id % 2 = 0 THEN lang ELSE CAST(d.doc_id AS STRING) END",) * 2,
+    "language": ("lang",) * 2,
+    "quality": ("CAST(quality AS STRING)",) * 2,
+    "day": ("concat('0', CAST(1 + n_chars % 9 AS STRING), '/0', CAST(1 + d.doc_id % 9 AS STRING), '/2024')",) * 2,
+}
+
+
+def flagged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels and columns that deserve every flag a table can raise."""
+    joined = table(spark, sf_dir, "documents").alias("d").join(table(spark, sf_dir, "labels").alias("l"), "doc_id", "left")
+    return joined.selectExpr(*[f"{sql.replace('d.doc_id', 'doc_id')} AS `{c}`" for c, (sql, _) in FLAGGED_COLUMNS.items()])
+
+
+FLAGGED_SQL = "SELECT " + ", ".join(
+    f"{sql.replace('STRING', 'VARCHAR')} AS f{i}" for i, (_, sql) in enumerate(FLAGGED_COLUMNS.values())
+) + " FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+_FLAGGED_PROFILE = profile_sql(FLAGGED_SQL, [f"f{i}" for i in range(len(FLAGGED_COLUMNS))], "labelled documents")
+
+
+@query("quality_flags", f"""WITH p AS ({_FLAGGED_PROFILE}),
+  t AS (SELECT count(*) - count(DISTINCT {{'a': f0, 'b': f1, 'c': f2, 'd': f3, 'e': f4, 'f': f5}}) AS n FROM ({FLAGGED_SQL}))
+  SELECT * FROM (SELECT 'labelled documents' AS dataset, CAST(0 AS INTEGER) AS ordinal, 'column_names' AS kind, '''doc id''' AS items, CAST(1 AS INTEGER) AS n_items
+  UNION ALL SELECT 'labelled documents', 1, 'duplicate_columns', 'lang, Lang', 1
+  UNION ALL SELECT 'labelled documents', 3, 'identical_columns', 'lang = language', CAST(1 AS INTEGER) WHERE (SELECT count(*) FROM documents WHERE lang IS DISTINCT FROM lang) = 0
+  UNION ALL SELECT 'labelled documents', 4, 'mixed_types', string_agg(CASE position WHEN 2 THEN 'Lang' ELSE name END, ' | ' ORDER BY position), CAST(count(*) AS INTEGER) FROM p WHERE type = 'mixed' HAVING count(*) > 0
+  UNION ALL SELECT 'labelled documents', 5, 'ambiguous_dates', string_agg('day (assumido ' || date_format || ')', ' | '), CAST(count(*) AS INTEGER) FROM p WHERE date_ambiguous HAVING count(*) > 0
+  UNION ALL SELECT 'labelled documents', 7, 'mostly_empty', string_agg('quality (' || CAST(round_even(null_ratio * 100, 0) AS INTEGER) || '% vazia)', ' | '), CAST(count(*) AS INTEGER) FROM p WHERE null_ratio > 0.5 HAVING count(*) > 0
+  UNION ALL SELECT 'labelled documents', 8, 'duplicate_rows', n || ' linhas idênticas a uma anterior', CAST(1 AS INTEGER) FROM t WHERE n > 0)""")
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flagged_table(spark, sf_dir)
+    named = {"labelled documents": rows}
+    columns = P.profile_many(named)
+    totals = P.dataset_totals(columns, P.duplicate_rows(named))
+    raised = G.flags(columns, totals, G.identical_columns(rows, columns))
+    return raised.drop("title").withColumn("items", F.concat_ws(" | ", "items"))
+
+
+@query("flag_listing", """SELECT p_type AS dataset, CASE WHEN count(*) > 8 THEN string_agg(item, ' | ' ORDER BY rn) FILTER (rn <= 8) || ' | … e mais ' || (count(*) - 8)
+  ELSE string_agg(item, ' | ' ORDER BY rn) END AS items, count(*) AS n_items
+  FROM (SELECT p_type, p_brand AS item, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS rn FROM (SELECT DISTINCT p_type, p_brand FROM part)) GROUP BY p_type""")
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("dataset")).agg(F.array_sort(F.collect_set("p_brand")).alias("all"))
+    return brands.select("dataset", F.concat_ws(" | ", G.listed(F.col("all"))).alias("items"), F.size("all").cast("long").alias("n_items"))
+
+
+# ---- values -------------------------------------------------------------------------------------------------------
+
+
+def classified_cells(df: DataFrame) -> DataFrame:
+    return P.classified(P.dictionary(cells(df), ["position"]))
+
+
+_ORDER_CELLS = " UNION ALL ".join(f"SELECT {i} AS position, {c} AS cell FROM src" for i, c in enumerate(TEXT_TABLES["events"]))
+
+
+@query("value_kinds", f"WITH src AS ({text_table_sql('events')}), cells AS ({_ORDER_CELLS}),{readings_sql('cells', 'position')} "
+       "SELECT CAST(position AS INTEGER) AS position, kind, count(*) AS cells, count(DISTINCT value) AS spellings FROM readings GROUP BY ALL")
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classified_cells(text_table(spark, sf_dir, "events"))
+    return found.groupBy(F.col("position").cast("int").alias("position"), "kind").agg(
+        F.sum("n").alias("cells"), F.count("value").alias("spellings"))
+
+
+_DATE_CELLS = "SELECT strftime(l_shipdate, '%d/%m/%Y') AS cell FROM lineitem UNION ALL SELECT strftime(l_shipdate, '%-m-%-d-%Y %H:%M') FROM lineitem UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders"
+
+
+@query("date_readings", f"WITH cells AS ({_DATE_CELLS}),{readings_sql('cells', '1 AS one')} SELECT value, CAST(day_first AS VARCHAR) AS day_first, "
+       "CAST(month_first AS VARCHAR) AS month_first, count(*) AS n FROM readings GROUP BY ALL")
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    texts = (items.select(F.date_format("l_shipdate", "dd/MM/yyyy").alias("value"))
+             .union(items.select(F.date_format("l_shipdate", "M-d-yyyy HH:mm")))
+             .union(orders.select(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))))
+    counted = texts.groupBy("value").agg(F.count("*").alias("n"))
+    # Every value is a date; a filter on the reading would be pushed below its steps and repeat them all.
+    return V.with_date(counted).select(
+        "value", F.col("date.day_first").cast("string").alias("day_first"),
+        F.col("date.month_first").cast("string").alias("month_first"), "n")
+
+
+_NUMBER_CELLS = """SELECT l_returnflag, translate(format('{:,.2f}', l_extendedprice), ',.', '.,') AS cell FROM lineitem
+  UNION ALL SELECT l_returnflag, lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 4, '0') FROM lineitem
+  UNION ALL SELECT l_returnflag, CAST(CAST(l_extendedprice AS DECIMAL(18,3)) AS VARCHAR) FROM lineitem"""
+
+
+@query("number_readings", f"""WITH cells AS ({_NUMBER_CELLS}),{readings_sql('cells', 'l_returnflag')}
+  SELECT l_returnflag, kind, count(*) AS n, CAST(sum(us) AS DOUBLE) AS us_sum, CAST(sum(br) AS DOUBLE) AS br_sum,
+    count(DISTINCT us) AS us_numbers, count(DISTINCT br) AS br_numbers, CAST(max({_digits('coalesce(us_text, br_text)')}) AS INTEGER) AS digits,
+    CAST(max({_scale('coalesce(us_text, br_text)')}) AS INTEGER) AS scale FROM readings GROUP BY ALL""")
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spread(table(spark, sf_dir, "lineitem"))
+    texts = items.selectExpr("l_returnflag", "translate(format_number(l_extendedprice, 2), ',.', '.,') AS a",
+                             "lpad(CAST(CAST(l_quantity AS INT) AS STRING), 4, '0') AS b",
+                             "CAST(CAST(l_extendedprice AS DECIMAL(18,3)) AS STRING) AS c")
+    rows = texts.unpivot(["l_returnflag"], ["a", "b", "c"], "source", "cell")
+    found = P.classified(P.dictionary(rows, ["l_returnflag"]))
+    text = F.coalesce("us_text", "br_text")
+    keyed = found.withColumn("us_key", V.number_key(F.col("us_text"))).withColumn("br_key", V.number_key(F.col("br_text")))
+    return keyed.groupBy("l_returnflag", "kind").agg(
+        F.sum("n").alias("n"), F.sum(F.col("us") * F.col("n")).cast("double").alias("us_sum"),
+        F.sum(F.col("br") * F.col("n")).cast("double").alias("br_sum"),
+        F.countDistinct("us_key").alias("us_numbers"), F.countDistinct("br_key").alias("br_numbers"),
+        F.max(V.integer_digits(text)).alias("digits"), F.max(V.fraction_digits(text)).alias("scale"))
+
+
+# ---- names --------------------------------------------------------------------------------------------------------
+
+_SNAKE_SQL = """(SELECT left(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END, 128) FROM (SELECT CASE WHEN t = '' THEN 'coluna' ELSE t END AS s
+  FROM (SELECT lower(trim(regexp_replace(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g'), '[^0-9a-zA-Z]+', '_', 'g'), '_')) AS t)))"""
+
+
+@query("safe_names", "SELECT name, " + _SNAKE_SQL.format("name") + " AS safe, count(*) AS n FROM "
+       "(SELECT text AS name FROM documents UNION ALL SELECT p_name FROM part UNION ALL SELECT c_acctbal || ' ' || c_mktsegment || '!' FROM customer UNION ALL SELECT '***' FROM supplier) GROUP BY name")
+def _safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = (table(spark, sf_dir, "documents").select(F.col("text").alias("name"))
+             .union(table(spark, sf_dir, "part").select("p_name"))
+             .union(table(spark, sf_dir, "customer").selectExpr("concat(c_acctbal, ' ', c_mktsegment, '!')"))
+             .union(table(spark, sf_dir, "supplier").select(F.lit("***"))))
+    return names.groupBy("name").agg(F.count("*").alias("n")).select("name", N.snake_case(F.col("name")).alias("safe"), "n")
+
+
+@query("name_keys", r"SELECT regexp_replace(lower(name), '[^\p{L}\p{N}]', '', 'g') AS name_key, count(*) AS n, count(DISTINCT name) AS spellings FROM "
+       "(SELECT p_type || ' ' || p_brand AS name FROM part UNION ALL SELECT url FROM pages UNION ALL SELECT text FROM conversations) GROUP BY 1")
+def _name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = (table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+             .union(table(spark, sf_dir, "pages").select("url")).union(table(spark, sf_dir, "conversations").select("text")))
+    return names.groupBy(N.name_key(F.col("name")).alias("name_key")).agg(
+        F.count("*").alias("n"), F.countDistinct("name").alias("spellings"))
+
+
+@query("table_names_from_files", r"""SELECT url, left(CASE WHEN regexp_matches(s, '^[a-z_]') THEN s ELSE 't_' || s END, 100) AS table_name FROM
+  (SELECT url, CASE WHEN t = '' THEN 'dataset' ELSE t END AS s FROM (SELECT url, lower(trim(regexp_replace(regexp_replace(string_split(url, '/')[-1] || '.csv', '[.][^.]*$', ''), '[^A-Za-z0-9_]+', '_', 'g'), '_')) AS t FROM pages))""")
+def _table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file_name = F.concat(F.substring_index("url", "/", -1), F.lit(".csv"))
+    return table(spark, sf_dir, "pages").select("url", N.table_name(file_name).alias("table_name"))
+
+
+@query("privacy_hints", """SELECT hint, count(*) AS n FROM (SELECT CASE
+  WHEN regexp_matches(name, '(^|_|\\b)(nome|name|sobrenome|surname)(_|\\b|$)', 'i') THEN 'nome de pessoa'
+  WHEN regexp_matches(name, 'e-?mail', 'i') THEN 'e-mail'
+  WHEN regexp_matches(name, '(^|_|\\b)(cpf|cnpj|rg|passaporte|passport)(_|\\b|$)', 'i') THEN 'documento (CPF, CNPJ, RG)'
+  WHEN regexp_matches(name, 'telefone|phone|celular|fone|whatsapp', 'i') THEN 'telefone'
+  WHEN regexp_matches(name, 'endere[cç]o|address|(^|_|\\b)(cep|zip|postal)(_|\\b|$)', 'i') THEN 'endereço ou CEP'
+  WHEN regexp_matches(name, 'nascimento|birth|(^|_|\\b)dob(_|\\b|$)', 'i') THEN 'data de nascimento'
+  WHEN regexp_matches(name, 'senha|password|token|secret', 'i') THEN 'credencial'
+  WHEN regexp_matches(name, 'sal[aá]rio|salary|remunera', 'i') THEN 'remuneração' END AS hint
+  FROM (SELECT lower(p_brand) || '_' || p_name AS name FROM part UNION ALL SELECT lower(c_mktsegment) || '_name' FROM customer
+    UNION ALL SELECT 'supplier' || s_suppkey || '_phone' FROM supplier UNION ALL SELECT html FROM pages)) GROUP BY hint""")
+def _privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = (table(spark, sf_dir, "part").select(F.concat(F.lower("p_brand"), F.lit("_"), "p_name").alias("name"))
+             .union(table(spark, sf_dir, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit("_name"))))
+             .union(table(spark, sf_dir, "supplier").selectExpr("concat('supplier', s_suppkey, '_phone')"))
+             .union(spread(table(spark, sf_dir, "pages")).select("html")))
+    return names.groupBy(N.privacy_hint(F.col("name")).alias("hint")).agg(F.count("*").alias("n"))
+
+
+@query("spreadsheet_safe_cells", """SELECT id, md5(CASE WHEN left(cell, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || cell ELSE cell END) AS safe_md5 FROM
+  (SELECT 'd' || doc_id AS id, text AS cell FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, '=' || text FROM conversations
+   UNION ALL SELECT 's' || s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM supplier)""")
+def _csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (table(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) AS id", "text AS cell")
+            .union(table(spark, sf_dir, "conversations").selectExpr("concat('c', conv_id, '-', turn)", "concat('=', text)"))
+            .union(table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey)", "CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS STRING)")))
+    return rows.select("id", F.md5(N.csv_safe(F.col("cell"))).alias("safe_md5"))
+
+
+_NAME_ROWS_SQL = "SELECT p_brand AS dataset, p_partkey AS position, CASE WHEN p_size < 10 THEN p_name ELSE replace(p_name, ' ', '') END AS name FROM part"
+
+
+def _name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS dataset", "p_partkey AS position", "CASE WHEN p_size < 10 THEN p_name ELSE replace(p_name, ' ', '') END AS name")
+
+
+@query("unsafe_column_names", f"SELECT dataset, count(*) AS n, string_agg(name, '|' ORDER BY position) AS names FROM ({_NAME_ROWS_SQL}) WHERE regexp_matches(name, '[ ,;{{}}()\\n\\t=]') GROUP BY dataset")
+def _unsafe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _name_rows(spark, sf_dir).filter(N.is_unsafe_name(F.col("name")))
+    return bad.groupBy("dataset").agg(F.count("*").alias("n"), F.concat_ws("|", G.in_order("position", F.col("name"))).alias("names"))
+
+
+@query("clashing_column_names", f"SELECT dataset, min(position) AS p, string_agg(name, ', ' ORDER BY position) AS item FROM ({_NAME_ROWS_SQL}) GROUP BY dataset, lower(trim(name)) HAVING count(*) > 1")
+def _clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.clashing_names(_name_rows(spark, sf_dir))
+
+
+# ---- types --------------------------------------------------------------------------------------------------------
+
+
+@query("target_column_types", f"""SELECT dataset, name, CASE WHEN type IN ('integer', 'decimal') THEN
+    'DECIMAL(' || least(38, greatest(1, max_int_digits + max_scale + 4)) || ',' || max_scale || ')' ELSE 'DECIMAL(38,10)' END AS decimal_type,
+  'VARCHAR(' || (SELECT coalesce(min(b), 8000) FROM (VALUES (16), (32), (64), (128), (256), (512), (1024), (4000), (8000)) v(b) WHERE b >= greatest(max_len, 1) * 2) || ')' AS varchar_type
+  FROM ({ALL_COLUMNS_SQL})""")
+def _target_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_columns(spark, sf_dir).select(
+        "dataset", "name", Y.decimal_type(F.col("max_int_digits"), F.col("max_scale")).alias("decimal_type"),
+        Y.varchar_type(F.col("max_len")).alias("varchar_type"))
+
+
+CONFLICT_SQL = """CASE WHEN s IN ('int', 'bigint', 'double', 'decimal') AND type NOT IN ('integer', 'decimal') THEN 'a coluna é ' || type || ', não numérica'
+  WHEN s IN ('int', 'bigint') AND type = 'decimal' THEN 'há casas decimais que seriam perdidas'
+  WHEN s = 'int' AND greatest(abs(CAST(min AS DOUBLE)), abs(CAST(max AS DOUBLE))) > 2147483647 THEN 'valores até ' || max || ' não cabem em int (use bigint)'
+  WHEN s = 'boolean' AND type <> 'boolean' THEN 'a coluna é ' || type || ', não booleana'
+  WHEN s IN ('date', 'timestamp') AND type <> 'date' THEN 'a coluna é ' || type || ', não tem um formato de data reconhecido'
+  WHEN s = 'date' AND has_time THEN 'os valores têm hora, que se perderia em date (use timestamp)' END"""
+INFERRED_SQL = """CASE WHEN type = 'integer' THEN CASE WHEN greatest(abs(CAST(min AS DOUBLE)), abs(CAST(max AS DOUBLE))) > 2147483647 THEN 'bigint' ELSE 'int' END
+  WHEN type = 'date' THEN CASE WHEN has_time THEN 'timestamp' ELSE 'date' END WHEN type IN ('decimal', 'boolean') THEN type ELSE 'string' END"""
+SAFE_SQL = f"""CASE WHEN s IN ('int', 'bigint') AND type = 'integer' THEN 'bigint' WHEN s IN ('int', 'bigint', 'double') AND type = 'decimal' THEN 'decimal'
+  WHEN s IN ('date', 'timestamp') AND type = 'date' THEN CASE WHEN has_time THEN 'timestamp' ELSE 'date' END
+  WHEN s IN ('int', 'bigint', 'double', 'decimal', 'boolean', 'date', 'timestamp') THEN 'string' ELSE {INFERRED_SQL} END"""
+
+
+@query("type_conflicts", f"""SELECT dataset, name, s AS suggested, {CONFLICT_SQL} AS conflict, {INFERRED_SQL} AS inferred, {SAFE_SQL} AS safe
+  FROM (SELECT * REPLACE (CASE WHEN type IN ('integer', 'decimal') THEN min END AS min, CASE WHEN type IN ('integer', 'decimal') THEN max END AS max) FROM ({ALL_COLUMNS_SQL})),
+  (VALUES ('string'), ('int'), ('bigint'), ('double'), ('decimal'), ('boolean'), ('date'), ('timestamp')) v(s)""")
+def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = all_columns(spark, sf_dir).withColumn("suggested", F.explode(F.array(*[F.lit(t) for t in Y.TARGET_TYPES])))
+    measured = [F.col(c) for c in ("min", "max", "has_time")]
+    kind, suggested = F.col("type"), F.col("suggested")
+    return each.select(
+        "dataset", "name", "suggested", Y.type_conflict(kind, suggested, *measured).alias("conflict"),
+        Y.inferred_type(kind, *measured).alias("inferred"), Y.safe_type(kind, suggested, *measured).alias("safe"))

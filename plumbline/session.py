@@ -34,6 +34,8 @@ def local_session(name: str = "plumbline", cores: int | str = "*", shuffle_parti
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
+        # Recording the call site of every expression costs seconds on plans of this size.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
