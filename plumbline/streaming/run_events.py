@@ -11,10 +11,10 @@ from plumbline.operators.runs import fold_events
 from plumbline.session import fresh_path
 
 
-def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The files under ``path`` as a stream, with the schema they have now."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+def stream_parquet(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """The matching files of a folder as a stream, with the schema they have now."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def _run_to_end(stream: DataFrame, out: str, mode: str) -> None:
