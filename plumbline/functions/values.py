@@ -49,14 +49,15 @@ def kind(value: Column, date: Column) -> Column:
     away from the regular expressions.
     """
     numeric_start = F.ascii(value).between(ord("+"), ord("9"))
-    short = F.octet_length(value).between(4, 5)
+    # A pattern, because lower() goes through the full Unicode case tables.
+    boolean = F.octet_length(value).between(4, 5) & value.rlike("(?i)^(true|false)$")
     return (
         F.when(value.isNull(), None)
         .when(numeric_start & value.rlike(INTEGER), "integer")
         .when(numeric_start & value.rlike(THOUSANDS), "int_thousands")
         .when(numeric_start & value.rlike(DECIMAL_BR), "decimal_br")
         .when(numeric_start & value.rlike(DECIMAL_US), "decimal")
-        .when(short & F.lower(value).isin("true", "false"), "boolean")
+        .when(boolean, "boolean")
         .when(date.isNotNull(), "date")
         .otherwise("text")
     )
@@ -88,28 +89,26 @@ def number_key(text: Column) -> Column:
 
     Plain text work, so numbers beyond the decimal range keep distinct keys.
     """
-    scientific = F.contains(F.lower(text), F.lit("e"))
-    plain = F.when(scientific, F.coalesce(number(text).cast("string"), text)).otherwise(text)
+    plain = F.when(text.rlike("[eE]"), F.coalesce(number(text).cast("string"), text)).otherwise(text)
     stripped = F.regexp_replace(plain, r"^\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$", "$1$2.$3")
     return F.when(stripped == "-.", ".").otherwise(stripped)
 
 
 def plain_spelling(text: Column) -> Column:
-    """Whether a number is spelled without a sign to drop, a needless leading zero or an exponent."""
-    return text.rlike(r"^-?(0|[1-9][0-9]*)?(\.[0-9]*)?$") & ~text.rlike(r"^-[0.]*$")
+    """Whether a number is spelled without a plus, a needless or missing zero before the point, a point without
+    digits, a negative zero or an exponent."""
+    return text.rlike(r"^(?!-[0.]*$)-?(0|[1-9][0-9]*)(\.[0-9]+)?$")
 
 
 def integer_digits(text: Column) -> Column:
     """Digits before the point without leading zeros, at least one. The exponent is ignored."""
-    mantissa = F.substring_index(F.lower(text), "e", 1)
-    whole = F.ltrim(F.substring_index(mantissa, ".", 1), F.lit("+-0"))
+    whole = F.regexp_extract(text, "^[+-]?0*([0-9]*)", 1)
     return F.when(text.isNotNull(), F.greatest(F.length(whole), F.lit(1)))
 
 
 def fraction_digits(text: Column) -> Column:
-    mantissa = F.substring_index(F.lower(text), "e", 1)
-    point = F.instr(mantissa, ".")
-    return F.when(point > 0, F.length(mantissa) - point).when(text.isNotNull(), 0)
+    """Digits after the point. The exponent is ignored."""
+    return F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
 
 
 def _calendar_day(year: Column, month: Column, day: Column) -> Column:

@@ -80,10 +80,23 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(F.col("value").isNotNull(), F.shiftrightunsigned(hashed, i * DIGEST_BITS).bitwiseAND(mask) * n))
         for i in range(3)
     ]
-    numeric_text = F.coalesce(F.col("us_text"), F.col("br_text"))
-    scale = F.coalesce(F.col("us_scale"), F.col("br_scale"))
-    lost = numeric_text.isNotNull() & F.col("us").isNull() & F.col("br").isNull()
-    trailing_zero = F.endswith(numeric_text, F.lit("0")) & (scale > 0)
+    numeric = F.col("us_text").isNotNull() | F.col("br_text").isNotNull()
+    lost = numeric & F.col("us").isNull() & F.col("br").isNull()
+    grouped = F.when(F.col("kind").isin("decimal_br", "int_thousands"), F.when(F.contains("value", F.lit(".")), 1)
+                     .when(V.integer_digits(F.col("br_text")) > 3, 2)).when(
+        (F.col("kind") == "integer") & (F.octet_length("value") > 3), 2)
+
+    def spellings(reading: str) -> list[Column]:
+        """What tells whether one number may be spelled in two ways under a reading."""
+        text, scale = F.col(f"{reading}_text"), F.col(f"{reading}_scale")
+        trailing_zero = F.endswith(text, F.lit("0")) & (scale > 0)
+        return [
+            F.max(V.integer_digits(text)).alias(f"{reading}_digits"),
+            F.min(scale).alias(f"{reading}_scale_low"), F.max(scale).alias(f"{reading}_scale"),
+            F.count_if(~V.plain_spelling(text)).alias(f"{reading}_odd"),
+            F.max(F.when(trailing_zero, scale).otherwise(0)).alias(f"{reading}_zero_scale"),
+        ]
+
     date = F.col("date")
     true_bit = F.when(F.col("kind") == "boolean", F.when(F.lower("value") == "true", 1).otherwise(2)).otherwise(0)
     return readings.groupBy(*keys).agg(
@@ -96,13 +109,7 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("kind") == "boolean").alias("boolean_spellings"),
         F.min("us").alias("us_low"), F.max("us").alias("us_high"),
         F.min("br").alias("br_low"), F.max("br").alias("br_high"),
-        F.max(V.integer_digits(F.col("us_text"))).alias("us_digits"),
-        F.max("us_scale").alias("us_scale"),
-        F.max(V.integer_digits(F.col("br_text"))).alias("br_digits"),
-        F.max("br_scale").alias("br_scale"),
-        F.min(scale).alias("scale_low"), F.max(scale).alias("scale_high"),
-        F.count_if(~V.plain_spelling(numeric_text)).alias("odd_spellings"),
-        F.max(F.when(trailing_zero, scale).otherwise(0)).alias("zero_scale"),
+        *spellings("us"), *spellings("br"), F.coalesce(F.bit_or(grouped), F.lit(0)).alias("grouping"),
         F.sum(F.when(lost, n).otherwise(0)).alias("out_of_range"),
         F.min(date["code"]).alias("code_low"), F.max(date["code"]).alias("code_high"),
         F.coalesce(F.bit_or(date["flags"]), F.lit(0)).alias("date_flags"),
@@ -149,12 +156,11 @@ def resolved(measures: DataFrame) -> DataFrame:
         day = F.when(month_first, F.col(f"month_first_{part}")).otherwise(F.col(f"day_first_{part}"))
         return F.when(is_number, V.plain_number(reading(part))).when(is_date, day.cast("string"))
 
-    # Spellings are one per number when all have the same scale, or none ends in a zero it could do without.
-    one_spelling = (F.col("odd_spellings") == 0) & ~seen("int_thousands") & ~seen("decimal_br") & (
-        (F.col("scale_low") == F.col("scale_high"))
-        | (F.col("zero_scale") == 0)
-        | ((F.col("zero_scale") == 1) & (F.col("scale_low") >= 1))
-    )
+    # Spellings are one per number when all have the same scale, or none ends in a zero it could do without; in
+    # the Brazilian reading thousands must also be grouped always or never.
+    low, high, zeros = reading("scale_low"), reading("scale"), reading("zero_scale")
+    one_spelling = (reading("odd") == 0) & (~br | (F.col("grouping") != 3)) & (
+        (low == high) | (zeros == 0) | ((zeros == 1) & (low >= 1)))
     truths = F.bit_count("truths").cast("long")
     return typed.select(
         "*",
