@@ -81,12 +81,16 @@ def typed_projection(raw: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
     return raw.select(*[converted(p).alias(p.target) for p in plans])
 
 
-def lost_values(raw: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
-    """``(target, lost)``: per column, cells that hold something and convert to nothing. One pass for all columns."""
-    lost = raw.agg(*[
+def _lost_and_rows(raw: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
+    """One row: the number of rows and, per column, of cells that hold something and convert to nothing."""
+    return raw.agg(F.count("*").alias("rows"), *[
         F.count_if(V.trimmed(F.col(quoted(p.source))).isNotNull() & converted(p).isNull()).alias(f"c{i}")
         for i, p in enumerate(plans)])
-    return lost.select(F.explode(F.array(*[
+
+
+def lost_values(raw: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
+    """``(target, lost)``: per column, cells that hold something and convert to nothing. One pass for all columns."""
+    return _lost_and_rows(raw, plans).select(F.explode(F.array(*[
         F.struct(F.lit(p.target).alias("target"), F.col(f"c{i}").alias("lost")) for i, p in enumerate(plans)])).alias("r")
     ).select("r.*")
 
@@ -121,13 +125,15 @@ def load_table(raw: DataFrame, plans: list[ColumnPlan], path: str, expected_rows
     """Append the typed rows to the parquet table at ``path``, or refuse and write nothing."""
     spark = raw.sparkSession
     N.check_path(path)
-    lost = {r["target"]: r["lost"] for r in lost_values(raw, plans).filter("lost > 0").collect()}
+    measured = _lost_and_rows(raw, plans).first()
+    lost = {p.target: measured[f"c{i}"] for i, p in enumerate(plans) if measured[f"c{i}"]}
     if lost:
         raise LoadRefused(f"the conversion loses values (column: rows): {lost}")
     out = typed_projection(raw, plans)
+    rows = measured["rows"]
     if drop_duplicates:
         out = out.dropDuplicates()
-    rows = out.count()
+        rows = out.count()
     if rows != expected_rows:
         raise LoadRefused(f"{rows} rows to load, {expected_rows} measured on the source")
     if has_rows(spark, path):

@@ -158,18 +158,21 @@ def _assign_in_order(group: pd.DataFrame) -> pd.DataFrame:
 def unique_names(columns: DataFrame) -> DataFrame:
     """``(dataset, position, base)`` to ``(dataset, position, unique)``: earlier columns keep their names.
 
-    Names can only meet inside a family: the same name once trailing ``_<number>`` parts are cut off. A family with
-    one name is numbered by a window; only families in which ``name`` and ``name_2`` both occur need their columns
-    taken one after the other.
+    Names can only meet inside a family: the same name once trailing ``_<number>`` parts are cut off. Repeats are
+    numbered by a window; only families in which a repeated name meets other names need their columns taken one after
+    the other. A family holds columns of one table, so its size is bounded by the width of a table.
     """
-    family = columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", ""))
     per_family = Window.partitionBy("dataset", "family")
-    tagged = family.withColumn("tangled", F.min("base").over(per_family) != F.max("base").over(per_family))
-    order = Window.partitionBy("dataset", "family").orderBy("position")
-    turn = F.row_number().over(order)
+    per_name = Window.partitionBy("dataset", "family", "base").orderBy("position")
+    tagged = (
+        columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", ""))
+        .withColumn("turn", F.row_number().over(per_name))
+        .withColumn("tangled", (F.min("base").over(per_family) != F.max("base").over(per_family))
+                    & (F.max("turn").over(per_family) > 1))
+    )
     simple = tagged.filter(~F.col("tangled")).select(
         "dataset", "position",
-        F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn.cast("string"))).alias("unique"))
+        F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("turn").cast("string"))).alias("unique"))
     dataset_type = columns.schema["dataset"].dataType.simpleString()
     tangled = (
         tagged.filter("tangled").withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")

@@ -55,12 +55,16 @@ def classified(values: DataFrame) -> DataFrame:
     texts = kinds.withColumn("us_text", V.us_text(F.col("value"), F.col("kind"))).withColumn(
         "br_text", V.br_text(F.col("value"), F.col("kind"))
     )
-    return (
-        texts.withColumn("us", V.number(F.col("us_text")))
-        .withColumn("br", F.when(F.col("kind") == "integer", F.col("us")).otherwise(V.number(F.col("br_text"))))
-        .withColumn("us_scale", V.fraction_digits(F.col("us_text")))
-        .withColumn("br_scale", V.fraction_digits(F.col("br_text")))
-    )
+    def shaped(reading: str) -> dict[str, Column]:
+        text = F.col(f"{reading}_text")
+        return {reading: V.number(text), f"{reading}_digits": V.integer_digits(text),
+                f"{reading}_scale": V.fraction_digits(text), f"{reading}_plain": V.plain_spelling(text)}
+
+    # An integer reads the same both ways: it is shaped once.
+    integer = F.col("kind") == "integer"
+    us = shaped("us")
+    br = {name: F.when(integer, F.col(name.replace("br", "us"))).otherwise(c) for name, c in shaped("br").items()}
+    return texts.withColumns(us).withColumns(br)
 
 
 def _kind_bit(kind: Column) -> Column:
@@ -83,7 +87,7 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
     numeric = F.col("us_text").isNotNull() | F.col("br_text").isNotNull()
     lost = numeric & F.col("us").isNull() & F.col("br").isNull()
     grouped = F.when(F.col("kind").isin("decimal_br", "int_thousands"), F.when(F.contains("value", F.lit(".")), 1)
-                     .when(V.integer_digits(F.col("br_text")) > 3, 2)).when(
+                     .when(F.col("br_digits") > 3, 2)).when(
         (F.col("kind") == "integer") & (F.octet_length("value") > 3), 2)
 
     def spellings(reading: str) -> list[Column]:
@@ -91,9 +95,9 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
         text, scale = F.col(f"{reading}_text"), F.col(f"{reading}_scale")
         trailing_zero = F.endswith(text, F.lit("0")) & (scale > 0)
         return [
-            F.max(V.integer_digits(text)).alias(f"{reading}_digits"),
+            F.max(f"{reading}_digits").alias(f"{reading}_digits"),
             F.min(scale).alias(f"{reading}_scale_low"), F.max(scale).alias(f"{reading}_scale"),
-            F.count_if(~V.plain_spelling(text)).alias(f"{reading}_odd"),
+            F.count_if(~F.col(f"{reading}_plain")).alias(f"{reading}_odd"),
             F.max(F.when(trailing_zero, scale).otherwise(0)).alias(f"{reading}_zero_scale"),
         ]
 
