@@ -175,8 +175,10 @@ def plan_validation(tables: DataFrame, columns: DataFrame) -> DataFrame:
     typed = columns.agg(
         F.count("*").alias("columns"),
         F.count_if((Y.hive_to_tsql(F.col("type")) == "nvarchar(max)") & ~F.col("type").isin("string", "varchar")).alias("unmapped"))
-    # One row on each side.
-    both = cost.crossJoin(typed)
+    # One row on each side, put into one.
+    names = ["total_tables", "monthly_cost_usd", "columns", "unmapped"]
+    both = cost.select("total_tables", "monthly_cost_usd").unionByName(typed, allowMissingColumns=True).agg(
+        *[F.max(n).alias(n) for n in names])
     tables_n, unmapped, monthly = F.col("total_tables"), F.col("unmapped"), F.col("monthly_cost_usd")
 
     def row(check: str, ok: Column, good: Column, bad: Column, failure: str) -> Column:
@@ -245,14 +247,18 @@ def compatibility(warnings: DataFrame, listed: int = 10) -> DataFrame:
             lambda s: s["warning"]).alias("warnings"))
     total = warnings.agg(F.count("*").alias("warnings_count"))
     status = F.when(F.col("warnings_count") > 0, "COMPATIBLE_WITH_WARNINGS").otherwise("FULLY_COMPATIBLE")
-    # One row on each side.
-    return total.crossJoin(first).select(status.alias("compatibility_status"), "warnings_count", "warnings")
+    # One row on each side, put into one.
+    both = total.unionByName(first, allowMissingColumns=True).agg(
+        F.max("warnings_count").alias("warnings_count"), F.max("warnings").alias("warnings"))
+    return both.select(status.alias("compatibility_status"), "warnings_count", "warnings")
 
 
 def lineage_edges(jobs: DataFrame) -> DataFrame:
-    """``(job_name, input, output)``: every input of a job feeds every output it declares."""
-    return jobs.select("job_name", F.explode("inputs").alias("input"), "outputs").select(
-        "job_name", F.col("input.name").alias("input"), F.explode("outputs.name").alias("output")).distinct()
+    """``(job_name, direction, dataset)``: what each job reads and writes. Inputs meet outputs in their job, so the
+    edges stay as many as the declarations."""
+    reads = jobs.select("job_name", F.lit("input").alias("direction"), F.explode("inputs.name").alias("dataset"))
+    writes = jobs.select("job_name", F.lit("output").alias("direction"), F.explode("outputs.name").alias("dataset"))
+    return reads.unionByName(writes).distinct()
 
 
 def grants_per_principal(grants: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
@@ -24,10 +24,11 @@ LISTED = 8
 MOSTLY_EMPTY = 0.5
 
 
-def listed(items: Column) -> Column:
+def listed(items: Column, n_items: Column | None = None) -> Column:
     """The first items and how many more there are."""
-    more = F.concat(F.lit("… e mais "), (F.size(items) - LISTED).cast("string"))
-    return F.when(F.size(items) > LISTED, F.concat(F.slice(items, 1, LISTED), F.array(more))).otherwise(items)
+    total = F.size(items) if n_items is None else n_items
+    more = F.concat(F.lit("… e mais "), (total - LISTED).cast("string"))
+    return F.when(total > LISTED, F.concat(F.slice(items, 1, LISTED), F.array(more))).otherwise(items)
 
 
 def in_order(position: str, item: Column) -> Column:
@@ -41,6 +42,16 @@ def _items(rows: DataFrame, kind: str) -> DataFrame:
         "dataset", F.lit(kind).alias("kind"), "items")
 
 
+def _first_items(rows: DataFrame, kind: str) -> DataFrame:
+    """Like ``_items`` for items that grow with the data: only the listed ones are gathered, the rest are counted.
+    Spark keeps the first rows of each dataset per task before the shuffle."""
+    first = Window.partitionBy("dataset").orderBy("p", "item")
+    kept = rows.withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= LISTED)
+    shown = kept.groupBy("dataset").agg(in_order("p", F.col("item")).alias("items"))
+    counts = rows.groupBy("dataset").agg(F.count("*").alias("n_items"))
+    return shown.join(counts, "dataset").select("dataset", F.lit(kind).alias("kind"), "items", "n_items")
+
+
 def unsafe_names(columns: DataFrame) -> DataFrame:
     bad = columns.filter(N.is_unsafe_name(F.col("name")))
     return bad.select("dataset", F.col("position").alias("p"), F.concat(F.lit("'"), "name", F.lit("'")).alias("item"))
@@ -117,19 +128,20 @@ def flags(columns: DataFrame, totals: DataFrame, identical: DataFrame | None = N
     if identical is not None:
         found.append(_items(identical, "identical_columns"))
     if malformed is not None:
-        found.append(_items(malformed, "malformed_rows"))
+        found.append(_first_items(malformed, "malformed_rows"))
     if encodings is not None:
         found.append(encodings.filter("encoding <> 'utf-8'").select(
             "dataset", F.lit("encoding").alias("kind"), F.array("encoding").alias("items")))
-    rows = found[0]
+    rows = found[0].withColumn("n_items", F.lit(None).cast("long"))
     for other in found[1:]:
-        rows = rows.unionByName(other)
+        rows = rows.unionByName(other, allowMissingColumns=True)
     ordinal, title = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, (kind, text) in enumerate(FLAGS):
         ordinal = F.when(F.col("kind") == kind, i).otherwise(ordinal)
         title = F.when(F.col("kind") == kind, text).otherwise(title)
+    rows = rows.withColumn("n_items", F.coalesce("n_items", F.size("items").cast("long")).cast("int"))
     return rows.select("dataset", ordinal.alias("ordinal"), "kind", title.alias("title"),
-                       listed(F.col("items")).alias("items"), F.size("items").alias("n_items"))
+                       listed(F.col("items"), F.col("n_items")).alias("items"), "n_items")
 
 
 def quality(columns: DataFrame, totals: DataFrame) -> DataFrame:

@@ -10,23 +10,32 @@ from plumbline.functions import types as Y
 from plumbline.operators.ordered import median, median_ranks, nearest_rank, order_statistics
 
 
+def _named_columns(columns: DataFrame) -> DataFrame:
+    """One row per name and dataset, so a name that every dataset uses stays small before it is shuffled."""
+    keyed = columns.withColumn("name_key", N.name_key(F.col("name")))
+    return keyed.groupBy("name_key", "dataset").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.max("is_key_candidate").alias("is_key"))
+
+
 def shared_columns(columns: DataFrame) -> DataFrame:
     """Column names that occur in two datasets or more: ``shared`` when all measured one type, else ``conflict``.
 
-    Columns are first reduced to one row per name and dataset, so a name every dataset uses stays small.
+    ``(name_key, n_datasets, n_keys, types, relation)``; ``shared_column_datasets`` lists the datasets, one per row.
     """
-    keyed = columns.withColumn("name_key", N.name_key(F.col("name")))
-    per_dataset = keyed.groupBy("name_key", "dataset").agg(
-        F.collect_set("type").alias("types"), F.max("is_key_candidate").alias("is_key"))
-    groups = per_dataset.groupBy("name_key").agg(
-        F.count("*").alias("n_datasets"),
-        F.array_sort(F.collect_set("dataset")).alias("datasets"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
-        F.array_sort(F.collect_set(F.when(F.col("is_key"), F.col("dataset")))).alias("key_in"))
+    groups = _named_columns(columns).groupBy("name_key").agg(
+        F.count("*").alias("n_datasets"), F.count_if("is_key").alias("n_keys"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
     return groups.filter("n_datasets >= 2").withColumn(
         "relation", F.when(F.size("types") > 1, "conflict").otherwise("shared"))
 
 
+def shared_column_datasets(columns: DataFrame) -> DataFrame:
+    """``(name_key, dataset, types, is_key)`` for every dataset that shares a column name with another."""
+    named = _named_columns(columns)
+    shared = named.groupBy("name_key").agg(F.count("*").alias("n")).filter("n >= 2").select("name_key")
+    return named.join(shared, "name_key", "left_semi")
+
+
 def flag_frequency(flags: DataFrame) -> DataFrame:
     return flags.groupBy("kind").agg(F.count("*").alias("datasets")).orderBy(F.desc("datasets"), "kind")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import types as Y
 from plumbline.functions import values as V
-from plumbline.operators.cells import cells, quoted
+from plumbline.operators.cells import cells, quoted, row_key
 from plumbline.operators.load import ColumnPlan
 
 CHECK_SCHEMA = "ordinal int, verificacao string, esperado string, obtido string, status string"
@@ -93,19 +93,32 @@ def content_digest(df: DataFrame, columns: list[Column] | None = None) -> DataFr
 
 def compare_tables(source: DataFrame, target: DataFrame) -> DataFrame:
     """One row: rows and digests of both sides, and whether they match."""
-    s = content_digest(source).select(F.col("rows").alias("source_rows"), F.col("digest").alias("source_digest"))
-    t = content_digest(target).select(F.col("rows").alias("target_rows"), F.col("digest").alias("target_digest"))
+    sides = content_digest(source).withColumn("side", F.lit("source")).unionByName(
+        content_digest(target).withColumn("side", F.lit("target")))
+    both = sides.agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}") for side in ("source", "target") for c in ("rows", "digest")])
     same = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_digest") == F.col("target_digest"))
-    # One row on each side.
-    return s.crossJoin(t).withColumn("status", F.when(same, "passed").otherwise("failed"))
+    return both.withColumn("status", F.when(same, "passed").otherwise("failed"))
 
 
 def keyed_differences(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, column, source, target)``: every cell behind a divergence, for tables with a unique key."""
+    """``(*keys, column, source, target)``: every cell behind a divergence, for tables with a unique key.
+
+    Keys and row digests are compared first; whole rows are only fetched for keys that differ.
+    """
     others = [c for c in source.columns if c not in keys]
-    s = source.select(*keys, F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in others]).alias("_s"))
-    t = target.select(*keys, F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in others]).alias("_t"))
-    both = s.join(t, keys, "full_outer").filter(~F.col("_s").eqNullSafe(F.col("_t")))
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, row_key([F.col(quoted(c)) for c in others]).alias(name))
+
+    differing = digests(source, "_a").join(digests(target, "_b"), keys, "full_outer").filter(
+        ~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        cells_of = F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in others])
+        return df.join(differing, keys, "left_semi").select(*keys, cells_of.alias(name))
+
+    both = rows(source, "_s").join(rows(target, "_t"), keys, "full_outer")
     missing, extra = F.col("_t").isNull(), F.col("_s").isNull()
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"_s.{quoted(c)}").eqNullSafe(F.col(f"_t.{quoted(c)}")),

@@ -275,7 +275,8 @@ def _runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.runtime_checks(source, target, loaded)
 
 
-@query("lineage_edges", "SELECT DISTINCT 'job_' || o_custkey AS job_name, o_orderpriority AS input, out AS output FROM orders, (VALUES ('raw'), ('clean')) v(o), (SELECT 1), LATERAL (SELECT o_orderstatus || '_' || v.o AS out)")
+@query("lineage_edges", """SELECT DISTINCT 'job_' || o_custkey AS job_name, 'input' AS direction, o_orderpriority AS dataset FROM orders
+  UNION ALL SELECT DISTINCT 'job_' || o_custkey, 'output', o_orderstatus || '_' || o FROM orders, (VALUES ('raw'), ('clean')) v(o)""")
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("job_"), F.col("o_custkey").cast("string")).alias("job_name"),

@@ -350,13 +350,23 @@ def _source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- across datasets ----------------------------------------------------------------------------------------------
 
 
-@query("shared_columns", f"""SELECT * FROM (SELECT name_key, count(DISTINCT dataset) AS n_datasets, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
-    coalesce(string_agg(DISTINCT dataset, ',' ORDER BY dataset) FILTER (is_key_candidate), '') AS key_in, CASE WHEN count(DISTINCT type) > 1 THEN 'conflict' ELSE 'shared' END AS relation
-  FROM (SELECT dataset, type, is_key_candidate, regexp_replace(lower(replace(replace(name, 'o_', ''), 'l_', '')), '[^a-z0-9]', '', 'g') AS name_key FROM ({ALL_COLUMNS_SQL})) GROUP BY name_key) WHERE n_datasets >= 2""")
+_NAMED_SQL = f"SELECT dataset, type, is_key_candidate, regexp_replace(lower(replace(replace(name, 'o_', ''), 'l_', '')), '[^a-z0-9]', '', 'g') AS name_key FROM ({ALL_COLUMNS_SQL})"
+
+
+def named_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_columns(spark, sf_dir).withColumn("name", F.replace(F.replace("name", F.lit("o_"), F.lit("")), F.lit("l_"), F.lit("")))
+
+
+@query("shared_columns", f"""SELECT * FROM (SELECT name_key, count(DISTINCT dataset) AS n_datasets, count(DISTINCT dataset) FILTER (is_key_candidate) AS n_keys, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
+    CASE WHEN count(DISTINCT type) > 1 THEN 'conflict' ELSE 'shared' END AS relation FROM ({_NAMED_SQL}) GROUP BY name_key) WHERE n_datasets >= 2""")
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = all_columns(spark, sf_dir).withColumn("name", F.replace(F.replace("name", F.lit("o_"), F.lit("")), F.lit("l_"), F.lit("")))
-    found = Q.shared_columns(columns)
-    return found.withColumns({c: F.concat_ws(",", c) for c in ("datasets", "types", "key_in")})
+    return Q.shared_columns(named_columns(spark, sf_dir)).withColumn("types", F.concat_ws(",", "types"))
+
+
+@query("shared_column_datasets", f"""WITH n AS ({_NAMED_SQL}) SELECT name_key, dataset, string_agg(DISTINCT type, ',' ORDER BY type) AS types, bool_or(is_key_candidate) AS is_key FROM n
+  WHERE name_key IN (SELECT name_key FROM n GROUP BY name_key HAVING count(DISTINCT dataset) >= 2) GROUP BY name_key, dataset""")
+def _shared_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.shared_column_datasets(named_columns(spark, sf_dir)).withColumn("types", F.concat_ws(",", "types"))
 
 
 @query("portfolio_totals", f"""SELECT dataset, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(columns) AS BIGINT) AS columns, CAST(sum(total_cells) AS BIGINT) AS total_cells, CAST(sum(empty_cells) AS BIGINT) AS empty_cells,

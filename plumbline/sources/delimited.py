@@ -6,7 +6,7 @@ import csv
 import io
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import fresh_path
@@ -14,6 +14,7 @@ from plumbline.session import fresh_path
 # Delimiters looked for, the text looked at, and encoding names of the CSV reader.
 DELIMITERS = [",", ";", "\t", "|"]
 SAMPLE_CHARACTERS = 16384
+UNDEFINED_BYTES = [0x81, 0x8D, 0x8F, 0x90, 0x9D]  # left open by windows-1252
 READER_ENCODINGS = {"utf-8": "UTF-8", "windows-1252": "windows-1252", "latin-1": "ISO-8859-1"}
 BAD_ROW = "_corrupt_record"
 
@@ -36,10 +37,11 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     content = F.col("content")
-    head = F.hex(F.substring(content, 1, 8192))
-    wide = F.substring(F.hex(F.substring(content, 1, 2)), 1, 4).isin("FFFE", "FEFF")
-    has_nul = head.rlike("^([0-9A-F]{2})*00")
-    undefined = F.hex(content).rlike("^([0-9A-F]{2})*?(81|8D|8F|90|9D)")
+    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    has_nul = F.contains(F.substring(content, 1, 8192), F.lit(bytearray(1)))
+    undefined = F.lit(False)
+    for byte in UNDEFINED_BYTES:
+        undefined = undefined | F.contains(content, F.lit(bytearray([byte])))
     encoding = (
         F.when(wide | has_nul, None)
         .when(F.is_valid_utf8(content.cast("string")), "utf-8")
@@ -47,29 +49,33 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2(content, 256).alias("sha256"), encoding.alias("encoding"))
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file: a bounded number of lines, each cut at the sample size."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.substring(F.col("value").cast("binary"), 1, SAMPLE_CHARACTERS).alias("b")).limit(200)
+    return b"\n".join(bytes(r["b"]) for r in lines.collect())
+
+
+def _encoding(spark: SparkSession, path: str, head: bytes) -> str:
     """The encoding of one delimited file, whatever its size: decided line by line, over the whole file."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b"))
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")) or b"\x00" in head[:8192]:
+        raise UnreadableFile("the file looks like UTF-16 or binary; export it as UTF-8")
     # The text source keeps the bytes of a line as they are.
-    undefined = F.hex("b").rlike("^([0-9A-F]{2})*?(81|8D|8F|90|9D)")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("value").cast("binary").alias("b"))
+    undefined = F.lit(False)
+    for byte in UNDEFINED_BYTES:
+        undefined = undefined | F.contains("b", F.lit(bytearray([byte])))
+    valid = F.is_valid_utf8("value")
     facts = lines.agg(
-        F.count("*").alias("lines"),
-        F.coalesce(F.bool_or(F.hex("b").rlike("^([0-9A-F]{2})*?00")), F.lit(False)).alias("nul"),
-        F.coalesce(F.bool_or(F.hex(F.substring("b", 1, 2)).isin("FFFE", "FEFF")), F.lit(False)).alias("wide"),
-        F.coalesce(F.bool_and(F.is_valid_utf8(F.col("b").cast("string"))), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(undefined), F.lit(False)).alias("undefined"),
-    ).first()
-    if facts["wide"] or facts["nul"]:
-        raise UnreadableFile("the file looks like UTF-16 or binary; export it as UTF-8")
+        F.coalesce(F.bool_and(valid), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_or(undefined), F.lit(False)).alias("undefined")).first()
     return "utf-8" if facts["utf8"] else "latin-1" if facts["undefined"] else "windows-1252"
 
 
-def _sample(spark: SparkSession, path: str, encoding: str) -> str:
+def _sample(head: bytes, encoding: str) -> str:
     """The first characters of the file, for its header and delimiter."""
-    lines = spark.read.text(path).limit(200)
-    raw = b"\n".join(bytes(r["b"] or b"") for r in lines.select(F.substring(F.col("value").cast("binary"), 1, SAMPLE_CHARACTERS).alias("b")).collect())
     codec = {"utf-8": "utf-8-sig", "windows-1252": "cp1252"}.get(encoding, "latin-1")
-    return raw.decode(codec, "replace")[:SAMPLE_CHARACTERS]
+    return head.decode(codec, "replace")[:SAMPLE_CHARACTERS]
 
 
 def _delimiter(sample: str) -> str:
@@ -86,8 +92,9 @@ def _delimiter(sample: str) -> str:
 
 def layout(spark: SparkSession, path: str) -> Layout:
     """Encoding, delimiter and header of one file, or ``UnreadableFile``."""
-    encoding = encoding_of(spark, path)
-    sample = _sample(spark, path, encoding)
+    head = _head(spark, path)
+    encoding = _encoding(spark, path, head)
+    sample = _sample(head, encoding)
     if not sample.strip():
         raise UnreadableFile("the file is empty")
     delimiter = _delimiter(sample)
@@ -129,27 +136,23 @@ def split_malformed(rows: DataFrame, found: Layout, keep_at: str | None = None)
 
 
 def malformed_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
-    """``(line, text)``: numbers of the lines whose field count differs from the header's, blank lines apart.
+    """``(file, line, text)``: lines whose field count differs from the header's, blank lines apart, with their number
+    in their file. Quoted line breaks are not followed.
 
-    A line's number comes from its rank among the file's byte ranges, as Spark has no line offsets: each line is
-    numbered in its task, and the lines of earlier tasks are added. Quoted line breaks are not followed.
+    Spark reads a file in byte ranges and numbers rows per task. Rows of a range are counted, ranges are added up
+    along the file, and only malformed lines meet those sums.
     """
-    lines = spark.read.text(path)
-    numbered = lines.select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
-    task = F.shiftright("id", 33)
-    sizes = numbered.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    # One row per task.
-    offsets = sizes.select("task", F.coalesce(F.sum("n").over(
-        Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    quoted_free = F.regexp_replace("text", '"([^"]|"")*"', "q")
-    fields = F.size(F.split(quoted_free, "\\Q" + found.delimiter + "\\E", -1))
-    at = F.col("id").bitwiseAND((1 << 33) - 1)
-    return (
-        numbered.withColumn("task", task).join(F.broadcast(offsets), "task")
-        .filter((F.trim("text") != "") & (fields != len(found.header)))
-        .select((F.col("offset") + at + 1).alias("line"), "text"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    ranges = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("file", "start", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    plain = F.regexp_replace("text", '"([^"]|"")*"', "q")
+    fields = F.size(F.split(plain, "\\Q" + found.delimiter + "\\E", -1))
+    bad = lines.filter((F.trim("text") != "") & (fields != len(found.header)))
+    return bad.join(offsets, ["file", "start"]).select(
+        "file", (F.col("offset") + F.col("id") - F.col("first_id") + 1).alias("line"), "text")
 
 
 def to_parquet(spark: SparkSession, tables: dict[str, str], out: str) -> DataFrame:
