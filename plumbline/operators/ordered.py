@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import fresh_path
+
 
 def running(
     df: DataFrame,
@@ -57,10 +59,13 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     """Exact values at 0-based ranks of each key's sorted values, without sorting any key as a whole.
 
     ``ranks`` gives each result a rank as an expression over ``n``, the number of values of the key. Values are
-    counted on the map side, cut into equal ranges, and only the range that holds a rank is looked at again.
-    Returns ``(*keys, n, lowest, highest, *ranks)``.
+    counted on the map side and written once to the shared folder; the counts are cut into equal ranges, and only the
+    range that holds a rank is looked at again. Returns ``(*keys, n, lowest, highest, *ranks)``.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_times"))
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "value-counts")
+    (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_times"))
+     .write.parquet(path))
+    counts = spark.read.parquet(path)
     spans = counts.groupBy(*keys).agg(
         F.sum("_times").alias("n"), F.min("_value").alias("lowest"), F.max("_value").alias("highest"))
     width = F.col("highest") - F.col("lowest")
