@@ -7,12 +7,13 @@ and no type. A profile row needs ``(dataset, position, name, type, min, max, has
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
 from plumbline.functions import types as Y
 from plumbline.operators.flags import in_order
+from plumbline.operators.ordered import running
 
 # The checks in order, with the detail shown when they pass and when they fail.
 CHECKS = [
@@ -110,23 +111,30 @@ def mapping_offenders(profile: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.unionByName(shared)
 
 
-def check_mapping(profile: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``(dataset, ordinal, name, status, details, offenders, n_offenders)``: six checks per dataset."""
+def check_mapping(profile: DataFrame, mapping: DataFrame, with_offenders: bool = True) -> DataFrame:
+    """``(dataset, ordinal, name, status, details, n_offenders, offenders)``: six checks per dataset.
+
+    The offenders of a check are columns of one table. Without them nothing but counts is gathered, and
+    ``mapping_offenders`` gives them one per row.
+    """
     skeleton = profile.select("dataset").distinct().select(
         "dataset", F.explode(F.array(*[
             F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name"), F.lit(ok).alias("ok"), F.lit(bad).alias("bad"))
             for i, (n, ok, bad) in enumerate(CHECKS)])).alias("c")).select("dataset", "c.*")
-    found = mapping_offenders(profile, mapping).groupBy("dataset", F.col("check").alias("name")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(
-            F.coalesce("position", F.lit(2**31 - 1)).alias("p"), F.col("offender").alias("o")))), lambda s: s["o"])
-        .alias("offenders"))
+    aggregates = [F.count("*").alias("n")]
+    if with_offenders:
+        entry = F.struct(F.coalesce("position", F.lit(2**31 - 1)).alias("p"), F.col("offender").alias("o"))
+        aggregates.append(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["o"]).alias("found"))
+    found = mapping_offenders(profile, mapping).groupBy("dataset", F.col("check").alias("name")).agg(*aggregates)
     rows = skeleton.join(found, ["dataset", "name"], "left")
-    failed = F.col("offenders").isNotNull()
-    return rows.select(
+    failed = F.col("n").isNotNull()
+    columns = [
         "dataset", "ordinal", "name", F.when(failed, "failed").otherwise("passed").alias("status"),
         F.when(failed, F.col("bad")).otherwise(F.col("ok")).alias("details"),
-        F.coalesce("offenders", F.array().cast("array<string>")).alias("offenders"),
-        F.coalesce(F.size("offenders"), F.lit(0)).alias("n_offenders"))
+        F.coalesce("n", F.lit(0)).cast("int").alias("n_offenders")]
+    if with_offenders:
+        columns.append(F.coalesce("found", F.array().cast("array<string>")).alias("offenders"))
+    return rows.select(*columns)
 
 
 def pass_rates(items: DataFrame, checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,26 +167,27 @@ def unique_names(columns: DataFrame) -> DataFrame:
     """``(dataset, position, base)`` to ``(dataset, position, unique)``: earlier columns keep their names.
 
     Names can only meet inside a family: the same name once trailing ``_<number>`` parts are cut off. Repeats are
-    numbered by a window; only families in which a repeated name meets other names need their columns taken one after
-    the other. A family holds columns of one table, so its size is bounded by the width of a table.
+    numbered in blocks; only families in which a repeated name meets other names need their columns taken one after the
+    other. A family holds columns of one table, so its size is bounded by the width of a table.
     """
-    per_family = Window.partitionBy("dataset", "family")
-    per_name = Window.partitionBy("dataset", "family", "base").orderBy("position")
-    tagged = (
-        columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", ""))
-        .withColumn("turn", F.row_number().over(per_name))
-        .withColumn("tangled", (F.min("base").over(per_family) != F.max("base").over(per_family))
-                    & (F.max("turn").over(per_family) > 1))
-    )
-    simple = tagged.filter(~F.col("tangled")).select(
+    named = columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", ""))
+    families = (
+        named.groupBy("dataset", "family", "base").agg(F.count("*").alias("times"))
+        .groupBy("dataset", "family").agg(F.count("*").alias("names"), F.max("times").alias("times"))
+        .filter("names > 1 AND times > 1").select("dataset", "family"))
+    free = named.join(families, ["dataset", "family"], "left_anti")
+    tangled = named.join(families, ["dataset", "family"], "left_semi")
+    turn = F.col("turn")
+    block = F.floor(F.col("position") / 4096).cast("long")
+    simple = running(free, ["dataset", "base"], ["position"], block, sums={"turn": F.lit(1)}).select(
         "dataset", "position",
-        F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("turn").cast("string"))).alias("unique"))
+        F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn.cast("string"))).alias("unique"))
     dataset_type = columns.schema["dataset"].dataType.simpleString()
-    tangled = (
-        tagged.filter("tangled").withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")
+    settled = (
+        tangled.withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")
         .applyInPandas(_assign_in_order, f"dataset {dataset_type}, position long, unique string")
     )
-    return simple.select("dataset", F.col("position").cast("long").alias("position"), "unique").unionByName(tangled)
+    return simple.select("dataset", F.col("position").cast("long").alias("position"), "unique").unionByName(settled)
 
 
 def correct_mapping(profile: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -65,18 +65,22 @@ _OFFENDERS_SQL = f"""WITH j AS ({_JOINED_SQL}) SELECT dataset, 'covers_all_colum
 @query("mapping_checks", f"""WITH o AS ({_OFFENDERS_SQL}), skeleton AS (SELECT dataset, n.i AS ordinal, n.name FROM (SELECT DISTINCT dataset FROM ({PROFILE_SQL})),
   (VALUES (0, 'covers_all_columns'), (1, 'no_unknown_columns'), (2, 'delta_safe_names'), (3, 'unique_targets'), (4, 'valid_types'), (5, 'type_fits_data')) n(i, name))
   SELECT s.dataset, CAST(s.ordinal AS INTEGER) AS ordinal, s.name, CASE WHEN count(o.offender) > 0 THEN 'failed' ELSE 'passed' END AS status,
-    coalesce(string_agg(o.offender, ' | ' ORDER BY coalesce(o.position, 2147483647), o.offender), '') AS offenders, CAST(count(o.offender) AS INTEGER) AS n_offenders
+    CAST(count(o.offender) AS INTEGER) AS n_offenders
   FROM skeleton s LEFT JOIN o ON o.dataset = s.dataset AND o."check" = s.name GROUP BY ALL""")
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.check_mapping(*profile_and_mapping(spark, sf_dir))
-    return found.drop("details").withColumn("offenders", F.concat_ws(" | ", "offenders"))
+    return M.check_mapping(*profile_and_mapping(spark, sf_dir), with_offenders=False).drop("details")
+
+
+@query("mapping_offenders", _OFFENDERS_SQL)
+def _offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mapping_offenders(*profile_and_mapping(spark, sf_dir))
 
 
 @query("mapping_pass_rates", f"""WITH f AS (SELECT DISTINCT dataset, "check" FROM ({_OFFENDERS_SQL})) SELECT d.dataset, CAST(6 AS BIGINT) AS checks,
   6 - count(f."check") AS passed, (6 - count(f."check")) / 6 AS pass_rate FROM (SELECT DISTINCT dataset FROM ({PROFILE_SQL})) d LEFT JOIN f ON f.dataset = d.dataset GROUP BY d.dataset""")
 def _pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile, mapping = profile_and_mapping(spark, sf_dir)
-    return M.pass_rates(profile, M.check_mapping(profile, mapping), ["dataset"])
+    return M.pass_rates(profile, M.check_mapping(profile, mapping, False), ["dataset"])
 
 
 @query("unknown_mapped_columns", f"SELECT m.dataset, m.source FROM ({MAPPING_SQL}) m WHERE NOT EXISTS (SELECT 1 FROM ({PROFILE_SQL}) p WHERE p.dataset = m.dataset AND p.name = m.source)")
@@ -127,7 +131,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corrected_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile, mapping = profile_and_mapping(spark, sf_dir)
     corrected, _ = M.correct_mapping(profile, mapping)
-    return M.pass_rates(profile, M.check_mapping(profile, corrected), ["dataset"])
+    return M.pass_rates(profile, M.check_mapping(profile, corrected, False), ["dataset"])
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +251,11 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[L.ColumnPlan], int, int]:
-    """The text table loaded through every guard, read back, with its plan and its measured row counts."""
-    raw, plans = planned(spark, sf_dir, name)
+    """The text table landed once, loaded through every guard and read back, with its plan and measured row counts."""
+    landed = fresh_path(spark, f"{name}-landed")
+    text_table(spark, sf_dir, name).write.parquet(landed)
+    raw = spark.read.parquet(landed)
+    plans = L.plan_columns(P.profile(raw, name), approved(spark, name))
     counts = P.duplicate_rows({name: raw}).first()
     path = fresh_path(spark, name)
     L.load_table(raw, plans, path, counts["rows"])
