@@ -169,3 +169,56 @@ def test_quality_ratios(spark):
     q = profile_table(df, "d").quality.first()
     assert (q["completeness"], q["row_uniqueness"], q["type_consistency"], q["name_compatibility"], q["rows_kept"]) == (
         4 / 6, 2 / 3, 0.5, 0.5, 1.0)
+
+
+def spelled(rng, style):
+    """One random number in one of several spellings; few distinct values, so that spellings meet."""
+    whole, cents = rng.choice([0, 1, 7, 12, 999, 1000, 1234, 20000]), rng.choice([0, 5, 50, 25, 10])
+    sign = rng.choice(["", "", "", "-"]) if whole or cents else ""
+    if style == "integer":
+        return sign + str(whole)
+    if style == "padded":
+        return sign + rng.choice(["", "0", "00"]) + str(whole)
+    if style == "fixed":
+        return f"{sign}{whole}.{cents:02d}"
+    if style == "shortest":
+        return sign + (f"{whole}.{cents:02d}".rstrip("0").rstrip(".") or "0")
+    if style == "double":
+        return sign + str(float(f"{whole}.{cents:02d}"))
+    if style == "loose":
+        return rng.choice([f"{whole}.{cents:02d}", f"{whole}.{cents:02d}0", f"+{whole}", f"{whole}.", f".{cents:02d}", f"{whole}e0"])
+    grouped = f"{whole:,}".replace(",", ".")
+    if style == "brazilian":
+        return f"{sign}{grouped},{cents:02d}"
+    if style == "ungrouped":
+        return f"{sign}{whole},{cents:02d}"
+    if style == "either":
+        return sign + rng.choice([f"{grouped},{cents:02d}", f"{whole},{cents:02d}"])
+    return sign + rng.choice([grouped, f"{grouped},5", str(whole)])
+
+
+def test_distinct_counts_see_numbers_not_spellings(spark):
+    import random
+    from decimal import Decimal
+
+    styles = ["integer", "padded", "fixed", "shortest", "double", "loose", "brazilian", "ungrouped", "either", "thousands"]
+    rng = random.Random(11)
+    columns = [[spelled(rng, style) for _ in range(rng.randint(1, 60))] for style in styles for _ in range(3)]
+    for c, values in zip(column_profiles(spark, columns), columns):
+        if c["type"] == "mixed":
+            continue
+        texts = [v.replace(".", "").replace(",", ".") if c["number_style"] == "br" else v for v in values]
+        numbers = {Decimal(t) + 0 for t in texts}
+        assert (c["distinct"], Decimal(c["min"]), Decimal(c["max"])) == (len(numbers), min(numbers), max(numbers)), sorted(set(values))
+
+
+def test_a_value_filling_a_third_of_a_column_changes_nothing(spark):
+    values = ["x"] * 400 + [str(i) for i in range(800)]
+    c = one_column(spark, values)
+    assert (c["type"], c["rows"], c["distinct"], c["is_key_candidate"]) == ("mixed", 1200, 801, False)
+
+
+def test_many_malformed_lines_are_counted_and_the_first_listed(spark, tmp_path):
+    found = intake(spark, tmp_path, "a,b\n" + "".join(f"{i},x{',y' if i % 2 else ''}\n" for i in range(60)))
+    flag = found.flags.filter("kind = 'malformed_rows'").first()
+    assert flag["n_items"] == 30 and flag["items"] == [f"linha {n}" for n in range(3, 19, 2)] + ["… e mais 22"]
