@@ -180,6 +180,28 @@ def text_to_parquet(df: DataFrame, staging: str) -> DataFrame:
     return compare_tables(df, df.sparkSession.read.parquet(staging))
 
 
+def convert_text_table(spark: SparkSession, table: str) -> DataFrame:
+    """Replace a text table of the catalog by a parquet copy of the same name, once both hold the same content.
+
+    The original stays as ``<table>_text_backup``. On any difference nothing is renamed and ``ValueError`` is raised.
+    Returns the comparison of the backup with the table now in place.
+    """
+    from plumbline.functions.names import check_identifier
+    from plumbline.operators.reconcile import compare_tables
+
+    check_identifier(table, "table")
+    staging, backup = f"{table}_columnar", f"{table}_text_backup"
+    if spark.catalog.tableExists(staging) or spark.catalog.tableExists(backup):
+        raise ValueError(f"{staging} or {backup} already exists; nothing was converted")
+    spark.table(table).write.format("parquet").option("compression", "snappy").saveAsTable(staging)
+    found = compare_tables(spark.table(table), spark.table(staging)).first()
+    if found["status"] != "passed":
+        raise ValueError(f"{staging} differs from {table}: {found.asDict()}; nothing was renamed")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {backup}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    return compare_tables(spark.table(backup), spark.table(table))
+
+
 def export_mapping(mapping: DataFrame, decision: Column) -> DataFrame:
     """The four exported columns, safe to open in a spreadsheet."""
     from plumbline.functions.names import csv_safe

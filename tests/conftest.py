@@ -12,6 +12,7 @@ from plumbline.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     return local_session("tests", 8, **{
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         # Fixtures hold a few rows: compiling their plans would take longer than running them.
         "spark.sql.codegen.wholeStage": "false",
         "spark.sql.codegen.factoryMode": "NO_CODEGEN",

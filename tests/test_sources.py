@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import evidence as E
@@ -91,3 +93,15 @@ def test_audit_entries_are_appended(spark, tmp_path):
 def test_text_copy_is_compared(spark, tmp_path):
     df = spark.range(100).select(F.col("id").cast("string").alias("a"))
     assert D.text_to_parquet(df, str(tmp_path / "copy")).first()["status"] == "passed"
+
+
+def test_text_table_is_replaced_by_a_columnar_one(spark):
+    spark.sql("DROP TABLE IF EXISTS notes")
+    spark.createDataFrame([("1", "á"), ("2", None)], "id string, v string").write.format("csv").saveAsTable("notes")
+    assert D.convert_text_table(spark, "notes").first()["status"] == "passed"
+    assert spark.sql("DESCRIBE EXTENDED notes").filter("col_name = 'Provider'").first()["data_type"].lower() == "parquet"
+    assert spark.table("notes").count() == spark.table("notes_text_backup").count() == 2
+    with pytest.raises(ValueError):
+        D.convert_text_table(spark, "notes")
+    for name in ("notes", "notes_text_backup"):
+        spark.sql(f"DROP TABLE {name}")
