@@ -243,7 +243,7 @@ def compatibility(warnings: DataFrame, listed: int = 10) -> DataFrame:
     order = ["database", "table_name", "column", "warning"]
     first = warnings.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(listed).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(
-            "database", "table_name", F.coalesce("column", F.lit("￿")).alias("column"), "warning"))),
+            "database", "table_name", F.coalesce("column", F.lit("\uffff")).alias("column"), "warning"))),
             lambda s: s["warning"]).alias("warnings"))
     total = warnings.agg(F.count("*").alias("warnings_count"))
     status = F.when(F.col("warnings_count") > 0, "COMPATIBLE_WITH_WARNINGS").otherwise("FULLY_COMPATIBLE")

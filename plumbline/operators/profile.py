@@ -55,6 +55,7 @@ def classified(values: DataFrame) -> DataFrame:
     texts = kinds.withColumn("us_text", V.us_text(F.col("value"), F.col("kind"))).withColumn(
         "br_text", V.br_text(F.col("value"), F.col("kind"))
     )
+
     def shaped(reading: str) -> dict[str, Column]:
         text = F.col(f"{reading}_text")
         return {reading: V.number(text), f"{reading}_digits": V.integer_digits(text),
