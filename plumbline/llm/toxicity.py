@@ -30,7 +30,7 @@ SAMPLE = 12_000
 #: Weights of a model at most.
 FEATURES = 4096
 #: A feature is used if so many toxic documents of the sample hold it, and it goes with the label by this G statistic.
-LEAST_DOCS, LEAST_G = 4, 16.0
+LEAST_DOCS, LEAST_G = 3, 10.0
 STEPS, RATE, SHRINK = 300, 0.1, 1e-4
 #: Words whose weight each worker keeps.
 CACHE = 400_000
@@ -156,7 +156,7 @@ def _fitted(rows: list[tuple[int, int, list[list[int]]]], names: list[str]) -> M
     weights, bias = np.zeros(len(names)), -6.0
     first, second = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     # Toxic documents are few: both labels weigh the same in the end.
-    weight_of = np.where(y > 0, min(4.0, (1 - y.mean()) / y.mean()), 1.0)
+    weight_of = np.where(y > 0, min(2.0, (1 - y.mean()) / y.mean()), 1.0)
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(sentence, weights[word], len(found)) + bias, -30, 30)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
