@@ -40,9 +40,21 @@ def _accents() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
+@cache
+def _signs() -> tuple[str, str]:
+    """Every character whose compatibility decomposition leaves several ASCII characters, and those, separated."""
+    found = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x10000)}
+    found = {c: letters for c, letters in found.items() if len(letters) > 1}
+    return "".join(found), "\x1f".join(found.values())
+
+
 def without_accents(text: Column) -> Column:
-    """ASCII letters only. Characters that decompose to several letters are dropped with the other symbols."""
-    return F.regexp_replace(F.translate(text, *_accents()), r"[^\x00-\x7f]", "")
+    """ASCII letters only: accents go, signs like ™ and ligatures become their letters, other symbols are dropped."""
+    signs, letters = _signs()
+    spelled = F.map_from_arrays(F.split(F.lit(signs), ""), F.split(F.lit(letters), "\x1f"))
+    plain = F.translate(text, *_accents())
+    one_by_one = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+    return F.regexp_replace(F.when(plain.rlike(r"[^\x00-\x7f]"), one_by_one).otherwise(plain), r"[^\x00-\x7f]", "")
 
 
 def snake_case(name: Column) -> Column:

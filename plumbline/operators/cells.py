@@ -22,11 +22,16 @@ def cells(df: DataFrame, positions: list[int] | None = None) -> DataFrame:
     return text.unpivot([], [quoted(str(i)) for i in chosen], "position", "cell")
 
 
-def row_key(columns: list[Column]) -> Column:
-    """A 128-bit key of a whole row, cells as they are. Each cell carries its length, so no two rows can be
-    confused by moving characters between cells, and NULL differs from an empty cell."""
+def tagged_text(columns: list[Column]) -> Column:
+    """A row as one text. Each cell carries its length, so no two rows can be confused by moving characters between
+    cells, and NULL differs from an empty cell."""
     parts = []
     for column in columns:
         text = column.cast("string")
         parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("~")))
-    return F.unhex(F.md5(F.concat(*parts)))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def row_key(columns: list[Column]) -> Column:
+    """A 128-bit key of a whole row, cells as they are."""
+    return F.unhex(F.md5(tagged_text(columns)))

@@ -18,12 +18,33 @@ def _status(equal: Column, seen: Column) -> Column:
     return F.when(~seen, "skipped").when(equal, "passed").otherwise("failed")
 
 
+def _keys(source: DataFrame, target: DataFrame) -> list[str]:
+    """What names a table: database, schema and name, as far as both catalogs say."""
+    return [c for c in ("database", "schema", "table_name") if c in source.columns and c in target.columns]
+
+
+def _sides(source: DataFrame, target: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Both catalogs under each other, marked, so that one exchange brings the sides of a key together. NULL in a key
+    is a value like any other."""
+    chosen = [*keys, *values]
+    return source.select(*chosen, F.lit("source").alias("_side")).unionByName(target.select(*chosen, F.lit("target").alias("_side")))
+
+
+def _of(side: str, value: str) -> Column:
+    return F.when(F.col("_side") == side, F.col(value))
+
+
 def table_row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """``(table_name, source_rows, target_rows, status)`` per table, so opposite errors cannot cancel out."""
-    s = source.select("table_name", F.col("row_count").alias("source_rows"))
-    t = target.select("table_name", F.col("row_count").alias("target_rows"))
-    both = s.join(t, "table_name", "full_outer")
-    return both.withColumn("status", F.when(F.col("source_rows").eqNullSafe(F.col("target_rows")), "passed").otherwise("failed"))
+    """``(*key, source_rows, target_rows, status)`` per table, so opposite errors cannot cancel out.
+
+    A key that names several tables of one side is ``ambiguous``: which of them is meant can't be told.
+    """
+    keys = _keys(source, target)
+    both = _sides(source, target, keys, "row_count").groupBy(*keys).agg(
+        F.max(_of("source", "row_count")).alias("source_rows"), F.max(_of("target", "row_count")).alias("target_rows"),
+        F.greatest(F.count_if(F.col("_side") == "source"), F.count_if(F.col("_side") == "target")).alias("_tables"))
+    status = F.when(F.col("_tables") > 1, "ambiguous").when(F.col("source_rows").eqNullSafe(F.col("target_rows")), "passed").otherwise("failed")
+    return both.withColumn("status", status).drop("_tables")
 
 
 def row_count_check(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -31,32 +52,37 @@ def row_count_check(source: DataFrame, target: DataFrame) -> DataFrame:
     return rows.agg(
         F.coalesce(F.sum("source_rows"), F.lit(0)).alias("source_rows"),
         F.coalesce(F.sum("target_rows"), F.lit(0)).alias("target_rows"),
-        F.count_if(F.col("status") == "failed").alias("tables_failed"),
+        F.count_if(F.col("status") != "passed").alias("tables_failed"),
         (F.count("source_rows") * F.count("target_rows")).alias("seen"),
     ).select("source_rows", "target_rows", "tables_failed",
              _status(F.col("tables_failed") == 0, F.col("seen") > 0).alias("status"))
 
 
 def schema_drift(source_columns: DataFrame, target_columns: DataFrame) -> DataFrame:
-    """``(table_name, column, side)``: columns, names taken as written, that only one side has."""
-    s = source_columns.select("table_name", "column").distinct()
-    t = target_columns.select("table_name", "column").distinct()
-    return s.join(t, ["table_name", "column"], "left_anti").withColumn("side", F.lit("source")).unionByName(
-        t.join(s, ["table_name", "column"], "left_anti").withColumn("side", F.lit("target")))
+    """``(*key, column, side)``: columns, names taken as written, that only one side has."""
+    keys = [*_keys(source_columns, target_columns), "column"]
+    both = _sides(source_columns, target_columns, keys).groupBy(*keys).agg(F.min("_side").alias("side"), F.max("_side").alias("_other"))
+    return both.filter(F.col("side") == F.col("_other")).drop("_other")
 
 
 def nullability_drift(source_columns: DataFrame, target_columns: DataFrame) -> DataFrame:
-    """``(table_name, column, source_nullable, target_nullable)`` where the two disagree, column by column."""
-    s = source_columns.select("table_name", "column", F.col("nullable").alias("source_nullable"))
-    t = target_columns.select("table_name", "column", F.col("nullable").alias("target_nullable"))
-    return s.join(t, ["table_name", "column"]).filter("source_nullable <> target_nullable")
+    """``(*key, column, source_nullable, target_nullable)`` where the two disagree, column by column; not knowing
+    disagrees with knowing."""
+    keys = [*_keys(source_columns, target_columns), "column"]
+    both = _sides(source_columns, target_columns, keys, "nullable").groupBy(*keys).agg(
+        F.max(_of("source", "nullable")).alias("source_nullable"), F.max(_of("target", "nullable")).alias("target_nullable"),
+        F.min("_side").alias("_first"), F.max("_side").alias("_last"))
+    differ = (F.col("_first") != F.col("_last")) & ~F.col("source_nullable").eqNullSafe(F.col("target_nullable"))
+    return both.filter(differ).drop("_first", "_last")
 
 
 def foreign_key_drift(source: DataFrame, target: DataFrame) -> DataFrame:
-    """``(table_name, source_keys, target_keys)`` for tables whose declared foreign keys differ."""
-    s = source.select("table_name", F.array_sort(F.coalesce("foreign_keys", F.array().cast("array<string>"))).alias("source_keys"))
-    t = target.select("table_name", F.array_sort(F.coalesce("foreign_keys", F.array().cast("array<string>"))).alias("target_keys"))
-    return s.join(t, "table_name", "full_outer").filter(~F.col("source_keys").eqNullSafe(F.col("target_keys")))
+    """``(*key, source_keys, target_keys)`` for tables whose declared foreign keys differ."""
+    keys, none = _keys(source, target), F.array().cast("array<string>")
+    declared = [df.withColumn("foreign_keys", F.array_sort(F.coalesce("foreign_keys", none))) for df in (source, target)]
+    both = _sides(*declared, keys, "foreign_keys").groupBy(*keys).agg(
+        F.max(_of("source", "foreign_keys")).alias("source_keys"), F.max(_of("target", "foreign_keys")).alias("target_keys"))
+    return both.filter(~F.col("source_keys").eqNullSafe(F.col("target_keys")))
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, relation: str) -> DataFrame:

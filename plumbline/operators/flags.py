@@ -81,16 +81,17 @@ def mostly_empty(columns: DataFrame) -> DataFrame:
 def identical_columns(df: DataFrame, columns: DataFrame) -> DataFrame:
     """``(dataset, p, item)`` for columns of ``df`` equal in every row.
 
-    The profile's content fingerprint names the candidates; each is then compared with the first of its group in one
-    scan of the candidate columns only.
+    The profile's content fingerprint, which looks at values and not at their order, names the candidates. One scan
+    adds up a hash of row and value for each, which groups those equal in the same rows; a second one compares each
+    with the first of its group, so a hash never decides.
     """
     spark = df.sparkSession
     filled = columns.filter("nulls < rows").select("dataset", "position", "name", "nulls", "fingerprint").collect()
     groups: dict[tuple, list] = {}
     for row in sorted(filled, key=lambda r: r["position"]):
         groups.setdefault((row["fingerprint"], row["nulls"]), []).append(row)
-    pairs = [(g[0], other) for g in groups.values() for other in g[1:]]
-    if not pairs:
+    candidates = [row for g in groups.values() if len(g) > 1 for row in g]
+    if not candidates:
         return spark.createDataFrame([], "dataset string, p int, item string")
     from plumbline.functions.values import trimmed
 
@@ -98,6 +99,15 @@ def identical_columns(df: DataFrame, columns: DataFrame) -> DataFrame:
         return trimmed(F.col(quoted(f"c{row['position']}")))
 
     named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    numbered = named.withColumn("_row", F.monotonically_increasing_id())
+    ordered = numbered.agg(*[
+        F.sum(F.xxhash64("_row", cell(c)).cast("decimal(38,0)")).alias(f"h{i}") for i, c in enumerate(candidates)]).first()
+    alike: dict[tuple, list] = {}
+    for i, row in enumerate(candidates):
+        alike.setdefault((row["fingerprint"], row["nulls"], ordered[i]), []).append(row)
+    pairs = [(g[0], other) for g in alike.values() for other in g[1:]]
+    if not pairs:
+        return spark.createDataFrame([], "dataset string, p int, item string")
     differing = named.agg(*[
         F.count_if(~cell(a).eqNullSafe(cell(b))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)])
     rows = differing.select(F.explode(F.array(*[

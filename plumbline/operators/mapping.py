@@ -30,28 +30,34 @@ CHECKS = [
 def parsed_answers(answers: DataFrame, content: str = "content") -> DataFrame:
     """Suggested mappings from free-text answers: ``(*answer columns, error, entries)``.
 
-    The JSON object is taken from a code fence or from the outermost braces. An answer without one has an empty
-    mapping and an error.
+    The JSON object is taken from a code fence or from the outermost braces, and nothing else may stand between them.
+    An answer without one has no entries and an error. Of a name given twice the last entry counts.
     """
     text = F.col(content)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), fenced).otherwise(text)
-    braces = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    entries = F.from_json(F.nullif(braces, F.lit("")), "map<string,string>")
+    braces = F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
+    # In brackets, whatever follows the object is an error or a second element.
+    listed = F.try_parse_json(F.concat(F.lit("["), braces, F.lit("]"))).cast("array<variant>")
+    entries = F.when(F.size(listed) == 1, F.get(listed, 0).cast("map<string,variant>"))
     return answers.withColumn("entries", entries).withColumn(
         "error", F.when(F.col("entries").isNull(), "unparseable model output"))
 
 
+def _text_at(entry: Column, path: str) -> Column:
+    """The text at a path of a JSON value, NULL if anything else stands there."""
+    found = F.try_variant_get(entry, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(entry, path, "string"))
+
+
 def mapping_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """One mapping row per entry of each parsed answer."""
+    """One mapping row per entry of each parsed answer. An entry is a text, the target, or an object; anything else, and
+    a target that is not a text, gives none."""
     rows = parsed.select(*keys, F.explode("entries").alias("source", "entry"))
-    detail = F.from_json("entry", "struct<target:string,type:string>")
-    is_object = F.startswith(F.trim("entry"), F.lit("{"))
+    entry = F.col("entry")
     return rows.select(
-        *keys, "source",
-        F.when(is_object, detail["target"]).otherwise(F.col("entry")).alias("target"),
-        F.when(is_object, detail["type"]).alias("type"),
-        (~is_object).alias("legacy"))
+        *keys, "source", F.coalesce(_text_at(entry, "$"), _text_at(entry, "$.target")).alias("target"),
+        _text_at(entry, "$.type").alias("type"), (F.schema_of_variant(entry) == "STRING").alias("legacy"))
 
 
 def _joined(profile: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -147,20 +153,23 @@ def pass_rates(items: DataFrame, checks: DataFrame, keys: list[str]) -> DataFram
         F.coalesce(F.col("passed") / F.col("checks"), F.lit(0.0)).alias("pass_rate"))
 
 
-def _assign_in_order(group: pd.DataFrame) -> pd.DataFrame:
-    """Give each name in turn, or the first free ``name_2``, ``name_3``... when it is taken."""
-    group = group.sort_values("position")
-    taken: set[str] = set()
-    next_suffix: dict[str, int] = {}
-    unique = []
-    for base in group["base"]:
-        candidate, n = base, next_suffix.get(base, 2)
-        while candidate in taken:
-            candidate, n = f"{base}_{n}", n + 1
-        next_suffix[base] = n
-        taken.add(candidate)
-        unique.append(candidate)
-    return group.assign(unique=unique)[["dataset", "position", "unique"]]
+def _settled(group: pd.DataFrame) -> pd.DataFrame:
+    """The name of each column of a family, by proposals: a column asks for its own name, then for ``name_2``,
+    ``name_3``... A name goes to the earliest column that asks for it; one that loses a name asks for its next."""
+    held: dict[str, tuple[int, str, int]] = {}
+    asking = [(int(position), base, 1) for position, base in zip(group["position"], group["base"])]
+    while asking:
+        position, base, number = asking.pop()
+        name = base if number == 1 else f"{base}_{number}"
+        other = held.get(name)
+        if other is None or position < other[0]:
+            held[name] = (position, base, number)
+        else:
+            other = (position, base, number)
+        if other is not None:
+            asking.append((other[0], other[1], other[2] + 1))
+    names = pd.DataFrame([(position, name) for name, (position, _, _) in held.items()], columns=["position", "unique"])
+    return names.assign(dataset=group["dataset"].iloc[0])[["dataset", "position", "unique"]]
 
 
 def unique_names(columns: DataFrame) -> DataFrame:
@@ -185,7 +194,7 @@ def unique_names(columns: DataFrame) -> DataFrame:
     dataset_type = columns.schema["dataset"].dataType.simpleString()
     settled = (
         tangled.withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")
-        .applyInPandas(_assign_in_order, f"dataset {dataset_type}, position long, unique string")
+        .applyInPandas(_settled, f"dataset {dataset_type}, position long, unique string")
     )
     return simple.select("dataset", F.col("position").cast("long").alias("position"), "unique").unionByName(settled)
 

@@ -24,7 +24,7 @@ def running(
     """Add running sums and maxima per key, up to and including each row, and ``<name>_before`` without the row.
 
     ``block`` must never decrease along ``order`` within a key, and rows equal in ``order`` must share a block. With
-    ``through_peers`` rows equal in ``order`` see each other. Keys must not be NULL.
+    ``through_peers`` rows equal in ``order`` see each other. NULL is a key of its own.
     """
     sums, maxes = sums or {}, maxes or {}
     rows = df.select("*", block.alias("_block"), *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()])
@@ -42,7 +42,11 @@ def running(
     upto = inside.rangeBetween(Window.unboundedPreceding, 0) if through_peers and len(order) == 1 else (
         inside.rowsBetween(Window.unboundedPreceding, 0))
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carried, [*keys, "_block"])
+    carried = carried.toDF(*[f"_of_{i}" for i in range(len(keys))], "_of_block", *carried.columns[len(keys) + 1:])
+    same = F.col("_block").eqNullSafe(F.col("_of_block"))
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{i}"))
+    joined = rows.join(carried, same)
     columns = []
     for name in sums:
         value, carry = F.col(f"_in_{name}"), F.coalesce(F.col(f"_carry_{name}"), F.lit(0))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as Y
 from plumbline.functions import values as V
-from plumbline.operators.cells import cells, quoted, row_key
+from plumbline.operators.cells import cells, quoted, row_key, tagged_text
 from plumbline.operators.load import ColumnPlan
 
 CHECK_SCHEMA = "ordinal int, verificacao string, esperado string, obtido string, status string"
@@ -15,7 +17,8 @@ CHECK_SCHEMA = "ordinal int, verificacao string, esperado string, obtido string,
 
 def _as_text(column: Column, kind: str) -> Column:
     if kind in Y.NUMERIC_TARGETS:
-        return V.plain_number(column.cast("decimal(38,10)"))
+        # A number too large for the decimal is compared as it is written.
+        return F.coalesce(V.plain_number(column.try_cast("decimal(38,10)")), column.cast("string"))
     return column.cast("string")
 
 
@@ -80,9 +83,8 @@ def reconcile(target: DataFrame, plans: list[ColumnPlan], rows: int, duplicate_r
 
 
 def row_digest(columns: list[Column]) -> Column:
-    """60 bits of the MD5 of a row, its cells as text joined by ``|``, NULL as an empty cell."""
-    joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("decimal(20,0)")
+    """60 bits of the MD5 of a row. Cells carry their length and NULL a mark of its own, so text can't move between cells."""
+    return F.conv(F.substring(F.md5(tagged_text(columns)), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
 def content_digest(df: DataFrame, columns: list[Column] | None = None) -> DataFrame:
@@ -102,23 +104,34 @@ def compare_tables(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def keyed_differences(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, column, source, target)``: every cell behind a divergence, for tables with a unique key.
+    """``(*keys, column, source, target)``: every cell behind a divergence.
 
-    Keys and row digests are compared first; whole rows are only fetched for keys that differ.
+    Keys and row digests of both sides meet in one exchange; whole rows are only fetched for keys that differ. NULL is
+    a key like any other. A key that stands in several rows of a side is reported once, as ``(repeated key)`` with the
+    numbers of rows, when the rows of the two sides differ.
     """
     others = [c for c in source.columns if c not in keys]
 
-    def digests(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, row_key([F.col(quoted(c)) for c in others]).alias(name))
-
-    differing = digests(source, "_a").join(digests(target, "_b"), keys, "full_outer").filter(
-        ~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)
-
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        cells_of = F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in others])
-        return df.join(differing, keys, "left_semi").select(*keys, cells_of.alias(name))
-
-    both = rows(source, "_s").join(rows(target, "_t"), keys, "full_outer")
+    def marked(df: DataFrame, side: int, value: Column) -> DataFrame:
+        return df.select(*keys, value.alias("_value"), F.lit(side).alias("_side"))
+
+    def both_sides(value: Column) -> DataFrame:
+        return marked(source, 1, value).unionByName(marked(target, 0, value))
+
+    def on(side: int, value: Column) -> Column:
+        return F.when(F.col("_side") == side, value)
+
+    digest = F.xxhash64("_value").cast("decimal(38,0)")
+    counted = both_sides(row_key([F.col(quoted(c)) for c in others])).groupBy(*keys).agg(
+        F.count(on(1, F.lit(1))).alias("_n1"), F.count(on(0, F.lit(1))).alias("_n0"),
+        F.sum(on(1, digest)).alias("_d1"), F.sum(on(0, digest)).alias("_d0"))
+    differing = counted.filter((F.col("_n1") != F.col("_n0")) | ~F.col("_d1").eqNullSafe(F.col("_d0")))
+    repeated = (F.col("_n1") > 1) | (F.col("_n0") > 1)
+    wanted = differing.filter(~repeated).select(*[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(quoted(k)).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    cells_of = F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in others], F.lit(0).alias("_there"))
+    both = both_sides(cells_of).join(wanted, same, "left_semi").groupBy(*keys).agg(
+        F.max(on(1, F.col("_value"))).alias("_s"), F.max(on(0, F.col("_value"))).alias("_t"))
     missing, extra = F.col("_t").isNull(), F.col("_s").isNull()
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"_s.{quoted(c)}").eqNullSafe(F.col(f"_t.{quoted(c)}")),
@@ -126,7 +139,9 @@ def keyed_differences(source: DataFrame, target: DataFrame, keys: list[str]) ->
         for c in others]))
     whole = F.array(F.struct(F.lit("(row)").alias("column"), F.when(~extra, "present").alias("source"),
                              F.when(~missing, "present").alias("target")))
-    return both.select(*keys, F.explode(F.when(missing | extra, whole).otherwise(changed)).alias("d")).select(*keys, "d.*")
+    cells_found = both.select(*keys, F.explode(F.when(missing | extra, whole).otherwise(changed)).alias("d")).select(*keys, "d.*")
+    return cells_found.unionByName(differing.filter(repeated).select(
+        *keys, F.lit("(repeated key)").alias("column"), F.col("_n1").cast("string").alias("source"), F.col("_n0").cast("string").alias("target")))
 
 
 def row_differences(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def migrated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nullable", F.when((F.col("p_size") == 22) & (F.col("i") == 1), ~F.col("nullable")).otherwise(F.col("nullable")))
 
 
-_COUNTS_SQL = f"SELECT table_name, row_count AS source_rows, CASE WHEN p_size = 7 THEN NULL WHEN p_size = 11 THEN row_count - 1 ELSE row_count END AS target_rows, CASE WHEN p_size IN (7, 11) THEN 'failed' ELSE 'passed' END AS status FROM ({TABLES_SQL})"
+_COUNTS_SQL = f"SELECT database, schema, table_name, row_count AS source_rows, CASE WHEN p_size = 7 THEN NULL WHEN p_size = 11 THEN row_count - 1 ELSE row_count END AS target_rows, CASE WHEN p_size IN (7, 11) THEN 'failed' ELSE 'passed' END AS status FROM ({TABLES_SQL})"
 
 
 @query("catalog_row_counts", _COUNTS_SQL)
@@ -218,21 +218,21 @@ def _row_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.row_count_check(catalog_tables(spark, sf_dir), migrated_tables(spark, sf_dir))
 
 
-@query("schema_drift", f"""SELECT table_name, "column", 'source' AS side FROM ({_columns_sql(HIVE_TYPES)}) WHERE (p_size = 20 AND i = 3) OR (p_size = 21 AND i = 0)
-  UNION ALL SELECT table_name, lower("column"), 'target' FROM ({_columns_sql(HIVE_TYPES)}) WHERE p_size = 21 AND i = 0""")
+@query("schema_drift", f"""SELECT database, schema, table_name, "column", 'source' AS side FROM ({_columns_sql(HIVE_TYPES)}) WHERE (p_size = 20 AND i = 3) OR (p_size = 21 AND i = 0)
+  UNION ALL SELECT database, schema, table_name, lower("column"), 'target' FROM ({_columns_sql(HIVE_TYPES)}) WHERE p_size = 21 AND i = 0""")
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.schema_drift(catalog_columns(spark, sf_dir, HIVE_TYPES), migrated_columns(spark, sf_dir))
 
 
-@query("nullability_drift", f"SELECT table_name, \"column\", nullable AS source_nullable, NOT nullable AS target_nullable FROM ({_columns_sql(HIVE_TYPES)}) WHERE p_size = 22 AND i = 1")
+@query("nullability_drift", f"SELECT database, schema, table_name, \"column\", nullable AS source_nullable, NOT nullable AS target_nullable FROM ({_columns_sql(HIVE_TYPES)}) WHERE p_size = 22 AND i = 1")
 def _nullability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.nullability_drift(catalog_columns(spark, sf_dir, HIVE_TYPES), migrated_columns(spark, sf_dir))
 
 
-@query("foreign_key_drift", f"SELECT table_name, CASE WHEN p_size > 40 THEN 'fk_' || database ELSE '' END AS source_keys, CASE WHEN p_size = 44 THEN 'fk_other' ELSE '' END AS target_keys FROM ({TABLES_SQL}) WHERE p_size IN (7, 44)")
+@query("foreign_key_drift", f"SELECT database, schema, table_name, CASE WHEN p_size > 40 THEN 'fk_' || database ELSE '' END AS source_keys, CASE WHEN p_size = 44 THEN 'fk_other' ELSE '' END AS target_keys FROM ({TABLES_SQL}) WHERE p_size IN (7, 44)")
 def _keys_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.foreign_key_drift(catalog_tables(spark, sf_dir), migrated_tables(spark, sf_dir))
-    return found.select("table_name", F.concat_ws(",", "source_keys").alias("source_keys"), F.concat_ws(",", "target_keys").alias("target_keys"))
+    return found.select("database", "schema", "table_name", F.concat_ws(",", "source_keys").alias("source_keys"), F.concat_ws(",", "target_keys").alias("target_keys"))
 
 
 RELATIONS = [
@@ -249,11 +249,11 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-_RUNTIME_DIGEST = "CAST(sum(CAST(CAST(('0x' || substr(md5(concat_ws('|', {0})), 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+_RUNTIME_DIGEST = "CAST(sum(CAST(CAST(('0x' || substr(md5(concat({0})), 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
 
 
 def _runtime_sql(name: str, columns: list[str], extra: int, checksum: str) -> str:
-    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    texts = ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns)
     empty = " + ".join(f"count(*) FILTER ({c} IS NULL OR CAST({c} AS VARCHAR) = '')" for c in columns)
     target = f"count(*) + {extra}" if extra >= 0 else "0"
     return (f"SELECT '{name}' AS table_name, 'checked' AS status, NULL AS reason, count(*) AS rows_loaded, count(*) AS expected_source_rows, {target} AS expected_target_rows, 'passed' AS row_count_status, "

@@ -310,11 +310,11 @@ def _tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter((F.col("status") == "DIVERGE") & F.col("verificacao").isin(*listed)).select("verificacao", "esperado", "obtido")
 
 
-_DIGEST = "CAST(('0x' || substr(md5(concat_ws('|', {0})), 1, 15)) AS BIGINT)"
+_DIGEST = "CAST(('0x' || substr(md5(concat({0})), 1, 15)) AS BIGINT)"
 
 
 def _digest_columns(name: str) -> str:
-    return ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in TEXT_TABLES[name])
+    return ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in TEXT_TABLES[name])
 
 
 @query("content_digests", " UNION ALL ".join(

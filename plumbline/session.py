@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import cache
@@ -17,6 +18,8 @@ SETTINGS = {
     "spark.sql.csv.parser.columnPruning.enabled": "false",
     # The CSV reader only accepts windows-1252 with the wider charset list.
     "spark.sql.legacy.javaCharsets": "true",
+    # Of a name given twice in a JSON object the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -63,6 +66,25 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="plumbline-")
 
 
+_handed_out: list[tuple[SparkSession, str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has written to yet. It is removed when the driver ends."""
+    if not _handed_out:
+        atexit.register(remove_handed_out)
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _handed_out.append((spark, path))
+    return path
+
+
+def remove_handed_out() -> None:
+    """Remove the intermediate tables of this driver, as far as its session still answers."""
+    while _handed_out:
+        spark, path = _handed_out.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended before the driver
+            _handed_out.clear()

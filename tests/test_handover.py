@@ -70,3 +70,28 @@ def test_row_differences_count_copies(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     assert {(r["k"], r["source_copies"], r["target_copies"]) for r in R.row_differences(a, b).collect()} == {(1, 2, 1), (3, 0, 1)}
+
+
+def test_digests_tell_moved_text_and_null_apart(spark):
+    schema = "x string, y string"
+    a = spark.createDataFrame([("a|b", "c"), (None, "k")], schema)
+    b = spark.createDataFrame([("a", "b|c"), ("", "k")], schema)
+    assert R.compare_tables(a, b).first()["status"] == "failed"
+    assert R.compare_tables(a.limit(1), spark.createDataFrame([("a", "b|c")], schema)).first()["status"] == "failed"
+    assert R.compare_tables(a.filter("x IS NULL"), b.filter("x = ''")).first()["status"] == "failed"
+
+
+def test_keyed_differences_see_null_and_repeated_keys(spark):
+    schema = "k int, j string, v string"
+    a = spark.createDataFrame([(None, "p", "1"), (1, None, "2"), (2, "q", None), (3, "r", "x"), (4, "s", "a"), (4, "s", "b"), (5, "t", "a"), (5, "t", "b")], schema)
+    b = spark.createDataFrame([(1, None, "9"), (2, "q", None), (3, "r", None), (4, "s", "b"), (4, "s", "a"), (5, "t", "a"), (6, None, None)], schema)
+    found = {tuple(r) for r in R.keyed_differences(a, b, ["k", "j"]).collect()}
+    assert found == {(None, "p", "(row)", "present", None), (1, None, "v", "2", "9"), (3, "r", "v", "x", None),
+                     (5, "t", "(repeated key)", "2", "1"), (6, None, "(row)", None, "present")}
+
+
+def test_numbers_too_large_diverge_without_ending_the_job(spark, intake):
+    plans = approved_plan(intake, mapping(spark))
+    loaded = L.typed_projection(intake.rows, plans).withColumn("valor", F.lit(1e30))
+    status = {r["verificacao"]: r["status"] for r in R.reconcile(loaded, plans, 40).collect()}
+    assert status["max(valor)"] == "DIVERGE" and status["min(id)"] == "OK"

@@ -58,6 +58,12 @@ def test_trailing_counts_match_brute_force(spark):
     assert found == {i: sum(1 for _, v, t in rows if v == u and s - 86400 <= t <= s) for i, u, s in rows}
 
 
+def test_null_users_are_counted_too(spark):
+    rows = [(1, None, 0), (2, None, 3600), (3, "u", 3600), (4, None, 200_000)]
+    df = spark.createDataFrame(rows, "id int, u string, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert {r["id"]: r["recent"] for r in H.trailing_counts(df, "u", "at").collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
 def test_order_statistics_match_sorting(spark):
     rng = random.Random(9)
     groups = {"ties": [rng.choice([1.5, 1.5, 1.5, 9.0]) for _ in range(400)], "one": [3.25], "same": [2.0] * 31,

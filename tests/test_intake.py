@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import flags as G
+from plumbline.operators import profile as P
 from plumbline.operators.profile import profile
 from plumbline.plans.intake import profile_file, profile_table
 from plumbline.sources import delimited as D
@@ -83,6 +85,13 @@ def test_ranges_keys_and_shapes(spark, tmp_path):
     assert (c["day"]["min"], c["day"]["max"], c["notes"]["max_len"]) == ("2025-01-03", "2025-03-09", 3)
 
 
+def test_identical_columns_beside_a_permuted_one(spark):
+    rows = [("x", "y", "y", "x"), ("y", "x", "x", "y"), ("z", "z", "z", "q")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    found = G.identical_columns(df, P.profile(df, "d")).collect()
+    assert [r["item"] for r in found] == ["b = c"]
+
+
 def test_identical_columns(spark, tmp_path):
     found = intake(spark, tmp_path, "a,b,c,e1,e2\n1,1,x,,\n2,2,y,,\n3,3,x,,\n")
     flags = {r["kind"]: r["items"] for r in found.flags.collect()}

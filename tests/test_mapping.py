@@ -22,7 +22,7 @@ def mapping_of(spark, *rows):
 
 def test_names(spark):
     names = {"Valor Total (R$)": "valor_total_r", "São Paulo": "sao_paulo", "2024 vendas": "c_2024_vendas", "***": "coluna",
-             "ção-É": "cao_e", "x" * 200: "x" * 128}
+             "ção-É": "cao_e", "x" * 200: "x" * 128, "Preço™": "precotm", "ofﬁce": "office", "№ pedido": "no_pedido", "½ dia": "c_12_dia"}
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", N.snake_case(F.col("n")).alias("s"))
     assert {r["n"]: r["s"] for r in df.collect()} == names
 
@@ -64,35 +64,53 @@ def test_corrections_are_complete_and_settle(spark):
     assert all(r["status"] == "passed" for r in M.check_mapping(profile, again).collect())
 
 
-def brute_unique(bases):
-    taken, out = set(), []
-    for base in bases:
-        candidate, n = base, 2
-        while candidate in taken:
-            candidate, n = f"{base}_{n}", n + 1
-        taken.add(candidate)
-        out.append(candidate)
-    return out
+# Columns in order, and the names they end up with.
+SETTLED = [
+    ("a a a", "a a_2 a_3"),
+    ("a a_2 a", "a a_2 a_3"),
+    ("a a a_2", "a a_2 a_2_2"),
+    ("a_2 a a", "a_2 a a_3"),
+    ("a a a_2 a_2 a_3 a", "a a_2 a_2_2 a_2_3 a_3 a_4"),
+    ("a_2_2 a_2 a_2 a a", "a_2_2 a_2 a_2_3 a a_3"),
+    ("a_02 a a a_02", "a_02 a a_2 a_02_2"),
+    ("b c b_2 c b b", "b c b_2 c_2 b_3 b_4"),
+    ("a_3 a_2 a a a", "a_3 a_2 a a_4 a_5"),
+]
 
 
-def test_unique_names_match_the_sequential_rule(spark):
-    rng = random.Random(7)
-    pool = ["a", "a_2", "a_3", "a_2_2", "b", "b_10", "c", "a_02"]
-    rows, expected = [], {}
-    for dataset in range(40):
-        bases = [rng.choice(pool) for _ in range(rng.randint(1, 14))]
-        rows += [(f"d{dataset}", i, b) for i, b in enumerate(bases)]
-        expected.update({(f"d{dataset}", i): u for i, u in enumerate(brute_unique(bases))})
+def test_unique_names(spark):
+    rows = [(f"d{i}", position, base) for i, (bases, _) in enumerate(SETTLED) for position, base in enumerate(bases.split())]
+    expected = {(f"d{i}", position): name for i, (_, names) in enumerate(SETTLED) for position, name in enumerate(names.split())}
     found = M.unique_names(spark.createDataFrame(rows, "dataset string, position int, base string")).collect()
     assert {(r["dataset"], r["position"]): r["unique"] for r in found} == expected
 
 
+def test_many_repeats_stay_distinct_and_keep_first_names(spark):
+    rng = random.Random(7)
+    pool = ["a", "a_2", "a_3", "a_2_2", "b", "b_10", "c", "a_02"]
+    bases = [rng.choice(pool) for _ in range(200)]
+    rows = [("d", i, b) for i, b in enumerate(bases)]
+    names = [r["unique"] for r in M.unique_names(spark.createDataFrame(rows, "dataset string, position int, base string")).orderBy("position").collect()]
+    assert len(set(names)) == 200
+    # Every earlier spelling of a column's name, from its own on, went to a column before it.
+    before = set()
+    for base, name in zip(bases, names):
+        number = 1 if name == base else int(name.rsplit("_", 1)[1])
+        assert name == base or name == f"{base}_{number}"
+        assert {base if n == 1 else f"{base}_{n}" for n in range(1, number)} <= before and name not in before
+        before.add(name)
+
+
 def test_answers_are_parsed_or_refused(spark):
-    texts = ['```json\n{"a": {"target": "x", "type": "int"}, "b": "y"}\n```', 'so: {"a": "z"} ok', "no mapping here", "{broken", '} {']
+    texts = ['```json\n{"a": {"target": "x", "type": "int"}, "b": "y"}\n```', 'so: {"a": "z"} ok', "no mapping here", "{broken", '} {',
+             '{"a":"x"} and {"b":"y"}', "{'a':'x'}", '{"a":"x"},{"b":"y"}', '{"a":"x","a":"y"}',
+             '{"a": 5, "b": ["q"], "c": {"target": 5, "type": 7}, "d": null, "e": {}, "f": {"target": "t", "type": null}}', "{}", None]
     parsed = M.parsed_answers(spark.createDataFrame(list(enumerate(texts)), "id int, content string"))
-    assert [r["id"] for r in parsed.filter("error is not null").orderBy("id").collect()] == [2, 3, 4]
+    assert [r["id"] for r in parsed.filter("error is not null").orderBy("id").collect()] == [2, 3, 4, 5, 6, 7, 11]
     rows = {(r["id"], r["source"]): (r["target"], r["type"], r["legacy"]) for r in M.mapping_rows(parsed, ["id"]).collect()}
-    assert rows == {(0, "a"): ("x", "int", False), (0, "b"): ("y", None, True), (1, "a"): ("z", None, True)}
+    none = (None, None, False)
+    assert rows == {(0, "a"): ("x", "int", False), (0, "b"): ("y", None, True), (1, "a"): ("z", None, True), (8, "a"): ("y", None, True),
+                    **{(9, c): none for c in "abcde"}, (9, "f"): ("t", None, False)}
 
 
 def test_no_checks_is_no_evidence(spark):

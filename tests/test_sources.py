@@ -74,6 +74,22 @@ def test_catalogs_flatten_and_compare(spark, tmp_path):
     assert [r["risk_id"] for r in E.risks(source).collect()] == ["R001", "R002", "R003"]
 
 
+def test_tables_are_told_apart_by_database(spark):
+    tables = spark.createDataFrame([("a", "t", 1, ["k"]), ("b", "t", 2, None), ("b", None, 3, None)],
+                                   "database string, table_name string, row_count long, foreign_keys array<string>")
+    assert tuple(E.row_count_check(tables, tables).first()) == (6, 6, 0, "passed")
+    assert E.foreign_key_drift(tables, tables).count() == 0
+    bare = tables.drop("database")
+    assert {r["table_name"]: r["status"] for r in E.table_row_counts(tables, bare).collect()} == {"t": "ambiguous", None: "passed"}
+    columns = spark.createDataFrame([("a", "t", "c", True), ("b", "t", "c", False), ("b", "t", "d", None)],
+                                    "database string, table_name string, column string, nullable boolean")
+    other = spark.createDataFrame([("a", "t", "c", True), ("b", "t", "c", None), ("b", "t", "e", None)],
+                                  "database string, table_name string, column string, nullable boolean")
+    assert E.schema_drift(columns, columns).count() == 0 and E.nullability_drift(columns, columns).count() == 0
+    assert [tuple(r) for r in E.nullability_drift(columns, other).collect()] == [("b", "t", "c", False, None)]
+    assert {(r["column"], r["side"]) for r in E.schema_drift(columns, other).collect()} == {("d", "source"), ("e", "target")}
+
+
 def test_csv_presence(spark, tmp_path):
     (tmp_path / "sales").mkdir()
     (tmp_path / "sales" / "customers.csv").write_text("id\n1\n")
