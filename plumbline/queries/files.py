@@ -12,7 +12,7 @@ from plumbline.session import fresh_path
 from plumbline.sources import delimited as D
 
 
-@query("delimited_to_parquet", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("orders", "customer", "labels")))
+@query("delimited_to_parquet", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, 0 AS discarded FROM {t}" for t in ("orders", "customer", "labels")))
 def _to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = {}
     for name in ("orders", "customer", "labels"):
@@ -56,10 +56,40 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.is_valid_utf8("html").alias("utf8"))
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A table as quoted delimited text; texts hold line breaks, and those of documents run to 100 000 characters."""
+    path = fresh_path(spark, name)
+    as_text(table(spark, sf_dir, name)).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
 @query("delimited_round_trip", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, md5(text) AS text_md5 FROM conversations")
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "conversations")
-    as_text(table(spark, sf_dir, "conversations")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    found = D.Layout("utf-8", ",", ("conv_id", "turn", "role", "text"))
-    rows = D.read_delimited(spark, path, found, multi_line=True)
-    return rows.select(F.col("c0").alias("conv_id"), F.col("c1").alias("turn"), F.col("c2").alias("role"), F.md5("c3").alias("text_md5"))
+    path = _written(spark, sf_dir, "conversations")
+    good, _ = D.split_malformed(D.read_delimited(spark, path, found := D.layout(spark, path)), found)
+    return good.toDF(*found.header).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("delimited_long_texts", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang, source FROM documents")
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, sf_dir, "documents")
+    good, _ = D.split_malformed(D.read_delimited(spark, path, found := D.layout(spark, path)), found)
+    return good.toDF(*found.header).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source")
+
+
+@query("malformed_records_with_line_breaks", "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations WHERE role = 'user'")
+def _malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of users have a field too many; their texts hold line breaks, quotes and delimiters."""
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(', "x"\n,"')))
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    extra = F.when(F.col("role") == "user", F.lit("extra"))
+    line = F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"), quoted, extra)
+    path = fresh_path(spark, "records")
+    # Four files, each with the header first.
+    lines = rows.select((F.col("conv_id") % 4).alias("file"), F.lit(1).alias("turn"), line.alias("value")).unionByName(
+        spark.range(4).select(F.col("id").alias("file"), F.lit(0).alias("turn"), F.lit("conv_id,turn,text").alias("value")))
+    lines.repartition(4, "file").sortWithinPartitions("file", "turn").select("file", "value").write.partitionBy("file").text(path)
+    found = D.layout(spark, path)
+    cells = F.from_csv("text", F.lit("conv_id long, turn long, text string, extra string"), {"escape": '"', "ignoreTrailingWhiteSpace": "false"})
+    kept = D.malformed_lines(spark, path, found).select(cells.alias("c")).select("c.*").filter("extra = 'extra'")
+    return kept.select("conv_id", "turn", F.md5(F.replace("text", F.lit(', "x"\n,"'), F.lit(""))).alias("text_md5"))

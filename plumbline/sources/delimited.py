@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import running
 from plumbline.session import fresh_path
 
 # Delimiters looked for, the text looked at, and encoding names of the CSV reader.
@@ -25,9 +26,12 @@ class UnreadableFile(ValueError):
 
 @dataclass(frozen=True)
 class Layout:
+    """``line_breaks``: some line holds an odd number of quotes, so records may go on over lines."""
+
     encoding: str
     delimiter: str
     header: tuple[str, ...]
+    line_breaks: bool = False
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +60,9 @@ def _head(spark: SparkSession, path: str) -> bytes:
     return b"\n".join(bytes(r["b"]) for r in lines.collect())
 
 
-def _encoding(spark: SparkSession, path: str, head: bytes) -> str:
-    """The encoding of one delimited file, whatever its size: decided line by line, over the whole file."""
+def _encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, bool]:
+    """The encoding of one delimited file, whatever its size, and whether quotes may be open at a line's end: decided
+    line by line, over the whole file."""
     if head.startswith((b"\xff\xfe", b"\xfe\xff")) or b"\x00" in head[:8192]:
         raise UnreadableFile("the file looks like UTF-16 or binary; export it as UTF-8")
     # The text source keeps the bytes of a line as they are.
@@ -68,8 +73,23 @@ def _encoding(spark: SparkSession, path: str, head: bytes) -> str:
     valid = F.is_valid_utf8("value")
     facts = lines.agg(
         F.coalesce(F.bool_and(valid), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(undefined), F.lit(False)).alias("undefined")).first()
-    return "utf-8" if facts["utf8"] else "latin-1" if facts["undefined"] else "windows-1252"
+        F.coalesce(F.bool_or(undefined), F.lit(False)).alias("undefined"),
+        F.coalesce(F.bool_or(F.regexp_count(F.decode("b", "ISO-8859-1"), F.lit('"')) % 2 == 1), F.lit(False)).alias("open")).first()
+    return "utf-8" if facts["utf8"] else "latin-1" if facts["undefined"] else "windows-1252", facts["open"]
+
+
+def _first_record(spark: SparkSession, path: str, encoding: str, delimiter: str) -> list[str]:
+    """The fields of the first record, however long its lines and however many it has."""
+    codec = {"utf-8": "utf-8-sig", "windows-1252": "cp1252"}.get(encoding, "latin-1")
+    lines, wanted = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b")), 64
+    while True:
+        found = [bytes(r["b"]) for r in lines.limit(wanted).collect()]
+        text = b"\n".join(found).decode(codec, "replace")
+        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
+        first = next(reader, [])
+        if len(found) < wanted or reader.line_num < len(found):
+            return first
+        wanted *= 16
 
 
 def _sample(head: bytes, encoding: str) -> str:
@@ -93,24 +113,33 @@ def _delimiter(sample: str) -> str:
 def layout(spark: SparkSession, path: str) -> Layout:
     """Encoding, delimiter and header of one file, or ``UnreadableFile``."""
     head = _head(spark, path)
-    encoding = _encoding(spark, path, head)
+    encoding, open_ = _encoding(spark, path, head)
     sample = _sample(head, encoding)
     if not sample.strip():
         raise UnreadableFile("the file is empty")
     delimiter = _delimiter(sample)
-    header = next(csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter), [])
+    csv.field_size_limit(2**31 - 1)
+    header = _first_record(spark, path, encoding, delimiter)
     if not any(name.strip() for name in header):
         raise UnreadableFile("the header has no column name")
-    return Layout(encoding, delimiter, tuple(header))
+    return Layout(encoding, delimiter, tuple(header), open_)
+
+
+def _schema(found: Layout) -> str:
+    return ", ".join([f"c{i} string" for i in range(len(found.header))] + [f"{BAD_ROW} string"])
 
 
 def read_delimited(spark: SparkSession, path: str, found: Layout, multi_line: bool = False) -> DataFrame:
     """Every cell as text under positional names ``c0..cn``, with the raw text of malformed rows in ``BAD_ROW``.
 
     Positional names keep headers apart that differ only in case. Column pruning must be off: a pruned read does
-    not count fields and takes malformed rows for good ones.
+    not count fields and takes malformed rows for good ones. Where quotes may hold line breaks, records are put together
+    first; ``multi_line`` reads each file in one task instead.
     """
-    schema = ", ".join([f"c{i} string" for i in range(len(found.header))] + [f"{BAD_ROW} string"])
+    if found.line_breaks and not multi_line:
+        rows = records(spark, path, found)
+        return rows.select(_parsed(F.col("text"), found).alias("r")).select("r.*")
+    schema = _schema(found)
     return (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_ROW).option("sep", found.delimiter)
@@ -135,36 +164,106 @@ def split_malformed(rows: DataFrame, found: Layout, keep_at: str | None = None)
             parsed.filter(F.col(BAD_ROW).isNotNull()).select(F.col(BAD_ROW).alias("line")))
 
 
-def malformed_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
-    """``(file, line, text)``: lines whose field count differs from the header's, blank lines apart, with their number
-    in their file. Quoted line breaks are not followed.
+def _parsed(text: Column, found: Layout) -> Column:
+    return F.from_csv(text, F.lit(_schema(found)), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW, "sep": found.delimiter, "escape": '"',
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
+def _numbered_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
+    """``(file, line, text)`` of every line, counted from 1 in its file.
 
-    Spark reads a file in byte ranges and numbers rows per task. Rows of a range are counted, ranges are added up
-    along the file, and only malformed lines meet those sums.
+    Spark reads a file in byte ranges and numbers rows per task. Rows of a range are counted, and ranges are added up
+    along the file.
     """
-    lines = spark.read.text(path).select(
+    charset = READER_ENCODINGS[found.encoding]
+    raw = F.col("value").cast("binary")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+        F.monotonically_increasing_id().alias("id"), (F.col("value") if found.encoding == "utf-8" else F.decode(raw, charset)).alias("text"))
     ranges = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("file", "start", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    plain = F.regexp_replace("text", '"([^"]|"")*"', "q")
-    fields = F.size(F.split(plain, "\\Q" + found.delimiter + "\\E", -1))
-    bad = lines.filter((F.trim("text") != "") & (fields != len(found.header)))
-    return bad.join(offsets, ["file", "start"]).select(
-        "file", (F.col("offset") + F.col("id") - F.col("first_id") + 1).alias("line"), "text")
+    # A row for each byte range.
+    return lines.join(offsets, ["file", "start"]).select("file", (F.col("offset") + F.col("id") - F.col("first_id") + 1).alias("line"), "text")
+
+
+OUT, IN, SHUT = 0, 1, 2  # where a quote is met: outside, inside, or right after the quote that may have closed a cell
+
+
+def _end_state(text: Column, delimiter: str, start: int) -> Column:
+    """Whether a quoted cell is open at the end of a line that starts outside (0) or inside (1) one. A quote opens a
+    cell only where the cell starts; two in a row stand for one."""
+    pieces = F.split(text, '"', -1)
+    steps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: F.struct(
+        (p == "").alias("empty"), (F.endswith(p, F.lit(delimiter)) | ((i == 0) & (p == ""))).alias("field"), i.alias("i")))
+
+    def step(state: Column, s: Column) -> Column:
+        opens = F.when(s["field"], IN).otherwise(OUT)
+        return F.when(state == IN, SHUT).when((state == SHUT) & s["empty"], IN).otherwise(opens).cast("int")
+
+    # What a line starts inside of has no first field.
+    begun = F.transform(steps, lambda s: s.withField("field", s["field"] & ((s["i"] > 0) | ~s["empty"]))) if start == IN else steps
+    return (F.aggregate(begun, F.lit(start), step) == IN).cast("int")
+
+
+def records(spark: SparkSession, path: str, found: Layout) -> DataFrame:
+    """``(file, line, text)`` of every record but each file's first, which is the header, and blank ones; ``line`` is
+    where the record starts. Quoted line breaks belong to their record, whatever byte range they fall into.
+
+    Each line is a step between "outside" and "inside" a quoted cell: it keeps the state, changes it, or sets it. What
+    holds before a line is what the last setting line left, changed as often as lines since then change it; both are
+    running totals over blocks of lines, so a file is never in one task.
+    """
+    text = F.regexp_replace("text", "^\\uFEFF", "")
+    lines = _numbered_lines(spark, path, found).withColumn("text", F.when(F.col("line") == 1, text).otherwise(F.col("text")))
+    stepped = lines.withColumn("quoted", F.contains("text", F.lit('"'))).select(
+        "file", "line", "text",
+        F.when(F.col("quoted"), _end_state(F.col("text"), found.delimiter, OUT)).otherwise(0).alias("out"),
+        F.when(F.col("quoted"), _end_state(F.col("text"), found.delimiter, IN)).otherwise(1).alias("into"))
+    path = fresh_path(spark, "lines")
+    stepped.write.parquet(path)
+    stepped = spark.read.parquet(path)
+    block = F.floor(F.col("line") / 65536)
+    changes = F.when((F.col("out") == 1) & (F.col("into") == 0), 1).otherwise(0)
+    steps = running(stepped.drop("text"), ["file"], ["line"], block, sums={"changed": changes})
+    sets = F.when(F.col("out") == F.col("into"), F.struct("line", F.col("out").alias("to"), "changed"))
+    steps = running(steps, ["file"], ["line"], block, maxes={"set": sets})
+    last = F.col("set_before")
+    state = F.coalesce((last["to"] + F.col("changed_before") - last["changed"]) % 2, F.col("changed_before") % 2)
+    starts = F.when(state == 0, 1).otherwise(0)
+    numbered = running(steps.select("file", "line", starts.alias("starts")), ["file"], ["line"], block, sums={"record": F.col("starts")})
+    parts = stepped.select("file", "line", "text").join(numbered.select("file", "line", "record"), ["file", "line"])
+    whole = parts.groupBy("file", "record").agg(
+        F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    whole = whole.filter("record > 1").withColumn("text", F.regexp_replace("text", "\r\\z", ""))
+    return whole.filter(F.trim("text") != "").select("file", "line", "text")
+
+
+def malformed_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
+    """``(file, line, text)``: records whose number of fields differs from the header's, blank ones apart, with the
+    line of their file they start in. The parser that reads the file decides."""
+    if found.line_breaks:
+        rows = records(spark, path, found)
+    else:
+        rows = _numbered_lines(spark, path, found).filter("line > 1").withColumn("text", F.regexp_replace("text", "\r\\z", ""))
+        rows = rows.filter(F.trim("text") != "")
+    return rows.filter(_parsed(F.col("text"), found)[BAD_ROW].isNotNull()).select("file", "line", "text")
 
 
 def to_parquet(spark: SparkSession, tables: dict[str, str], out: str) -> DataFrame:
-    """Copy delimited files ``{table: path}`` to parquet under ``out``; ``(table_name, rows, path)`` per table."""
+    """Copy delimited files ``{table: path}`` to parquet under ``out``; ``(table_name, rows, discarded, path)`` per
+    table. Malformed rows are counted and stay, as text, under ``<table>_discarded``."""
     manifest = []
     for name, path in tables.items():
         found = layout(spark, path)
-        rows = read_delimited(spark, path, found)
-        good = rows.filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW).toDF(*found.header)
-        good.write.mode("errorifexists").parquet(f"{out}/{name}")
-        manifest.append(spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("table_name"), "rows", F.lit(f"{out}/{name}").alias("path")))
+        good, bad = split_malformed(read_delimited(spark, path, found), found)
+        good.toDF(*found.header).write.mode("errorifexists").parquet(f"{out}/{name}")
+        bad.write.mode("errorifexists").parquet(f"{out}/{name}_discarded")
+        counts = spark.read.parquet(f"{out}/{name}").select(F.lit(1).alias("n"), F.lit(0).alias("d")).unionAll(
+            spark.read.parquet(f"{out}/{name}_discarded").select(F.lit(0), F.lit(1)))
+        manifest.append(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("d"), F.lit(0)).alias("discarded")).select(
+            F.lit(name).alias("table_name"), "rows", "discarded", F.lit(f"{out}/{name}").alias("path")))
     result = manifest[0]
     for other in manifest[1:]:
         result = result.unionByName(other)

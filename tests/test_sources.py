@@ -48,6 +48,56 @@ def test_malformed_rows_do_not_leak_into_narrow_reads(spark, tmp_path):
     assert [r["line"] for r in D.malformed_lines(spark, str(path), found).orderBy("line").collect()] == [3, 4]
 
 
+def test_records_hold_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    long = "x" * 60_000 + '""' * 5_000
+    path.write_text('id,text,n\n1,"two\nlines",1\n2,plain 5" pipe,2\n3,"a ""b""\n\n,""",3\n4,"' + long + '",4\n5,x\n6,"q\n",6,7\n7,"",8\n', encoding="utf-8")
+    found = D.layout(spark, str(path))
+    assert found.line_breaks and found.header == ("id", "text", "n")
+    good, bad = D.split_malformed(D.read_delimited(spark, str(path), found), found)
+    assert {r["c0"]: (r["c1"], r["c2"]) for r in good.collect()} == {
+        "1": ("two\nlines", "1"), "2": ('plain 5" pipe', "2"), "3": ('a "b"\n\n,"', "3"), "4": ("x" * 60_000 + '"' * 5_000, "4"), "7": (None, "8")}
+    assert sorted(r["line"] for r in bad.collect()) == ["5,x", '6,"q\n",6,7']
+    assert {r["line"]: r["text"] for r in D.malformed_lines(spark, str(path), found).collect()} == {9: "5,x", 10: '6,"q\n",6,7'}
+    assert D.to_parquet(spark, {"t": str(path)}, str(tmp_path / "out")).select("rows", "discarded").first() == (5, 2)
+
+
+def test_records_in_many_byte_ranges(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(4)
+    rows = [(str(i), "".join(rng.choice('a"\n,;b é') for _ in range(rng.randint(1, 40))) + ".") for i in range(3000)]
+    path = tmp_path / "m.csv"
+    with path.open("w", encoding="utf-8", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows([("k", "v"), *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = D.layout(spark, str(path))
+        good, bad = D.split_malformed(D.read_delimited(spark, str(path), found), found)
+        assert good.rdd.getNumPartitions() > 1 and bad.count() == 0
+        assert sorted(tuple(r) for r in good.collect()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_wide_headers_are_read_whole(spark, tmp_path):
+    names = [f"column_number_{i}" for i in range(2000)]
+    path = tmp_path / "w.csv"
+    path.write_text(",".join(names) + "\n" + ",".join(map(str, range(2000))) + "\n")
+    found = D.layout(spark, str(path))
+    assert found.header == tuple(names)
+    good, bad = D.split_malformed(D.read_delimited(spark, str(path), found), found)
+    assert good.count() == 1 and bad.count() == 0
+
+
+def test_malformed_text_is_decoded(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_bytes("a,b\né,2\nção,2,3\n".encode("cp1252"))
+    found = D.layout(spark, str(path))
+    assert [r["text"] for r in D.malformed_lines(spark, str(path), found).collect()] == ["ção,2,3"]
+
+
 CATALOG = {"databases": [{"name": "sales", "tables": [
     {"table_name": "customers", "row_count": 2500000, "storage_size_gb": 15.3, "partitions": ["dt"], "columns": [{"name": "id", "type": "bigint", "nullable": False}]},
     {"table_name": "orders", "row_count": 15000000, "storage_size_gb": 85.7, "columns": [{"name": "id", "type": "map", "nullable": True}]}]},
