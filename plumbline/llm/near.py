@@ -8,7 +8,8 @@ chance of (1 - 0.8^4)^32, about 5e-8.
 Exact copies meet first, by a digest of the whole set, and go on as one class. Inside a band's group every class is
 compared with the group's first one, and those links are joined up; so a group of n copies costs n comparisons and not
 n^2. Groups that still hold several components are searched again: pairs of different components whose signatures
-agree in ``AGREE`` of the places (0.8 less more than four deviations) are compared too. Every link is confirmed on the
+agree in ``AGREE`` of the places (0.8 less more than four deviations) are compared too, inside cells of a bounded
+number of members, until a cell's components are joined up. Every link is confirmed on the
 full sets; there is no cap on groups, partners or candidates.
 
 Defined results: a document without words has an empty set, no links, and is its own component. With fewer words than
@@ -21,14 +22,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import pick, small_batches, stored, type_of
+from plumbline.llm.tables import partitions, pick, small_batches, stored, type_of
 
 BANDS, ROWS = 32, 4
 AGREE = 0.65
@@ -103,19 +105,24 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, text_hash long, n_shingles long, digest binary, signature binary")
 
 
+def keys_of(signatures: np.ndarray) -> np.ndarray:
+    """The keys of the bands of each signature."""
+    parts = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(parts), 1))
+    for i in range(ROWS):
+        key = (key ^ parts[:, :, i]) * _BASE
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
     """``(band, node, n)``: each class under the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = b"".join(batch.column(2).to_pylist())
-            parts = np.frombuffer(data, np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(parts), 1))
-            for i in range(ROWS):
-                key = (key ^ parts[:, :, i]) * _BASE
-                key ^= key >> np.uint64(31)
+            key = keys_of(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1).view(np.int64)), *[pa.array(np.repeat(batch.column(i).to_numpy(), BANDS)) for i in (0, 1)]],
+                [pa.array(key.reshape(-1)), *[pa.array(np.repeat(batch.column(i).to_numpy(), BANDS)) for i in (0, 1)]],
                 ["band", "node", "n"])
 
     return classes.select("node", "n", "signature").mapInArrow(run, "band long, node long, n long")
@@ -185,10 +192,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _across(groups: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs of different components that share a band and whose signatures nearly agree.
+    """``(band, i, j, xs, ys, nodes)``: pairs of different components that share a band and whose signatures nearly
+    agree, as two arrays for each cell, and the nodes in them.
 
     ``groups`` has ``(band, node)``. The members outside a group's largest component meet all its members, in cells of
-    at most about ``CELL`` by ``CELL``; only groups with several components are looked at.
+    at most about ``CELL`` by ``CELL``; only groups with several components are looked at. A pair that shares several
+    bands is taken in the first of them.
     """
     rooted = groups.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
@@ -200,27 +209,100 @@ def _across(groups: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
                          F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
     open_ = rooted.join(mixed, "band").join(classes.select("node", "n", "signature"), "node")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    to = F.sequence(F.lit(0), F.col("rows") - 1)
-    every = open_.select(F.explode(to).alias("i"), block(F.col("columns")).alias("j"), "band", "node", "root", "n", "signature", F.lit(False).alias("odd"))
-    odd = open_.filter("root <> largest").select(
-        block(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"),
-        "band", "node", "root", "n", "signature", F.lit(True).alias("odd"))
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = cell[cell["odd"]], cell[~cell["odd"]]
-        marks = np.frombuffer(b"".join(columns["signature"]), np.uint32).reshape(len(columns), -1)
-        nodes, roots_, n = (columns[c].to_numpy() for c in ("node", "root", "n"))
-        a, b = [], []
-        for node, root, size, mark in zip(rows["node"], rows["root"], rows["n"], rows["signature"], strict=True):
-            can = (roots_ != root) & (100 * np.minimum(n, size) >= 80 * np.maximum(n, size))
-            at = np.flatnonzero(can)
-            at = at[(marks[at] == np.frombuffer(mark, np.uint32)).mean(axis=1) >= AGREE]
-            a.append(np.minimum(nodes[at], node))
-            b.append(np.maximum(nodes[at], node))
-        empty = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
-
-    return every.unionByName(odd).groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    odd = F.col("root") != F.col("largest")
+    shared = ("band", "node", "root", "n", "signature")
+    every = open_.select(F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), block(F.col("columns")).alias("j"), *shared,
+                         odd.alias("odd"), F.lit(False).alias("row"))
+    rows_ = open_.filter(odd).select(block(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), *shared,
+                                     F.lit(True).alias("odd"), F.lit(True).alias("row"))
+
+    spark = groups.sparkSession
+    cells = every.unionByName(rows_).repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    small_batches(spark, CELL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Most cells hold a few rows: they are cut out of sorted batches, the last one of a batch waits for the next.
+        held: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                columns, ends = held, [] if held is None else [len(held[0])]
+            else:
+                columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in CELL_COLUMNS]
+                columns.append(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+                if held is not None:
+                    columns = [np.concatenate(part) for part in zip(held, columns, strict=True)]
+                change = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+                ends = (np.flatnonzero(change) + 1).tolist()
+            found, start = [], 0
+            for end in ends:
+                own = [c[start:end] for c in columns]
+                x, y = _candidates(*own[:1], *own[3:])
+                if len(x):
+                    found.append((own[0][0], own[1][0], own[2][0], x, y, np.unique(np.concatenate([x, y]))))
+                start = end
+            held = None if columns is None else [c[start:] for c in columns]
+            if found:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)],
+                                                 names=["band", "i", "j", "xs", "ys", "nodes"])
+
+    return cells.select(*CELL_COLUMNS, "signature").mapInArrow(
+        run, "band long, i int, j int, xs array<bigint>, ys array<bigint>, nodes array<bigint>")
+
+
+CELL_COLUMNS = ("band", "i", "j", "node", "root", "n", "odd", "row")
+
+
+def _candidates(band: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, odd: np.ndarray, row: np.ndarray,
+                marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one cell that are worth a comparison of full sets."""
+    rows, columns = np.flatnonzero(row), np.flatnonzero(~row)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 13) // max(1, len(columns)))
+    for start in range(0, len(rows) if len(columns) else 0, step):
+        at, to = rows[start : start + step, None], columns[None, :]
+        # Two odd members meet twice; the smaller one asks.
+        can = (root[to] != root[at]) & (~odd[to] | (node[to] > node[at])) & (100 * np.minimum(n[to], n[at]) >= 80 * np.maximum(n[to], n[at]))
+        a, b = np.nonzero(can)
+        a, b = at[a, 0], to[0, b]
+        same = marks[a] == marks[b]
+        near_ = same.mean(axis=1) >= AGREE
+        a, b, same = a[near_], b[near_], same[near_]
+        if len(a):
+            first = same.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            here = keys_of(marks[a])[np.arange(len(a)), first] == band[0]
+            xs.append(node[a[here]])
+            ys.append(node[b[here]])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _linked_across(across: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` among the pairs of each cell, enough to join up what they join: pairs that are connected by
+    then are not compared. The sets of a cell's nodes come to it; pairs never become rows."""
+    needed = across.select(F.col("band").alias("of"), F.col("i").alias("r"), F.col("j").alias("c"), F.explode("nodes").alias("node"))
+    needed = needed.join(sets, "node").select("of", "r", "c", "node", "hashes")
+
+    def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        own = {node: np.frombuffer(h, np.uint64) for node, h in zip(members["node"], members["hashes"], strict=True)}
+        parent = {node: node for node in own}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for x, y in zip(np.concatenate(pairs["xs"].to_list()).tolist(), np.concatenate(pairs["ys"].to_list()).tolist(), strict=True):
+            a, b = root(x), root(y)
+            if a != b:
+                common = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                if 100 * common >= percent * (len(own[x]) + len(own[y]) - common):
+                    parent[a] = b
+                    found.append((x, y))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    cells = across.select("band", "i", "j", "xs", "ys").groupBy("band", "i", "j")
+    return cells.cogroup(needed.groupBy("of", "r", "c")).applyInPandas(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,6 +311,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ``component_id`` is the smallest id reachable over links, and ``kept`` marks the document that has it. The bands
     are made for a likeness of 0.8 or more.
     """
+    return _grouped(docs, size, percent).drop("text_hash", "root")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same with ``text_hash`` and ``root``, which tell rows, and groups, of one id apart."""
     if percent < 80:
         raise ValueError("the bands find pairs from a likeness of 0.8 on")
     spark = docs.sparkSession
@@ -252,8 +339,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(_sets(docs, classes.join(groups.select("node").distinct(), "node"), size), "sets")
     links = stored(linked(pairs, sets, percent), "links")
     roots = components(links)
-    across = stored(_across(groups.select("band", "node"), classes, roots).join(pairs, ["a", "b"], "left_anti"), "across")
-    more = stored(linked(across, sets, percent), "more-links")
+    across = stored(_across(groups.select("band", "node"), classes, roots), "across")
+    small_batches(spark)
+    more = stored(_linked_across(across, sets, percent), "more-links")
     if not more.isEmpty():
         # Links between components are joined up over their roots.
         named = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(
@@ -265,25 +353,26 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = classes.select("digest", "node", "rep").join(roots, "node", "left").select(
         "digest", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("smallest"))
-    of_digest = named.join(smallest, "root").select("digest", "smallest")
-    out = marks.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
+    of_digest = named.join(smallest, "root").select("digest", "root", "smallest")
+    out = marks.select("doc_id", "text_hash", "n_shingles", "digest").join(of_digest, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).cast(kind)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "root", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they were, without all but one of each group.
 
-    Rows that share the kept id stand for one document: the first by text stays.
+    Of several rows with the kept id the one with the smallest hash of its text stays, of equal rows one.
     """
-    from pyspark.sql import Window
-
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    doc_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
-    found = near_groups(docs, size, percent)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    left = plain.join(gone, F.col(doc_id).eqNullSafe(F.col("gone")), "left_anti")
-    # Several rows of one id: of those with words and equal texts one stays.
-    turn = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(text))
-    return left.withColumn("turn", turn).filter("turn = 1").drop("turn").toDF(*names)
+    doc_id, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    found = _grouped(docs, size, percent)
+    # One text for each group, and all rows without words.
+    stay = found.filter("kept AND n_shingles > 0").groupBy("root", "component_id").agg(F.min("text_hash").alias("one"))
+    stay = stay.select(F.col("component_id").alias("id"), "one", F.lit(True).alias("single"))
+    empty = found.filter("n_shingles = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("one"), F.lit(False).alias("single"))
+    left = plain.withColumn("_hash", F.xxhash64(text)).join(
+        stay.unionByName(empty).distinct(), doc_id.eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("one")))
+    turn = F.row_number().over(Window.partitionBy("id", "one").orderBy(text))
+    return left.withColumn("_turn", turn).filter("NOT single OR _turn = 1").select(*plain.columns).toDF(*names)
