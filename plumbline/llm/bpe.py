@@ -29,6 +29,8 @@ from plumbline.llm.tables import pick, small_batches, type_of
 
 #: Words kept with their ids in each worker; when it is full, it starts anew.
 CACHE = 400_000
+#: Characters of the texts whose words are looked up together, and ids decoded at a time.
+TOGETHER, STRETCH = 1 << 22, 1 << 16
 #: Symbols of the longest word that is merged in step with others.
 SHORT = 64
 NONE = np.int64(1) << 62
@@ -256,35 +258,39 @@ class Vocabulary:
         look = self.words.__getitem__
         self.known.update((r, look(own[0]) if len(own) == 1 else b"".join(map(look, own))) for r, own in zip(new, pieces, strict=True))
 
+    def _parts(self, text: str) -> list[list[str] | int]:
+        """Runs of the text between its special tokens, and their ids."""
+        own, at = [], 0
+        if any(s in text for s in self.special):
+            for m in self.specials.finditer(text):
+                own += [self._runs(text[at : m.start()]), self.special[m[0]]]
+                at = m.end()
+        return [*own, self._runs(text[at:])]
+
+    def _joined(self, parts: list[list[list[str] | int]], need: set[str]) -> list[np.ndarray]:
+        self._learn(need)
+        look = self.known.__getitem__
+        return [np.frombuffer(b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(look, p)) for p in own]),
+                              np.dtype("<i4")) for own in parts]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts: list[list[list[str] | int]] = []
+        out, parts, need, held = [], [], set(), 0
         for text in texts:
-            text, own, at = text or "", [], 0
-            if any(s in text for s in self.special):
-                for m in self.specials.finditer(text):
-                    own += [self._runs(text[at : m.start()]), self.special[m[0]]]
-                    at = m.end()
-            parts.append([*own, self._runs(text[at:])])
-        # No more runs at a time than the cache holds, unless one text has more.
-        out, start = [], 0
-        while start < len(parts):
-            need: set[str] = set()
-            stop = start
-            while stop < len(parts) and (stop == start or len(need) < CACHE // 4):
-                need.update(chain.from_iterable(p for p in parts[stop] if not isinstance(p, int)))
-                stop += 1
-            self._learn(need)
-            look = self.known.__getitem__
-            for own in parts[start:stop]:
-                out.append(np.frombuffer(b"".join(
-                    [p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(look, p)) for p in own]), np.dtype("<i4")))
-            start = stop
-        return out
-
-    def decode(self, ids) -> str:
-        """The pieces joined by blanks: the files of this kind name no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+            own = self._parts(text or "")
+            parts.append(own)
+            need.update(chain.from_iterable(p for p in own if not isinstance(p, int)))
+            held += len(text or "")
+            # No more runs at a time than the cache holds, and no more text than this, unless one text has more.
+            if len(need) >= CACHE // 4 or held >= TOGETHER:
+                out += self._joined(parts, need)
+                parts, need, held = [], set(), 0
+        return out + self._joined(parts, need)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The pieces joined by blanks: the files of this kind name no decoder. Ids become objects a stretch at a time."""
+        look = self.tokens.__getitem__
+        return " ".join(" ".join(map(look, ids[i : i + STRETCH].tolist())) for i in range(0, len(ids), STRETCH))
 
 
 @lru_cache(maxsize=2)
@@ -302,9 +308,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         words = vocabulary(path)
         for batch in batches:
             found = words.encode(batch.column(1).to_pylist())
-            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, ids array<int>")
 
@@ -317,12 +321,33 @@ def decoded(encodings: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            texts = pa.array([words.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())
+            texts = pa.array([words.decode(ids.values.to_numpy()) if ids.is_valid else "" for ids in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "decoded"])
 
     return encodings.mapInArrow(run, f"doc_id {type_of(encodings, 'doc_id')}, ids array<int>, decoded string")
 
 
+def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decoded(encoded(docs))`` by one worker for each task, which reads the vocabulary once."""
+    small_batches(docs.sparkSession)
+    path = path or default_path()
+    docs = pick(docs, "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            found = words.encode(batch.column(1).to_pylist())
+            texts = pa.array([words.decode(ids) for ids in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found), texts], ["doc_id", "ids", "decoded"])
+
+    return docs.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, ids array<int>, decoded string")
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+
+
 def digests(decodings: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``."""
     return decodings.select(

@@ -52,7 +52,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decoded(bpe.encoded(read(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.coded(read(spark, sf_dir, "documents")))
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

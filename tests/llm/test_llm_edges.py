@@ -37,6 +37,7 @@ PER_ROW = {
     "edited": fingerprints.edited_and_next,
     "mix": mixed,
     "bpe": lambda d: bpe.digests(bpe.decoded(bpe.encoded(d))),
+    "bpe in one": lambda d: bpe.digests(bpe.coded(d)),
     "lines": lambda d: lines.with_kept_text(d, lines.line_dedup(d)),
     "near": near.near_groups,
 }

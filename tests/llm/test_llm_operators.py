@@ -319,6 +319,7 @@ def test_ids_are_those_of_the_tokenizers_library(spark):
     for i, text in enumerate(texts):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert list(got[i].ids) == ids and got[i].decoded == library.decode(ids, skip_special_tokens=False)
+    assert {r.doc_id: r for r in bpe.coded(docs_of(spark, texts)).collect()} == got
     row = bpe.digests(bpe.decoded(bpe.encoded(docs_of(spark, ["two words"])))).first()
     ids = library.encode("two words", add_special_tokens=False).ids
     assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
@@ -344,6 +345,15 @@ def test_trees_merge_the_leftmost_pair_of_lowest_rank(monkeypatch):
         assert np.frombuffer(words.word_ids([word.decode()])[0], np.int32).tolist() == plain(symbols)
 
 
+def test_texts_in_stretches_are_whole(monkeypatch):
+    words = bpe.Vocabulary(bpe.default_path())
+    texts = ["", "a b c d e f g", None, "it's <|endoftext|> one more", "", "x" * 300]
+    whole = [(i.tolist(), words.decode(i)) for i in words.encode(texts)]
+    monkeypatch.setattr(bpe, "STRETCH", 2)
+    monkeypatch.setattr(bpe, "TOGETHER", 3)
+    assert [(i.tolist(), words.decode(i)) for i in words.encode(texts)] == whole
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 5)
     words = bpe.Vocabulary(bpe.default_path())
