@@ -46,6 +46,33 @@ def test_repeated_lines_go(outputs):
     assert [tuple(r) for r in kept] == rows
 
 
+def copied_documents(spark):
+    """12 copies of a clean text, 12 near copies of another, 12 texts of their own over a stock line."""
+    clean = "\n".join(f"line {i} of a clean text that was copied as a whole" for i in range(8))
+    body = "\n".join(f"sentence {i} of the text with a last line of its own" for i in range(30))
+    texts = ["\n\n".join([clean, "its end"])] * 12 + [f"{body}\nlast words {i} here" for i in range(12)]
+    texts += ["\n".join([f"{w} {i} stands in document {i} alone" for w in ("first", "second", "third")] + ["all rights reserved"]) for i in range(12)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    return texts, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_of_many_copies_survives_three_stages(spark):
+    texts, docs = copied_documents(spark)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    clean = corpus_pipeline.toxicity.without_toxic(docs, corpus_pipeline.toxicity.fit(docs, labels))
+    assert clean.count() == len(texts)
+    kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_repeated_lines(spark, clean, SF), SF).collect()
+    assert [(r.doc_id, r.text, r.n_chars) for r in kept if r.doc_id < 12] == [(0, texts[0], len(texts[0]))]
+
+
+def test_copied_texts_keep_one_and_stock_lines_none(spark):
+    texts, docs = copied_documents(spark)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert kept[12] == texts[12] and [kept[i] for i in range(13, 24)] == [f"last words {i - 12} here" for i in range(13, 24)]
+    assert sorted(kept) == [0, *range(12, 36)] and not any("all rights" in t for t in kept.values())
+    assert all(kept[i] == texts[i].rpartition("\n")[0] for i in range(24, 36))
+
+
 def test_one_of_each_group_stays(outputs):
     _, _, docs, kept, *_ = outputs
     groups = plain_groups([d.text for d in docs], 5)
