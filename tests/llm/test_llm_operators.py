@@ -47,6 +47,32 @@ def test_substrings_keep_the_earliest_and_point_into_the_text(spark):
     assert left.startswith("Start ab cd.") and left.endswith("more here") and len(left) < len(texts[2]) - 0.8 * len(passage)
 
 
+def covered(found, doc_id, start, end):
+    at = {p for r in found if r.doc_id == doc_id for p in range(r.start, r.end)}
+    return len(at & set(range(start, end))) / (end - start)
+
+
+def test_passages_of_short_sentences_and_inside_sentences(spark):
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    short = " ".join(" ".join(words(3)) + "!!" for _ in range(20))
+    inner = " ".join(words(60))
+    lone = "\n\n".join(" ".join(words(2)) + "." for _ in range(9))
+    texts = [" ".join(words(30)) + ". " + short + " " + " ".join(words(20)) + ".", " ".join([*words(15), inner, *words(15)]) + ".", lone, short,
+             "One begins. " + short + " " + " ".join(words(9)), " ".join([*words(25), inner, *words(4)]) + ".", lone, " ".join(words(300))]
+    found = substrings.repeats(docs_of(spark, texts), unit="sentence").collect()
+    assert covered(found, 3, 0, len(short)) > 0.6 and covered(found, 4, texts[4].index(short), texts[4].index(short) + len(short)) > 0.6
+    assert covered(found, 5, texts[5].index(inner), texts[5].index(inner) + len(inner)) > 0.6
+    assert "".join(substrings.without_spans(lone, [(r.start, r.end) for r in found if r.doc_id == 6]).split()) == ""
+    assert {r.doc_id for r in found} == {3, 4, 5, 6}
+
+
+def test_few_long_words_are_a_unit(spark):
+    texts = ["x" * 12 + " " + "y" * 20 + ".", "Other words. " + "x" * 12 + "\t" + "y" * 20 + ".", "a b c. d e", "a b c. d f"]
+    found = substrings.repeats(docs_of(spark, texts), unit="sentence").collect()
+    assert {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in found} == {(1, 13, len(texts[1]), 0, 0)}
+
+
 @pytest.mark.parametrize("unit, expected", [("line", {(1, 0, 17)}), ("paragraph", set())])
 def test_units_are_lines_or_paragraphs(spark, unit, expected):
     df = docs_of(spark, ["A b c  d e f\nx y z u v w", "a b c d \t e F    \nother words are in here"])
