@@ -2,7 +2,9 @@
 
 Grams of ``k`` code points are hashed with a rolling polynomial. Of every window of ``w`` grams the smallest hash is
 chosen, the rightmost of equals, with its position: two texts that share ``w + k - 1`` code points in a row share a
-chosen gram, and no match shorter than ``k`` is ever seen.
+chosen gram, and no match shorter than ``k`` is ever seen. Unless ``w`` is given, it is ``WINDOW`` for long texts and less for
+short ones, so that a text of ``2 k - 1`` code points or more shares a gram with any text that starts with its first half:
+a smallest of a wide window is also that of a narrower one in it, so short and long texts still meet.
 
 Defined results: a null text counts as empty. An empty text has an empty fingerprint, a text shorter than ``k`` one
 hash of the whole text. Texts of any length are hashed in blocks, so working memory doesn't grow with them. Equal
@@ -58,11 +60,17 @@ def chosen(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(best)
 
 
-def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def window_of(length: int, k: int = K) -> int:
+    """Grams a window for a text of so many code points: a quarter of them at most, and no more than its first half has."""
+    return max(1, min(WINDOW, (length - k + 1) // 4, (length + 1) // 2 - k + 1))
+
+
+def winnow(text: str, k: int = K, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, positions)`` of the fingerprint."""
     if not text:
         return np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
     k = min(k, len(text))
+    w = w or window_of(len(text), k)
     hashes, positions = [], []
     grams = len(text) - k + 1
     for start in range(0, max(1, grams - w + 1), BLOCK):
@@ -91,7 +99,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """``(doc_id, n_chars, hashes array<long>, positions array<long>)`` of every whole text."""
     small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
@@ -149,7 +157,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
         guests.select(F.col("bucket").cast("int").alias("bucket"), F.lit(True).alias("guest"), "row.doc_id", "row.text"))
 
 
-def edited_and_next(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
+def edited_and_next(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
     The next document is the one with the next smaller ``doc_id`` (rows that share one follow by text, greatest first;

@@ -116,6 +116,18 @@ def test_a_long_match_shares_a_gram():
     assert np.intersect1d(a, b).size
 
 
+def test_half_copies_of_short_texts_are_alike(spark):
+    rng = random.Random(31)
+    lengths = [n for n in range(39, 360, 7) for _ in range(2)]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in lengths]
+    got = {r.doc_id: r for r in fingerprints.edited_and_next(docs_of(spark, texts)).collect()}
+    assert all(0 < got[i].near_edited < 1 for i in range(len(texts)))
+    for text in [*texts, "x", "ab" * 19]:
+        hashes, positions = fingerprints.winnow(text)
+        assert (positions.tolist(), hashes.tolist()) == plain_winnow(text, fingerprints.K, fingerprints.window_of(len(text), min(fingerprints.K, len(text))))
+    assert fingerprints.window_of(99) == 20 and fingerprints.window_of(400) == fingerprints.WINDOW
+
+
 def test_edited_texts_and_next_documents(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(40)] + [None, "", "x", "é🙂é"]
