@@ -8,9 +8,10 @@ chance of (1 - 0.8^4)^32, about 5e-8.
 Exact copies meet first, by a digest of the whole set, and go on as one class. Inside a band's group every class is
 compared with the group's first one, and those links are joined up; so a group of n copies costs n comparisons and not
 n^2. Groups that still hold several components are searched again: pairs of different components whose signatures
-agree in ``AGREE`` of the places (0.8 less more than four deviations) are compared too, inside cells of a bounded
-number of members, until a cell's components are joined up. Every link is confirmed on the
-full sets; there is no cap on groups, partners or candidates.
+agree in ``AGREE`` of the places are compared too, inside cells of a bounded number of members, until a cell's components
+are joined up. At a likeness of 0.8 a pair agrees in fewer of 128 places with a chance of about 8e-8 (were the places
+independent), so that it is missed there or by the bands with about 1.2e-7. Every link is confirmed on the full sets; there
+is no cap on groups, partners or candidates.
 
 Defined results: a document without words has an empty set, no links, and is its own component. With fewer words than
 a shingle has, all of them are one shingle. Rows that share an id are compared by their own texts. A null id never names a
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.tables import partitions, pick, small_batches, stored, type_of
 
 BANDS, ROWS = 32, 4
-AGREE = 0.65
+AGREE = 0.6
 #: Classes of one side that a task compares at a time.
 CELL = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)

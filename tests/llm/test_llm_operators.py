@@ -437,6 +437,16 @@ def test_line_dedup_is_native(spark):
 # 10
 
 
+def test_pairs_across_components_may_agree_in_three_fifths():
+    marks = np.arange(256, dtype=np.uint32).reshape(2, 128)
+    for agreeing, expected in ((76, []), (77, [2]), (83, [2])):
+        marks[1, :agreeing], marks[1, agreeing:] = marks[0, :agreeing], np.arange(1000, 1128 - agreeing)
+        band = np.repeat(near.keys_of(marks)[0, 0], 2)
+        two = lambda a, b, kind=np.int64: np.array([a, b], kind)
+        x, y = near._candidates(band, two(1, 2), two(1, 2), two(50, 50), two(False, True, bool), two(False, True, bool), marks)
+        assert x.tolist() == expected and y.tolist() == [1] * len(expected)
+
+
 def plain_groups(texts, size):
     sets = []
     for text in texts:
