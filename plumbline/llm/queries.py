@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, fingerprints, lines, mixing, near, neighbours, substrings, toxicity, urls
+from plumbline.llm import alignment, bpe, chat, fingerprints, lines, mixing, near, neighbours, quality, substrings, toxicity, urls, whitening
 from plumbline.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,24 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(read(spark, sf_dir, "documents"), size=4)
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings)
+    return whitening.whitened(embeddings, model, whitening.identity_errors(embeddings, model))
+
+
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.document_scores(read(spark, sf_dir, "documents"))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return quality.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": substring_dedup,
     "op2_document_fingerprints": document_fingerprints,
@@ -76,6 +94,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_coding": bpe_coding,
     "op9_line_dedup": line_dedup,
     "op10_minhash_near_dedup": minhash_near_dedup,
+    "op11_embedding_whitening": embedding_whitening,
+    "op12_tokenizer_alignment": tokenizer_alignment,
+    "op13_quality_classifier": quality_scores,
 }
 
 _CLASS = r"[^\x20\x09-\x0D]+"
