@@ -103,3 +103,23 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min_chars: int = 1) -> DataFrame:
     """Keep bitmaps of the documents that lose lines: ``(doc_id, text_hash, keep)``."""
     return keep_bitmaps(dropped_lines(docs, min_docs, keep_first, min_chars))
+
+
+def without_repeated(docs: DataFrame, min_docs: int = 2) -> DataFrame:
+    """The documents, in their own columns, with repeated lines left where they come first only.
+
+    Documents that lose lines and have no words left go; the text of the others, and ``n_chars``, if there is such a
+    column, are those of the lines that stay. Documents that lose nothing are as they were.
+    """
+    names = docs.columns
+    marked = with_kept_text(docs, line_dedup(docs, min_docs))
+    plain = marked.toDF(*[f"c{i}" for i in range(len(marked.columns))])
+    changed, kept = F.col(f"c{len(names) + 1}") > 0, F.col(f"c{len(names) + 2}")
+    left = plain.filter(~changed | (F.btrim(kept, F.lit(SPACES)) != ""))
+    new = {"text": kept, "n_chars": F.char_length(kept)}
+
+    def column(i: int, name: str) -> Column:
+        old = F.col(f"c{i}")
+        return F.when(changed, new[name].cast(docs.schema[i].dataType)).otherwise(old) if name in new else old
+
+    return left.select(*[column(i, name).alias(name) for i, name in enumerate(names)])
