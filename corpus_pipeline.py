@@ -2,18 +2,19 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table; it is written as Parquet and read again as the next
 one's documents. All but the last return the columns of documents.
+
+Defined results: a null text is an empty one, which no stage drops but the mix, if its turn doesn't come. Null ids are
+ids like any other. Rows equal in id and text lose the same lines; near-dedup keeps one row of each group, and ties are
+settled by the smallest id. Empty tables go through all stages. Other columns of the documents are carried along.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, lines, mixing, near, toxicity
-from plumbline.llm.tables import SPACES, pick, read, stored
+from plumbline.llm.tables import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,43 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, pos)`` of the lines to drop.
-
-    A line in ten documents or more goes from all of them. Documents that would lose more than half their characters
-    are copies, not texts with a stock line: among them the first occurrence of each line stays, so that no text goes
-    with all its copies.
-    """
-    often = stored(lines.dropped_lines(docs, min_docs=10, keep_first=False), "often")
-    texts = pick(docs, "doc_id", "text")
-    marked = lines.with_kept_text(texts, lines.keep_bitmaps(often))
-    copies = stored(marked.filter(2 * F.char_length("kept_text") < F.char_length("text")).select("doc_id", "text"), "copies")
-    if copies.isEmpty():
-        return often
-    # Lines that repeat among the copies alone, in fewer than ten documents, stay: only what stands in both goes.
-    later = lines.dropped_lines(copies, min_docs=1, keep_first=True)
-    own = copies.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
-
-    def same(other: DataFrame, *names: str) -> Column:
-        return reduce(and_, [often[n].eqNullSafe(other[n]) for n in names])
-
-    return often.join(own, same(own, *lines.DOC), "left_anti").unionByName(often.join(later, same(later, *lines.DOC, "pos"), "left_semi"))
-
-
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go from all of them, but for the first of copied texts; the other lines
-    stay, joined as before.
+    """Lines that stand in ten documents or more stay where they come first, by id and place, and go elsewhere.
 
-    A document that loses lines and has no words left goes. ``n_chars`` is that of the text that stays.
+    Whatever share of a text they make up, one copy of each line is left. A document that loses lines and has no words
+    left goes. ``n_chars`` is that of the text that stays.
     """
-    marked = lines.with_kept_text(docs, lines.keep_bitmaps(repeated_lines(docs)))
-    kept = marked.filter((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(SPACES)) != ""))
-    changed = F.col("n_dropped") > 0
-    columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(kind)).otherwise(F.col("n_chars"))
-    return kept.withColumns(columns).select(*docs.columns)
+    return lines.without_repeated(docs, min_docs=10)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
