@@ -9,8 +9,9 @@ remembered on their own, whatever its length.
 Documents are numbered inside chunks. Each pair of ids has a compressed bitmap of a chunk's documents, the bytes that
 aren't zero, in planes: plane k holds the documents that link the pair a number of times with bit k set. Pairs are
 dealt into buckets. Bytes of the planes OR-merged and popcounted give a pair's documents, and popcounts weighted by
-2 ** k its links; these totals go back along the postings, where each document gathers its scores. One bucket's totals
-and one chunk's bitmaps are in memory at a time; a pair that all documents hold is one bitmap a chunk.
+2 ** k its links; the totals go back to the chunks whose postings hold the pair, and along the bitmaps to the
+documents, which gather their scores there. One chunk's totals and one bucket of its bitmaps are in memory at a time;
+a pair that all documents hold is one bitmap a chunk.
 
 Defined results: texts that are null, empty, or that a tokenizer doesn't give back byte by byte (U+2581 becomes a
 blank) have no tokens: zeros, and no groups. Special tokens written out are plain text. Texts of any length are
@@ -39,9 +40,7 @@ from plumbline.llm.tables import partitions, pick, stored, type_of
 DOCS, POSTINGS = 1 << 16, 1 << 21
 #: Characters of texts worked on together; stretches, and their characters, that each worker remembers.
 TOGETHER, KNOWN, KNOWN_CHARS = 1 << 20, 300_000, 1 << 23
-#: Documents whose scores a worker gathers before it hands them on.
-GATHERED = 1 << 21
-#: Pairs are dealt into this many buckets at least.
+#: Pairs of a chunk are dealt into this many buckets, a row each.
 BUCKETS = 64
 
 #: Both tokenizers' tokens end here: Python's white space holds all that the pattern of A calls white space.
@@ -248,8 +247,8 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 class Postings:
     """Documents aligned and numbered, and the pair bitmaps of each chunk, as one stored table."""
 
-    def __init__(self, table: DataFrame, width: int, buckets: int) -> None:
-        self.table, self.width, self.buckets = table, width, buckets
+    def __init__(self, table: DataFrame, width: int) -> None:
+        self.table, self.width = table, width
 
     def documents(self) -> DataFrame:
         return self.table.filter("bucket < 0").select("chunk", "low", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
@@ -270,7 +269,6 @@ def postings(docs: DataFrame, paths: tuple[str, str] | None = None) -> Postings:
     import hashlib
 
     docs, paths = pick(docs, "doc_id", "text"), paths or default_paths()
-    buckets = max(BUCKETS, 2 * partitions(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _aligner(*paths)
@@ -284,7 +282,7 @@ def postings(docs: DataFrame, paths: tuple[str, str] | None = None) -> Postings:
             if not keys:
                 return
             of, at, bits = bitmaps(*_summed(np.concatenate(keys), np.concatenate(times)))
-            bucket = _bucket(of >> 5, buckets)
+            bucket = _bucket(of >> 5)
             order = np.argsort(bucket, kind="stable")
             of, at, bits, bucket = of[order], at[order], bits[order], bucket[order]
             for number in np.unique(bucket).tolist():
@@ -318,7 +316,7 @@ def postings(docs: DataFrame, paths: tuple[str, str] | None = None) -> Postings:
 
     schema = (f"chunk long, low int, doc_id {type_of(docs, 'doc_id')}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
               "bucket int, planes array<long>, lengths array<int>, at array<short>, bits binary")
-    return Postings(stored(docs.mapInArrow(run, schema), "postings"), _width(paths), buckets)
+    return Postings(stored(docs.mapInArrow(run, schema), "postings"), _width(paths))
 
 
 def _width(paths: tuple[str, str]) -> int:
@@ -327,31 +325,31 @@ def _width(paths: tuple[str, str]) -> int:
     return SentencePieceProcessor(model_file=paths[1]).get_piece_size()
 
 
-def _bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
-    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(pair: np.ndarray) -> np.ndarray:
+    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _list(column: pa.Array, row: int) -> np.ndarray:
     return column.values.to_numpy()[slice(*column.offsets.to_numpy()[row : row + 2])]
 
 
-def pair_totals(found: Postings) -> DataFrame:
-    """``(bucket, pair, links, docs)`` of every linked pair, over all chunks."""
+def chunk_counts(found: Postings) -> DataFrame:
+    """``(chunk, pair, links, docs)``: what each chunk's bitmaps hold of each pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                pairs, links, docs = counted(*(_list(batch.column(c), i) for c in (1, 2, 3)), np.frombuffer(batch.column(4)[i].as_py(), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(pairs), pa.int32()), *map(pa.array, (pairs, links, docs))],
-                                                 ["bucket", "pair", "links", "docs"])
+                counts = counted(*(_list(batch.column(c), i) for c in (1, 2, 3)), np.frombuffer(batch.column(4)[i].as_py(), np.uint8))
+                chunk = pa.array(np.full(len(counts[0]), batch.column(0)[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([chunk, *map(pa.array, counts)], ["chunk", "pair", "links", "docs"])
 
-    parts = found.bitmaps().select("bucket", "planes", "lengths", "at", "bits").mapInArrow(run, "bucket int, pair long, links long, docs long")
-    return parts.groupBy("bucket", "pair").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
+    return found.bitmaps().select("chunk", "planes", "lengths", "at", "bits").mapInArrow(run, "chunk long, pair long, links long, docs long")
 
 
 def pair_counts(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """``(a, b, links, docs)``: how many links of the corpus hold a pair of ids, in how many documents."""
     found = postings(docs, paths)
-    return pair_totals(found).select(*found.pair(F.col("pair")), "links", "docs")
+    totals = chunk_counts(found).groupBy("pair").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
+    return totals.select(*found.pair(F.col("pair")), "links", "docs")
 
 
 def document_scores(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -361,78 +359,63 @@ def document_scores(docs: DataFrame, paths: tuple[str, str] | None = None) -> Da
     most links of all pairs of its B id.
     """
     found = postings(docs, paths)
-    totals = stored(pair_totals(found).withColumn("b", F.col("pair") % found.width), "pairs")
+    counts = stored(chunk_counts(found).select("chunk", "pair", "links"), "chunk-counts")
+    totals = stored(counts.groupBy("pair").agg(F.sum("links").alias("links")).withColumn("b", F.col("pair") % found.width), "pairs")
     # One row for each id of B's vocabulary at most.
     best = F.broadcast(totals.groupBy("b").agg(F.max("links").alias("most")))
-    totals = totals.join(best, "b").select("bucket", "pair", "links", (F.col("links") == F.col("most")).alias("best"))
-    scores = _returned(found, totals).groupBy("chunk", "low").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    rows = found.documents().join(scores, ["chunk", "low"], "left")
-    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    totals = totals.join(best, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
+    return _returned(found, counts.select("chunk", "pair").join(totals, "pair"))
 
 
 def _returned(found: Postings, totals: DataFrame) -> DataFrame:
-    """``(chunk, low, n_best, count_sum)``: what each bucket's pairs give their documents, along the postings.
+    """The documents with what the totals ``(chunk, pair, links, best)`` give them along the bitmaps.
 
-    A bucket's totals come first, then its chunks one by one.
+    A chunk's totals come first, then its bitmaps one by one, then its documents.
     """
-    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    first = totals.select("bucket", F.lit(-1).cast("long").alias("chunk"), "pair", "links", "best", *null("array<long>", "planes"),
-                          *null("array<int>", "lengths"), *null("array<short>", "at"), *null("binary", "bits"))
-    then = found.bitmaps().select("bucket", "chunk", *null("long", "pair", "links"), *null("boolean", "best"), "planes", "lengths", "at", "bits")
-    dealt = first.unionByName(then).repartition(partitions(totals.sparkSession), "bucket").sortWithinPartitions("bucket", "chunk")
+    documents = found.documents()
+    kept = [c for c in documents.columns if c not in ("chunk", "low")]
+    parts = [(0, totals.select("chunk", "pair", "links", "best")), (1, found.bitmaps().drop("bucket")), (2, documents)]
+    rows = parts[0][1].withColumn("kind", F.lit(0))
+    for kind, part in parts[1:]:
+        rows = rows.unionByName(part.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    names = ["chunk", "kind", "pair", "links", "best", "planes", "lengths", "at", "bits", "low", *kept]
+    dealt = rows.select(*names).repartition(partitions(documents.sparkSession), "chunk").sortWithinPartitions("chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, pairs, links, best = -1, [], [], []
-        gathered: dict[int, np.ndarray] = {}
-        held = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for chunk, sums in gathered.items():
-                low = np.flatnonzero(sums.any(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(low), pa.int64()), pa.array(low.astype(np.int32)),
-                                                  *map(pa.array, sums[low].T.copy())], ["chunk", "low", "n_best", "count_sum"])
-
+        chunk, parts, sums = None, [], np.zeros((0, 2), np.int64)
         for batch in batches:
-            chunk, of = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            # Runs of totals of one bucket, or single chunks.
-            edges = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (chunk[1:] >= 0) | (chunk[:-1] >= 0), [True]]))
+            of, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]), [True]])).tolist()
             for i, j in zip(edges, edges[1:], strict=False):
-                if of[i] != bucket:
-                    bucket, pairs, links, best = of[i], [], [], []
-                if chunk[i] < 0:
-                    part = batch.slice(i, j - i)
-                    pairs.append(part.column(2).to_numpy())
-                    links.append(part.column(3).to_numpy())
-                    best.append(part.column(4).to_numpy(zero_copy_only=False).astype(np.int64))
-                    continue
-                if len(pairs) > 1 or not _sorted(pairs):
-                    order = np.argsort(np.concatenate(pairs))
-                    pairs, links, best = ([np.concatenate(x)[order]] for x in (pairs, links, best))
-                planes, lengths, at = (_list(batch.column(c), i) for c in (5, 6, 7))
-                bits = np.frombuffer(batch.column(8)[int(i)].as_py(), np.uint8)
-                index = np.searchsorted(pairs[0], planes >> 5)
-                shift = planes & 31
-                entry, bit = np.nonzero(np.unpackbits(bits[:, None], axis=1, bitorder="little"))
-                low = at.astype(np.int64)[entry] * 8 + bit
-                plane = np.repeat(np.arange(len(planes)), lengths)[entry]
-                size = int(low.max(initial=-1)) + 1
-                sums = gathered.get(int(chunk[i]))
-                if sums is None or len(sums) < size:
-                    grown = np.zeros((size, 2), np.int64)
-                    if sums is not None:
-                        grown[: len(sums)] = sums
-                    held += size - (0 if sums is None else len(sums))
-                    sums = gathered[int(chunk[i])] = grown
-                np.add.at(sums[:, 0], low, (best[0][index] << shift)[plane])
-                np.add.at(sums[:, 1], low, (links[0][index] << shift)[plane])
-                if held > GATHERED:
-                    yield from out()
-                    gathered, held = {}, 0
-        yield from out()
-
-    return dealt.mapInArrow(run, "chunk long, low int, n_best long, count_sum long")
-
-
-def _sorted(parts: list[np.ndarray]) -> bool:
-    return bool((parts[0][1:] >= parts[0][:-1]).all())
+                if of[i] != chunk:
+                    chunk, parts, sums = of[i], [], np.zeros((DOCS, 2), np.int64)
+                part = batch.slice(i, j - i)
+                if kind[i] == 0:
+                    parts.append([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3, 4)])
+                elif kind[i] == 1:
+                    pairs, links, best = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    order = np.argsort(pairs)
+                    parts = [[pairs[order], links[order], best[order]]]
+                    for row in range(j - i):
+                        bits = np.frombuffer(part.column(8)[row].as_py(), np.uint8)
+                        _gather(sums, parts[0], *(_list(part.column(c), row) for c in (5, 6, 7)), bits)
+                else:
+                    own = sums[part.column(9).to_numpy()]
+                    best, total = pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())
+                    columns = dict(zip(names, part.columns, strict=True)) | {"n_best": best, "count_sum": total}
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in out], out)
+
+    out = [*kept[:-1], "n_best", "count_sum", kept[-1]]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema} | {"n_best": "bigint", "count_sum": "bigint"}
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out))
+
+
+def _gather(sums: np.ndarray, totals: list[np.ndarray], planes: np.ndarray, lengths: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """Add to each document of a bitmap its pairs' totals, as often as its planes say."""
+    pairs, links, best = totals
+    index, shift = np.searchsorted(pairs, planes >> 5), planes & 31
+    entry, bit = np.nonzero(np.unpackbits(bits[:, None], axis=1, bitorder="little"))
+    low = at.astype(np.int64)[entry] * 8 + bit
+    plane = np.repeat(np.arange(len(planes)), lengths)[entry]
+    np.add.at(sums[:, 0], low, (best[index] << shift)[plane])
+    np.add.at(sums[:, 1], low, (links[index] << shift)[plane])
