@@ -5,6 +5,8 @@ Every function takes and returns Column expressions, so a profile stays inside t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ DECIMAL_US = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"
 DAY_MONTH_DATE = r"^[0-9]{1,2}([/.-])[0-9]{1,2}\1[0-9]{4}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
 
-NUMBER = "decimal(38,10)"
+NUMBER, NUMBER_DIGITS, NUMBER_SCALE = "decimal(38,10)", 28, 10
+# Powers of ten in sortable keys, and the most zeros a number is spelled with.
+POWER_BIAS, POWER_DIGITS, PLAIN_DIGITS = 10**18, 19, 1000
 
 # One bit per kind, so the set of kinds in a column is a single bit_or.
 KIND_BITS = {"integer": 1, "int_thousands": 2, "decimal_br": 4, "decimal": 8, "boolean": 16, "date": 32, "text": 64}
@@ -80,18 +84,83 @@ def from_brazilian(value: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """The exact decimal, or NULL when it is not a number or needs more than 28 integer digits."""
+    """The decimal to ten places, or NULL when it is not a number or needs more than 28 integer digits."""
     return text.try_cast(NUMBER)
 
 
+def fits_number(text: Column, digits: Column, scale: Column) -> Column:
+    """Whether ``number`` reads a text exactly, given its digits before and after the point."""
+    return (digits <= NUMBER_DIGITS) & (scale <= NUMBER_SCALE) & ~text.rlike("[eE]")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ordered_number(text: Column) -> Column:
+    """A number's value as a text that sorts as the numbers do and is the same for every spelling of it.
+
+    Sign, power of ten, and significant digits, so any number of digits is exact; negative numbers are complemented.
+    ``0.digits`` times ten to the power is the value. NULL for a power of ten of 18 digits or more.
+    """
+    def key(parts: Column) -> Column:
+        significant = F.ltrim(F.concat(parts["whole"], parts["fraction"]), F.lit("0"))
+        power = F.length(significant) - F.length(parts["fraction"]) + parts["exponent"]
+        magnitude = F.concat(F.lpad((power + POWER_BIAS).cast("string"), POWER_DIGITS, "0"), F.rtrim(significant, F.lit("0")))
+        complement = F.concat(F.lit("0"), F.translate(magnitude, "0123456789", "9876543210"), F.lit("~"))
+        return F.when(significant == "", "1").when(parts["negative"], complement).otherwise(F.concat(F.lit("2"), magnitude))
+
+    power_of_ten = F.regexp_replace(F.regexp_extract(text, "[eE]([+-]?0*[0-9]{1,17})$", 1), r"^\+", "")
+    parts = F.struct(
+        F.startswith(text, F.lit("-")).alias("negative"), F.regexp_extract(text, "^[+-]?([0-9]*)", 1).alias("whole"),
+        F.regexp_extract(text, r"^[+-]?[0-9]*\.([0-9]*)", 1).alias("fraction"),
+        F.when(text.rlike("[eE]"), power_of_ten.try_cast("long")).otherwise(F.lit(0).cast("long")).alias("exponent"))
+    return F.when(text.isNotNull(), _with(parts, key))
+
+
+def number_text(key: Column) -> Column:
+    """The number of a key from ``ordered_number``: plain, without trailing zeros; with a power of ten where plain
+    spelling would take more than ``PLAIN_DIGITS`` zeros."""
+    def body(key: Column) -> Column:
+        signless = F.substr(key, F.lit(2))
+        restored = F.translate(F.rtrim(signless, F.lit("~")), "0123456789", "9876543210")
+        return F.when(F.startswith(key, F.lit("0")), F.concat(F.lit("-"), _with(restored, magnitude))).otherwise(_with(signless, magnitude))
+
+    def magnitude(text: Column) -> Column:
+        power = F.substr(text, F.lit(1), F.lit(POWER_DIGITS)).try_cast("long") - POWER_BIAS
+        return _with(F.struct(power.alias("power"), F.substr(text, F.lit(POWER_DIGITS + 1)).alias("digits")), spelled)
+
+    def spelled(parts: Column) -> Column:
+        power, digits = parts["power"], parts["digits"]
+        # Clipped, so that no branch repeats a digit without end.
+        near = F.least(F.greatest(power, F.lit(-PLAIN_DIGITS)), F.lit(PLAIN_DIGITS)).cast("int")
+        size, after = F.length(digits), F.substr(digits, F.lit(2))
+        scientific = F.concat(F.left(digits, F.lit(1)), F.when(after != "", F.concat(F.lit("."), after)).otherwise(""),
+                              F.lit("E"), (power - 1).cast("string"))
+        return (
+            F.when(power != near, scientific)
+            .when(near <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -near), digits))
+            .when(near >= size, F.concat(digits, F.repeat(F.lit("0"), near - size)))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), near), F.lit("."), F.substr(digits, near + 1))))
+
+    return F.when(key == "1", "0").when(key.isNotNull(), _with(key, body))
+
+
 def number_key(text: Column) -> Column:
-    """One key per numeric value whatever its spelling: ``7``, ``007`` and ``7.0`` share a key.
+    """One key per numeric value whatever its spelling: ``7``, ``007``, ``7.0`` and ``70e-1`` share a key.
 
-    Plain text work, so numbers beyond the decimal range keep distinct keys.
+    Plain spellings are text work alone; powers of ten and very long numbers are spelled plainly first, or keep their
+    sortable key where that would take too many zeros.
     """
-    plain = F.when(text.rlike("[eE]"), F.coalesce(number(text).cast("string"), text)).otherwise(text)
-    stripped = F.regexp_replace(plain, r"^\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$", "$1$2.$3")
-    return F.when(stripped == "-.", ".").otherwise(stripped)
+    def stripped(plain: Column) -> Column:
+        digits = F.regexp_replace(plain, r"^\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$", "$1$2.$3")
+        return F.when(digits == "-.", ".").otherwise(digits)
+
+    special = text.rlike("[eE]") | (F.length(text) > PLAIN_DIGITS)
+    key = ordered_number(text)
+    spelled = _with(key, lambda k: _with(number_text(k), lambda t: F.when(F.contains(t, F.lit("E")), k).otherwise(stripped(t))))
+    return F.when(special, F.coalesce(spelled, text)).otherwise(stripped(text))
 
 
 def plain_spelling(text: Column) -> Column:

@@ -61,11 +61,19 @@ def classified(values: DataFrame) -> DataFrame:
         return {reading: V.number(text), f"{reading}_digits": V.integer_digits(text),
                 f"{reading}_scale": V.fraction_digits(text), f"{reading}_plain": V.plain_spelling(text)}
 
+    def beyond(reading: str) -> dict[str, Column]:
+        """A sortable key of numbers that the decimal can't hold exactly, whose decimal is left out."""
+        text = F.col(f"{reading}_text")
+        fits = V.fits_number(text, F.col(f"{reading}_digits"), F.col(f"{reading}_scale"))
+        return {reading: F.when(fits, F.col(reading)), f"{reading}_key": F.when(~fits, V.ordered_number(text))}
+
     # An integer reads the same both ways: it is shaped once.
     integer = F.col("kind") == "integer"
-    us = shaped("us")
-    br = {name: F.when(integer, F.col(name.replace("br", "us"))).otherwise(c) for name, c in shaped("br").items()}
-    return texts.withColumns(us).withColumns(br)
+
+    def once(columns: dict[str, Column]) -> dict[str, Column]:
+        return {name: F.when(integer, F.col(name.replace("br", "us"))).otherwise(c) for name, c in columns.items()}
+
+    return texts.withColumns(shaped("us")).withColumns(beyond("us")).withColumns(once(shaped("br"))).withColumns(once(beyond("br")))
 
 
 def _kind_bit(kind: Column) -> Column:
@@ -86,7 +94,7 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
         for i in range(3)
     ]
     numeric = F.col("us_text").isNotNull() | F.col("br_text").isNotNull()
-    lost = numeric & F.col("us").isNull() & F.col("br").isNull()
+    lost = numeric & F.coalesce(F.col("us").cast("string"), F.col("br").cast("string"), "us_key", "br_key").isNull()
     grouped = F.when(F.col("kind").isin("decimal_br", "int_thousands"), F.when(F.contains("value", F.lit(".")), 1)
                      .when(F.col("br_digits") > 3, 2)).when(
         (F.col("kind") == "integer") & (F.octet_length("value") > 3), 2)
@@ -112,8 +120,7 @@ def column_measures(readings: DataFrame, keys: list[str]) -> DataFrame:
         F.bit_or(_kind_bit(F.col("kind"))).alias("kinds"),
         F.bit_or(true_bit).alias("truths"),
         F.count_if(F.col("kind") == "boolean").alias("boolean_spellings"),
-        F.min("us").alias("us_low"), F.max("us").alias("us_high"),
-        F.min("br").alias("br_low"), F.max("br").alias("br_high"),
+        *[f(name).alias(f"{name}_{end}") for name in ("us", "br", "us_key", "br_key") for f, end in ((F.min, "low"), (F.max, "high"))],
         *spellings("us"), *spellings("br"), F.coalesce(F.bit_or(grouped), F.lit(0)).alias("grouping"),
         F.sum(F.when(lost, n).otherwise(0)).alias("out_of_range"),
         F.min(date["code"]).alias("code_low"), F.max(date["code"]).alias("code_high"),
@@ -159,7 +166,10 @@ def resolved(measures: DataFrame) -> DataFrame:
 
     def bound(part: str) -> Column:
         day = F.when(month_first, F.col(f"month_first_{part}")).otherwise(F.col(f"day_first_{part}"))
-        return F.when(is_number, V.plain_number(reading(part))).when(is_date, day.cast("string"))
+        held = reading(part).cast("string")
+        further = F.when(br, F.col(f"br_key_{part}")).otherwise(F.col(f"us_key_{part}"))
+        first = (F.least if part == "low" else F.greatest)(V.ordered_number(held), further)
+        return F.when(is_number, V.number_text(first)).when(is_date, day.cast("string"))
 
     # Spellings are one per number when all have the same scale, or none ends in a zero it could do without; in
     # the Brazilian reading thousands must also be grouped always or never.

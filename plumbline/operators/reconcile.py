@@ -11,32 +11,36 @@ from plumbline.functions import types as Y
 from plumbline.functions import values as V
 from plumbline.operators.cells import cells, quoted, row_key, tagged_text
 from plumbline.operators.load import ColumnPlan
+from plumbline.operators.profile import LONG_TEXT
 
 CHECK_SCHEMA = "ordinal int, verificacao string, esperado string, obtido string, status string"
 
 
 def _as_text(column: Column, kind: str) -> Column:
+    """Numbers without needless zeros, whatever their size; NaN and infinity as they are."""
+    text = column.cast("string")
     if kind in Y.NUMERIC_TARGETS:
-        # A number too large for the decimal is compared as it is written.
-        return F.coalesce(V.plain_number(column.try_cast("decimal(38,10)")), column.cast("string"))
-    return column.cast("string")
+        return F.when(text.rlike(V.DECIMAL_US), V.number_text(V.ordered_number(text))).otherwise(text)
+    return text
 
 
 def expected_checks(plans: list[ColumnPlan], rows: int, duplicate_rows: int = 0, drop_duplicates: bool = False) -> list[tuple]:
-    """``(ordinal, name, key, expected)`` per check, in source order. ``key`` names the measured target value."""
-    checks = [("linhas", "rows", str(rows - (duplicate_rows if drop_duplicates else 0)))]
+    """``(ordinal, name, key, expected, compare)`` per check, in source order. ``key`` names the measured target value,
+    ``compare`` how the two are held against each other: as exact numbers, as doubles or as text."""
+    checks = [("linhas", "rows", str(rows - (duplicate_rows if drop_duplicates else 0)), "number")]
     for i, plan in enumerate(plans):
         m = plan.measured
         if not drop_duplicates:
-            checks.append((f"nulos({plan.target})", f"nulls{i}", str(m["nulls"])))
+            checks.append((f"nulos({plan.target})", f"nulls{i}", str(m["nulls"]), "number"))
             if m["distinct"] is not None:
-                checks.append((f"distintos({plan.target})", f"distinct{i}", str(m["distinct"])))
+                checks.append((f"distintos({plan.target})", f"distinct{i}", str(m["distinct"]), "number"))
         ranged = plan.kind in Y.NUMERIC_TARGETS or plan.kind == "date"
         if ranged and m["min"] is not None:
-            checks.append((f"min({plan.target})", f"min{i}", m["min"]))
-            checks.append((f"max({plan.target})", f"max{i}", m["max"]))
+            compare = "text" if plan.kind == "date" else "double" if plan.kind == "double" else "number"
+            checks.append((f"min({plan.target})", f"min{i}", m["min"], compare))
+            checks.append((f"max({plan.target})", f"max{i}", m["max"], compare))
         elif plan.kind == "string" and m["max_len"]:
-            checks.append((f"tamanho_max({plan.target})", f"length{i}", str(m["max_len"])))
+            checks.append((f"tamanho_max({plan.target})", f"length{i}", str(m["max_len"]), "number"))
     return [(n, *check) for n, check in enumerate(checks)]
 
 
@@ -57,8 +61,10 @@ def target_measures(target: DataFrame, plans: list[ColumnPlan], with_distinct: b
     ])).alias("m")).select("m.*")
     if not with_distinct:
         return rows
-    selected = target.select(*columns)
-    distinct = cells(selected).groupBy("position").agg(F.countDistinct("cell").alias("n"))
+    # Long cells travel as digests.
+    cell = F.col("cell")
+    short = F.when(F.octet_length(cell) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(cell, 256))).otherwise(cell)
+    distinct = cells(target.select(*columns)).groupBy("position").agg(F.countDistinct(short).alias("n"))
     return rows.unionByName(distinct.select(F.concat(F.lit("distinct"), "position").alias("key"),
                                             F.col("n").cast("string").alias("obtido")))
 
@@ -71,12 +77,12 @@ def reconcile(target: DataFrame, plans: list[ColumnPlan], rows: int, duplicate_r
     """
     expected = expected_checks(plans, rows, duplicate_rows, drop_duplicates)
     wanted = target.sparkSession.createDataFrame(
-        expected, "ordinal int, verificacao string, key string, esperado string").coalesce(1)
+        expected, "ordinal int, verificacao string, key string, esperado string, compare string").coalesce(1)
     measured = target_measures(target, plans, with_distinct=not drop_duplicates)
-    number = "decimal(38,10)"
     left, right = F.col("esperado"), F.coalesce("obtido", F.when(F.startswith("key", F.lit("distinct")), F.lit("0")))
-    numeric = left.try_cast(number).isNotNull() & right.try_cast(number).isNotNull()
-    equal = F.when(numeric, left.try_cast(number) == right.try_cast(number)).otherwise(left == right)
+    # A double holds the nearest number to the source's; every other number must be the same to its last digit.
+    equal = F.when(F.col("compare") == "number", V.ordered_number(left) == V.ordered_number(right)).when(
+        F.col("compare") == "double", left.try_cast("double") == right.try_cast("double")).otherwise(left == right)
     return measured.join(F.broadcast(wanted), "key", "right").select(
         "ordinal", "verificacao", "esperado", right.alias("obtido"),
         F.when(equal, "OK").otherwise("DIVERGE").alias("status"))

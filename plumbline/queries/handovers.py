@@ -12,7 +12,7 @@ from plumbline.operators import mapping as M
 from plumbline.operators import profile as P
 from plumbline.operators import reconcile as R
 from plumbline.queries.profiles import (
-    ALL_COLUMNS_SQL, CONFLICT_SQL, INFERRED_SQL, SAFE_SQL, TEXT_TABLES, all_columns, text_table, text_table_sql,
+    ALL_COLUMNS_SQL, CONFLICT_SQL, INFERRED_SQL, PRECISE_SQL, SAFE_SQL, TEXT_TABLES, all_columns, precise_numbers, text_table, text_table_sql,
 )
 from plumbline.queries.registry import query, spread, table
 from plumbline.session import fresh_path
@@ -310,6 +310,32 @@ def _tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter((F.col("status") == "DIVERGE") & F.col("verificacao").isin(*listed)).select("verificacao", "esperado", "obtido")
 
 
+_FINE = "CAST(fine AS DECIMAL(38,21))"
+_SHOWN = "rtrim(rtrim(CAST({0} AS VARCHAR), '0'), '.')"
+
+
+@query("tampered_precise_load", f"""WITH src AS ({PRECISE_SQL}), ranges AS (
+  SELECT min({_FINE}) AS low, max({_FINE}) AS high, min((l_suppkey % 3, l_linenumber)) AS first, max((l_suppkey % 3, l_linenumber)) AS last, CAST(count(*) AS VARCHAR) AS n, CAST(count(DISTINCT {_FINE}) AS VARCHAR) AS n_fine,
+    CAST(count(DISTINCT wide) AS VARCHAR) AS n_wide, CAST(count(DISTINCT (l_suppkey % 3, l_linenumber)) AS VARCHAR) AS n_power, CAST(max(length(wide)) AS VARCHAR) AS longest FROM src),
+shown AS (SELECT *, CAST(first[2] AS VARCHAR) || repeat('0', CAST(30 + first[1] AS INTEGER)) AS low_power, CAST(last[2] AS VARCHAR) || repeat('0', CAST(30 + last[1] AS INTEGER)) AS high_power FROM ranges)
+SELECT 'linhas' AS verificacao, n AS esperado, n AS obtido, 'OK' AS status FROM shown
+{' '.join(f"UNION ALL SELECT 'nulos({c})', '0', '0', 'OK' FROM shown" for c in ("fine", "wide", "power"))}
+{' '.join(f"UNION ALL SELECT 'distintos({c})', n_{c}, n_{c}, 'OK' FROM shown" for c in ("fine", "wide", "power"))}
+UNION ALL SELECT 'min(fine)', {_SHOWN.format('low')}, {_SHOWN.format("low + CAST('0.000000000000001' AS DECIMAL(38,21))")}, 'DIVERGE' FROM shown
+UNION ALL SELECT 'max(fine)', {_SHOWN.format('high')}, {_SHOWN.format("high + CAST('0.000000000000001' AS DECIMAL(38,21))")}, 'DIVERGE' FROM shown
+UNION ALL SELECT 'tamanho_max(wide)', longest, longest, 'OK' FROM shown
+UNION ALL SELECT 'min(power)', low_power, low_power, 'OK' FROM shown UNION ALL SELECT 'max(power)', high_power, high_power, 'OK' FROM shown""")
+def _tampered_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number moved in its fifteenth decimal: only the ranges of that column diverge."""
+    raw = precise_numbers(spark, sf_dir)
+    mapping = spark.createDataFrame([("precise", "fine", "fine", "decimal", False), ("precise", "wide", "wide", "string", False), ("precise", "power", "power", "double", False)],
+                                    "dataset string, source string, target string, type string, legacy boolean")
+    plans = L.plan_columns(P.profile(raw, "precise"), mapping)
+    loaded = L.typed_projection(raw, plans)
+    moved = (F.col("fine") + F.lit("0.000000000000001").cast("decimal(22,21)")).cast(loaded.schema["fine"].dataType)
+    return R.reconcile(loaded.withColumn("fine", moved), plans, raw.count()).drop("ordinal")
+
+
 _DIGEST = "CAST(('0x' || substr(md5(concat({0})), 1, 15)) AS BIGINT)"
 
 

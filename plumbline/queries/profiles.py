@@ -185,6 +185,35 @@ def _register_profile(name: str) -> None:
 for _name in TEXT_TABLES:
     _register_profile(_name)
 
+# ---- numbers of any precision -------------------------------------------------------------------------------------
+
+#: Fractions of 21 digits, whole numbers of 60 digits of both signs, and powers of ten.
+PRECISE = {
+    "fine": "concat(CAST(l_partkey AS STRING), '.', lpad(CAST(l_orderkey AS STRING), 12, '0'), lpad(CAST(l_suppkey AS STRING), 9, '0'))",
+    "wide": "concat(CASE WHEN l_linenumber = 1 THEN '-' ELSE '' END, '1', lpad(CAST(l_orderkey AS STRING), 30, '0'), lpad(CAST(l_partkey AS STRING), 29, '0'))",
+    "power": "concat(CAST(l_linenumber AS STRING), 'e', CAST(30 + l_suppkey % 3 AS STRING))",
+}
+PRECISE_SQL = "SELECT *, " + ", ".join(f"{sql.replace('STRING', 'VARCHAR')} AS {c}" for c, sql in PRECISE.items()) + " FROM lineitem"
+
+
+def precise_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*[f"{sql} AS {c}" for c, sql in PRECISE.items()])
+
+
+@query("column_profile_precise_numbers", f"""WITH src AS ({PRECISE_SQL}),
+fine AS (SELECT arg_min(fine, (l_partkey, l_orderkey, l_suppkey)) AS low, arg_max(fine, (l_partkey, l_orderkey, l_suppkey)) AS high, count(DISTINCT (l_partkey, l_orderkey, l_suppkey)) AS n FROM src),
+wide AS (SELECT arg_min(wide, CASE WHEN l_linenumber = 1 THEN (-l_orderkey, -l_partkey) ELSE (l_orderkey, l_partkey) END) AS low, arg_max(wide, CASE WHEN l_linenumber = 1 THEN (-l_orderkey, -l_partkey) ELSE (l_orderkey, l_partkey) END) AS high,
+  count(DISTINCT (l_linenumber = 1, l_orderkey, l_partkey)) AS n FROM src),
+power AS (SELECT min((l_suppkey % 3, l_linenumber)) AS low, max((l_suppkey % 3, l_linenumber)) AS high, count(DISTINCT (l_suppkey % 3, l_linenumber)) AS n FROM src),
+lengths AS (SELECT count(*) AS rows, max(length(fine)) AS f, max(length(wide)) AS w, max(length(power)) AS p, max(length(CAST(l_partkey AS VARCHAR))) AS d, max(length(CAST(l_linenumber AS VARCHAR))) AS l FROM src)
+SELECT 0 AS position, 'fine' AS name, 'decimal' AS type, rows, n AS "distinct", rtrim(low, '0') AS min, rtrim(high, '0') AS max, CAST(f AS INTEGER) AS max_len, 21 AS max_scale, CAST(d AS INTEGER) AS max_int_digits, CAST(0 AS BIGINT) AS out_of_range FROM fine, lengths
+UNION ALL SELECT 1, 'wide', 'integer', rows, n, low, high, CAST(w AS INTEGER), 0, 60, 0 FROM wide, lengths
+UNION ALL SELECT 2, 'power', 'decimal', rows, n, CAST(low[2] AS VARCHAR) || repeat('0', CAST(30 + low[1] AS INTEGER)), CAST(high[2] AS VARCHAR) || repeat('0', CAST(30 + high[1] AS INTEGER)), CAST(p AS INTEGER), 0, CAST(l AS INTEGER), 0 FROM power, lengths""")
+def _precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.profile(precise_numbers(spark, sf_dir), "precise")
+    return found.select("position", "name", "type", "rows", "distinct", "min", "max", "max_len", "max_scale", "max_int_digits", "out_of_range")
+
+
 # ---- several tables at once ---------------------------------------------------------------------------------------
 
 
