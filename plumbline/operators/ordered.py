@@ -6,27 +6,57 @@ blocks are summarised on the map side, and only block totals are carried forward
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cells import quoted
 from plumbline.session import fresh_path
 
 
+def same_key(keys: list[str], left: str, right: str) -> Column:
+    """Whether the keys of two aliased tables are equal, NULL being a key like any other."""
+    return reduce(and_, [F.col(f"{left}.{quoted(k)}").eqNullSafe(F.col(f"{right}.{quoted(k)}")) for k in keys], F.lit(True))
+
+
+def blocks_by_count(df: DataFrame, keys: list[str], order: list[str], name: str = "_block", blocks: int | None = None) -> DataFrame:
+    """The table with a block number that never falls along the order of a key, in blocks of about equal numbers of rows.
+
+    Splitters come from a sample of all rows, so a key that fills a third of the table is cut into a third of the
+    blocks, however close together its rows lie. Rows equal in key and order share a block. Without ``blocks`` there
+    are as many as shuffle partitions, small ones put together. Written once to the shared folder, so that every
+    reader sees the same cuts.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "blocks")
+    places = [F.col(quoted(c)) for c in (*keys, *order)]
+    cut = df.repartitionByRange(*places) if blocks is None else df.repartitionByRange(blocks, *places)
+    cut.withColumn(name, F.spark_partition_id().cast("long")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None = None,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     through_peers: bool = False,
 ) -> DataFrame:
     """Add running sums and maxima per key, up to and including each row, and ``<name>_before`` without the row.
 
-    ``block`` must never decrease along ``order`` within a key, and rows equal in ``order`` must share a block. With
-    ``through_peers`` rows equal in ``order`` see each other. NULL is a key of its own.
+    ``block`` must never decrease along ``order`` within a key, and rows equal in ``order`` must share a block; without
+    it blocks are cut by count. With ``through_peers`` rows equal in ``order`` see each other. NULL is a key of its own.
     """
     sums, maxes = sums or {}, maxes or {}
+    if block is None:
+        columns = df.columns
+        cut = blocks_by_count(df, keys, order, "_cut")
+        return running(cut, keys, order, F.col("_cut"), sums, maxes, through_peers).select(
+            *[quoted(c) for c in columns], *[f"{n}{end}" for n in (*sums, *maxes) for end in ("", "_before")])
     rows = df.select("*", block.alias("_block"), *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()])
     totals = rows.groupBy(*keys, "_block").agg(
         *[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in sums],
@@ -59,42 +89,36 @@ def running(
     return joined.select(*df.columns, *columns)
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ranks of each key's sorted values, without sorting any key as a whole.
 
     ``ranks`` gives each result a rank as an expression over ``n``, the number of values of the key. Values are
-    counted on the map side and written once to the shared folder; the counts are cut into equal ranges, and only the
-    range that holds a rank is looked at again. Returns ``(*keys, n, lowest, highest, *ranks)``.
+    counted on the map side and cut into blocks of equally many distinct values along key and value, so neither a hot
+    key nor an outlier fills a task; only blocks that hold a rank are looked at again. NULL is a key of its own.
+    Returns ``(*keys, n, lowest, highest, *ranks)``.
     """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, "value-counts")
-    (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_times"))
-     .write.parquet(path))
-    counts = spark.read.parquet(path)
-    spans = counts.groupBy(*keys).agg(
-        F.sum("_times").alias("n"), F.min("_value").alias("lowest"), F.max("_value").alias("highest"))
-    width = F.col("highest") - F.col("lowest")
-    bucket = F.when(width > 0, F.floor((F.col("_value") - F.col("lowest")) / width * buckets)).otherwise(F.lit(0))
-    placed = counts.join(spans, keys).withColumn("_bucket", bucket.cast("long"))
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_times").alias("_size"))
-    below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
-    targets = (
-        sizes.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0)))
-        .join(spans, keys)
-        .select(*keys, "_bucket", "_below", "_size", F.explode(wanted).alias("_want"))
-        .filter((F.col("_want.rank") >= F.col("_below")) & (F.col("_want.rank") < F.col("_below") + F.col("_size")))
-        .select(*keys, "_bucket", "_below", F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank"))
-    )
-    held = targets.select(*keys, "_bucket", "_below").distinct()
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.select(*keys, "_bucket", "_value", "_times").join(held, [*keys, "_bucket"]).withColumn(
-        "_through", F.sum("_times").over(inside) + F.col("_below"))
-    hits = (
-        targets.join(ranked.drop("_below"), [*keys, "_bucket"])
-        .filter((F.col("_rank") < F.col("_through")) & (F.col("_rank") >= F.col("_through") - F.col("_times")))
-    )
-    found = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in ranks])
-    return spans.join(found, keys)
+    values = df.filter(F.col(quoted(value)).isNotNull()).select(*[quoted(k) for k in keys], F.col(quoted(value)).alias("_value"))
+    cut = blocks_by_count(values.groupBy(*[quoted(k) for k in keys], "_value").agg(F.count("*").alias("_times")), keys, ["_value"])
+    # One row for each key, and one more for each block that a key goes on in.
+    blocks = cut.groupBy(*[quoted(k) for k in keys], "_block").agg(
+        F.sum("_times").alias("_size"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    whole = Window.partitionBy(*[quoted(k) for k in keys])
+    below = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    told = blocks.select("*", F.sum("_size").over(whole).alias("n"), F.min("_low").over(whole).alias("lowest"),
+                         F.max("_high").over(whole).alias("highest"), F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_below"))
+    names = list(ranks)
+    inside = told.select("*", *[(ranks[n].cast("long") - F.col("_below")).alias(f"_rank_{i}") for i, n in enumerate(names)])
+    held = [(F.col(f"_rank_{i}") >= 0) & (F.col(f"_rank_{i}") < F.col("_size")) for i in range(len(names))]
+    wanted = inside.filter(reduce(or_, held)).select(
+        *[quoted(k) for k in keys], "_block", "n", "lowest", "highest", *[f"_rank_{i}" for i in range(len(names))])
+    rows = cut.alias("c").join(wanted.alias("w"), same_key([*keys, "_block"], "c", "w")).select("c.*", *[
+        f"w.{c}" for c in ("n", "lowest", "highest", *[f"_rank_{i}" for i in range(len(names))])])
+    within = Window.partitionBy(*[quoted(k) for k in keys], "_block").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_through", F.sum("_times").over(within))
+    hit = [(F.col(f"_rank_{i}") >= F.col("_through") - F.col("_times")) & (F.col(f"_rank_{i}") < F.col("_through")) for i in range(len(names))]
+    return ranked.groupBy(*[quoted(k) for k in keys]).agg(
+        F.max("n").alias("n"), F.max("lowest").alias("lowest"), F.max("highest").alias("highest"),
+        *[F.max(F.when(hit[i], F.col("_value"))).alias(n) for i, n in enumerate(names)])
 
 
 def nearest_rank(share: float) -> Column:

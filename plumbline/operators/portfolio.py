@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
 from plumbline.functions import types as Y
-from plumbline.operators.ordered import median, median_ranks, nearest_rank, order_statistics
+from plumbline.operators.cells import quoted
+from plumbline.operators.ordered import median, median_ranks, nearest_rank, order_statistics, same_key
 
 
 def _named_columns(columns: DataFrame) -> DataFrame:
@@ -76,8 +77,8 @@ def timing_stats(measurements: DataFrame, keys: list[str], value: str) -> DataFr
     # Sums of decimals do not depend on the order in which tasks finish.
     means = measurements.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.sum(F.col(value).cast("decimal(28,8)")).alias("_sum"))
-    return stats.join(means, keys).select(
-        *keys, "n", median().cast("double").alias("median"), F.col("p95").cast("double").alias("p95"),
+    return stats.alias("s").join(means.alias("m"), same_key(keys, "s", "m")).select(
+        *[f"s.{quoted(k)}" for k in keys], "n", median().cast("double").alias("median"), F.col("p95").cast("double").alias("p95"),
         F.col("highest").cast("double").alias("max"), (F.col("_sum").cast("double") / F.col("n")).alias("mean"))
 
 

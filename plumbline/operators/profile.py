@@ -287,6 +287,11 @@ def profile_many(tables: dict[str, DataFrame], distinct_limit: int | None = None
         joined = number_key_counts(named, respelled).join(F.broadcast(by_column), KEYS, "right")
     else:
         joined = by_column.withColumn("keys", F.lit(None).cast("long"))
+    return _finished(joined, distinct_limit)
+
+
+def _finished(joined: DataFrame, distinct_limit: int | None) -> DataFrame:
+    """Measured columns with their distinct counts settled, in ``COLUMN_PROFILE`` order."""
     exact = F.when(~F.col("spelled_two_ways") & ~F.col("beyond_limit"), F.coalesce("spelled_distinct", "keys"))
     over = F.lit(False) if distinct_limit is None else F.coalesce(exact > distinct_limit, F.lit(False))
     capped = F.col("beyond_limit") | over
@@ -298,6 +303,24 @@ def profile_many(tables: dict[str, DataFrame], distinct_limit: int | None = None
     }).select(*COLUMN_PROFILE)
 
 
+def profile_of_values(values: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """The column profiles that a dictionary ``(dataset, position, value, long_length, n)`` tells, without the tables
+    it was counted from. Columns without a row are empty."""
+    spark = values.sparkSession
+    readings = classified(values)
+    measured = resolved(column_measures(readings, KEYS)).withColumn("position", F.col("position").cast("int"))
+    # Both readings' keys in one pass; the column decides which one counts.
+    keyed = readings.groupBy(*KEYS).agg(
+        F.countDistinct(V.number_key(F.col("us_text"))).alias("us_keys"), F.countDistinct(V.number_key(F.col("br_text"))).alias("br_keys"))
+    keyed = keyed.withColumn("position", F.col("position").cast("int"))
+    named = spark.createDataFrame([(d, i, n) for d, names in columns.items() for i, n in enumerate(names)], "dataset string, position int, name string")
+    fields = [f for f in T._parse_datatype_string(_MEASURED).names if f not in (*KEYS, "name", "beyond_limit")]
+    rows = F.broadcast(named).join(measured, KEYS, "left").join(keyed, KEYS, "left").select(
+        *KEYS, "name", *[F.when(F.col("type").isNull(), F.lit(_EMPTY.get(f))).otherwise(F.col(f)).alias(f) for f in fields],
+        F.when(F.col("number_style") == "br", F.col("br_keys")).otherwise(F.col("us_keys")).alias("keys"))
+    return _finished(rows.withColumn("beyond_limit", F.lit(False)), None)
+
+
 def profile(df: DataFrame, dataset: str, distinct_limit: int | None = None) -> DataFrame:
     """The column profile of one table; see ``profile_many``."""
     return profile_many({dataset: df}, distinct_limit)

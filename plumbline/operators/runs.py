@@ -45,6 +45,45 @@ def fold_events(events: DataFrame, run: str = "run_id", types: list[str] | None
         "reason", reason).drop(*[f"has_{k.replace('.', '_')}" for k in required])
 
 
+def run_rows(folded: DataFrame) -> DataFrame:
+    """The stored row of each run from its fold: every ``last_<type>`` is the JSON payload of that type's last event.
+
+    The corrected answer goes before the model's own: its mappings, checks and pass rate are the run's, and the
+    model's mappings stay beside them. Works on batches and on streams.
+    """
+    def at(kind: str, *path: str) -> Column:
+        return F.get_json_object(f"last_{kind}", "$." + ".".join(path))
+
+    def there(kind: str) -> Column:
+        return F.col(f"last_{kind}").isNotNull()
+
+    def said(kind: str, name: str) -> Column:
+        return F.nullif(at(kind, name), F.lit(""))
+
+    ruled = there("rule_corrected")
+    completed = there("result") & there("checks") & there("provider_response")
+    failure = F.lit(None).cast("string")
+    for kind in reversed(FAILURES):
+        own = kind.replace(".", "_")
+        failure = F.when(there(own), F.coalesce(said(own, "message"), said(own, "reason"))).otherwise(failure)
+    return folded.select(
+        "run_id", "events", F.when(completed, "completed").otherwise("failed").alias("status"),
+        at("gate_scored", "tier").alias("tier"), at("gate_scored", "score").cast("double").alias("score"),
+        *[at("summary", n).cast(t).alias(n) for n, t in (("input_tokens", "long"), ("output_tokens", "long"), ("cost_usd", "double"))],
+        at("provider_response", "latency_ms").cast("double").alias("latency_ms"), "elapsed_ms",
+        F.when(ruled, at("rule_corrected", "pass_rate")).otherwise(at("checks", "pass_rate")).cast("double").alias("pass_rate"),
+        at("policy", "action").alias("policy_action"),
+        F.when(there("result"), F.when(ruled, at("rule_corrected", "mappings")).otherwise(at("result", "mappings"))).alias("mappings_json"),
+        F.when(there("checks"), F.when(ruled, at("rule_corrected", "checks")).otherwise(at("checks", "checks"))).alias("checks_json"),
+        ruled.cast("int").alias("edited"),
+        F.when(ruled & there("result"), at("result", "mappings")).alias("original_mappings_json"),
+        F.when(ruled, at("rule_corrected", "changes")).alias("changes_json"),
+        at("payload_built", "prompt").alias("prompt"),
+        *[at("gate_scored", n).cast("double").alias(n) for n in ("price_in", "price_out", "estimated_cost_usd")],
+        *[at("gate_scored", n).cast("long").alias(n) for n in ("input_cap", "output_cap")],
+        F.coalesce(failure, said("result", "error")).alias("error"))
+
+
 def best_runs(runs: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     """Per dataset the approved run if there is one, otherwise the latest completed one.
 
@@ -70,9 +109,9 @@ def valid_attempts(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return attempts.filter(F.coalesce(ok, F.lit(False))), attempts.filter(~F.coalesce(ok, F.lit(False)))
 
 
-def attempt_history(attempts: DataFrame, block: Column, order: list[str] | None = None) -> DataFrame:
+def attempt_history(attempts: DataFrame, block: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """Each attempt with the running spend, best rate and number of attempts of its artifact, and its gain over the
-    best earlier attempt (NULL for the first)."""
+    best earlier attempt (NULL for the first). Without ``block`` long histories are cut by count."""
     told = running(attempts, ["artifact_id"], order or ["attempt_no"], block,
                    sums={"spent_usd": F.col("cost_usd"), "attempts": F.lit(1)}, maxes={"best_pass_rate": F.col("pass_rate")})
     return told.withColumn("gain", F.col("pass_rate") - F.col("best_pass_rate_before")).drop(
@@ -134,8 +173,8 @@ def decide(history: DataFrame, estimates: dict[str, float], policy: Policy | Non
 def trailing_counts(runs: DataFrame, user: str, at: str, hours: int = 24) -> DataFrame:
     """Add ``recent``: runs of the same user in the trailing hours up to each run, itself and simultaneous ones included.
 
-    Each run arrives once and expires once; the count is a running sum over both, so no user's history has to be in
-    one place.
+    Each run arrives once and expires once; the count is a running sum over both, in blocks of equal counts, so no
+    user's history has to be in one place, not even that of a single hour.
     """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     base = runs.withColumn("_at", micros)
@@ -143,8 +182,7 @@ def trailing_counts(runs: DataFrame, user: str, at: str, hours: int = 24) -> Dat
     # A run still counts at the end of its hours and no longer just after: it expires between two microseconds.
     expiries = base.withColumn("_step", F.lit(-1)).withColumn("_when", (F.col("_at") + hours * 3_600_000_000) * 2 + 1)
     steps = arrivals.unionByName(expiries)
-    block = F.floor(F.col("_when") / (2 * 3_600_000_000)).cast("long")
-    counted = running(steps, [user], ["_when"], block, sums={"recent": F.col("_step")}, through_peers=True)
+    counted = running(steps, [user], ["_when"], sums={"recent": F.col("_step")}, through_peers=True)
     return counted.filter("_step = 1").drop("_at", "_step", "_when", "recent_before").withColumn(
         "recent", F.col("recent").cast("long"))
 

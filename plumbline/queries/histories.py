@@ -10,8 +10,9 @@ from plumbline.functions import types as Y
 from plumbline.operators import flags as G
 from plumbline.operators import portfolio as Q
 from plumbline.operators import runs as H
-from plumbline.queries.profiles import ALL_COLUMNS_SQL, TOTALS_SQL, all_columns, all_totals
+from plumbline.queries.profiles import ALL_COLUMNS_SQL, TEXT_TABLES, TOTALS_SQL, all_columns, all_totals, profile_sql, text_table, text_table_sql
 from plumbline.queries.registry import query, table
+from plumbline.session import fresh_path
 
 # ---- events as runs: a user is a run, an event type a step --------------------------------------------------------
 
@@ -36,11 +37,19 @@ def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.fold_events(run_events(spark, sf_dir), **STEPS)
 
 
+def parts_of(spark: SparkSession, parts: list[DataFrame], label: str) -> str:
+    """A folder of part files, written one after the other, so that a stream reads them in this order."""
+    folder = fresh_path(spark, label)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 @query("run_folds_streamed", FOLD_SQL)
 def _fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming import run_events as R
 
-    stream = R.stream_parquet(spark, sf_dir, "events.parquet").selectExpr(
+    stream = R.stream_table(spark, f"{sf_dir}/events.parquet").selectExpr(
         "user_id AS run_id", "event_id AS seq", "event_type AS type", "event_id * 3 AS t_ms", "props AS payload")
     return R.folded_runs(spark, stream, **STEPS)
 
@@ -49,18 +58,100 @@ def _fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming import run_events as R
 
-    stream = R.stream_parquet(spark, sf_dir, "events.parquet").select("user_id", "ts")
-    return R.window_quota(spark, stream, "user_id", "ts").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    stream = R.stream_table(spark, f"{sf_dir}/events.parquet").select("user_id", "ts")
+    windows, _ = R.window_quota(spark, stream, "user_id", "ts")
+    return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("late_events_kept", """WITH ordered AS (SELECT user_id, ts, event_id % 3 AS batch FROM events),
+  marks AS (SELECT b.batch, max(o.ts) - INTERVAL 240 HOUR AS mark FROM (SELECT DISTINCT batch FROM ordered) b LEFT JOIN ordered o ON o.batch < b.batch GROUP BY b.batch),
+  told AS (SELECT o.*, coalesce(ts < mark, false) AS late FROM ordered o JOIN marks USING (batch))
+  SELECT 'window' AS kind, user_id, strftime(date_trunc('hour', ts) - to_hours(CAST(h AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS at, count(*) AS n FROM told, range(24) r(h) WHERE NOT late GROUP BY ALL
+  UNION ALL SELECT 'late', user_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), count(*) FROM told WHERE late GROUP BY ALL""")
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three batches that overlap in time: what lies ten days behind the batches before is late."""
+    from plumbline.streaming import run_events as R
+
+    events = table(spark, sf_dir, "events")
+    folder = parts_of(spark, [events.filter(F.col("event_id") % 3 == i).select("user_id", "ts") for i in range(3)], "events-in-parts")
+    windows, late = R.window_quota(spark, R.stream_table(spark, folder, 1), "user_id", "ts", "240 hours")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("at")
+    return windows.select(F.lit("window").alias("kind"), "user_id", shown("window_start"), F.col("runs").alias("n")).unionByName(
+        late.groupBy("user_id", shown("ts")).agg(F.count("*").alias("n")).select(F.lit("late").alias("kind"), "user_id", "at", "n"))
 
 
-@query("arriving_files_profile", " UNION ALL ".join(
-    f"SELECT CAST({i} AS INTEGER) AS position, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS raw_distinct, '{t}' AS type FROM customer"
-    for i, (c, t) in enumerate([("c_custkey", "integer"), ("c_name", "text"), ("c_nationkey", "integer"), ("c_acctbal", "decimal"), ("c_mktsegment", "text")])))
+@query("arriving_files_profile", profile_sql(text_table_sql("customer"), list(TEXT_TABLES["customer"]), "customer"))
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in five batches, merged after every second one."""
+    from plumbline.streaming.growing import arriving_profile
+    from plumbline.streaming.run_events import stream_table
+
+    rows = text_table(spark, sf_dir, "customer")
+    part = F.pmod(F.xxhash64("c_custkey"), F.lit(5))
+    folder = parts_of(spark, [rows.filter(part == i) for i in range(5)], "customers-in-parts")
+    found = arriving_profile(spark, stream_table(spark, folder, 1), "customer", merge_every=2)
+    return found.profile().drop("out_of_range", "fingerprint")
+
+
+# ---- customers as runs with every kind of event -------------------------------------------------------------------
+
+# Per event: its place in the run, its type, when it occurs, and the fields of its payload.
+RUN_STEPS = [
+    (1, "payload.built", "true", {"prompt": "c_name"}),
+    (2, "gate.scored", "true", {"tier": "c_mktsegment", "score": "c_nationkey", "input_cap": "CAST(32000 AS BIGINT)", "output_cap": "CAST(8000 AS BIGINT)", "price_in": "0.25", "price_out": "1.5", "estimated_cost_usd": "0.125"}),
+    (3, "provider.response", "c_custkey % 7 <> 0", {"latency_ms": "c_custkey"}),
+    (4, "provider.error", "c_custkey % 7 = 0", {"message": "concat('no answer for ', c_name)"}),
+    (5, "result", "c_custkey % 7 <> 0", {"mappings": "named_struct('a', c_name)", "error": "CASE WHEN c_custkey % 5 = 0 THEN 'odd answer' END"}),
+    (6, "checks", "c_custkey % 7 <> 0", {"checks": "array(named_struct('name', 'unique', 'n', c_nationkey))", "pass_rate": "0.5"}),
+    (7, "rule.corrected", "c_custkey % 3 = 0 AND c_custkey % 7 <> 0", {"mappings": "named_struct('a', c_mktsegment)", "checks": "array(named_struct('name', 'fixed', 'n', c_nationkey))", "changes": "array(c_mktsegment)", "pass_rate": "1.0"}),
+    (8, "policy", "true", {"action": "CASE WHEN c_custkey % 3 = 0 THEN 'accept' ELSE 'refine' END"}),
+    (9, "summary", "true", {"input_tokens": "c_custkey * 3", "output_tokens": "c_custkey", "cost_usd": "0.5"}),
+    (10, "done", "c_custkey % 11 <> 0", {"t": "1"}),
+]
+
+
+def governed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run_id, seq, type, t_ms, payload, at)``: a run of each customer, a minute an event; some runs are not closed."""
+    steps = ", ".join(
+        f"CASE WHEN {when} THEN named_struct('seq', {seq}, 'type', '{kind}', 'payload', to_json(named_struct({', '.join(f'{n!r}, {v}' for n, v in said.items())}))) END"
+        for seq, kind, when, said in RUN_STEPS)
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS run_id", f"explode(array_compact(array({steps}))) AS e")
+    return rows.selectExpr("run_id", "e.seq AS seq", "e.type AS type", "run_id % 1000 + e.seq * 10 AS t_ms", "e.payload AS payload",
+                           "timestampadd(MINUTE, e.seq, timestampadd(SECOND, CAST(run_id % 600 AS INT), TIMESTAMP '2024-01-01 00:00:00')) AS at")
+
+
+RUN_ROWS_SQL = """SELECT c_custkey AS run_id, CAST(CASE WHEN bad THEN 5 WHEN ruled THEN 8 ELSE 7 END AS BIGINT) AS events, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, c_mktsegment AS tier, CAST(c_nationkey AS DOUBLE) AS score,
+  CAST(c_custkey * 3 AS BIGINT) AS input_tokens, CAST(c_custkey AS BIGINT) AS output_tokens, 0.5::DOUBLE AS cost_usd, CASE WHEN NOT bad THEN CAST(c_custkey AS DOUBLE) END AS latency_ms, CAST(c_custkey % 1000 + 90 AS BIGINT) AS elapsed_ms,
+  CASE WHEN bad THEN NULL WHEN ruled THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS pass_rate, CASE WHEN c_custkey % 3 = 0 THEN 'accept' ELSE 'refine' END AS policy_action,
+  CASE WHEN NOT bad THEN '{"a":"' || CASE WHEN ruled THEN c_mktsegment ELSE c_name END || '"}' END AS mappings_json,
+  CASE WHEN NOT bad THEN '[{"name":"' || CASE WHEN ruled THEN 'fixed' ELSE 'unique' END || '","n":' || c_nationkey || '}]' END AS checks_json, CAST(ruled AS INTEGER) AS edited,
+  CASE WHEN ruled THEN '{"a":"' || c_name || '"}' END AS original_mappings_json, CASE WHEN ruled THEN '["' || c_mktsegment || '"]' END AS changes_json, c_name AS prompt,
+  0.25::DOUBLE AS price_in, 1.5::DOUBLE AS price_out, 0.125::DOUBLE AS estimated_cost_usd, CAST(32000 AS BIGINT) AS input_cap, CAST(8000 AS BIGINT) AS output_cap,
+  CASE WHEN bad THEN 'no answer for ' || c_name WHEN c_custkey % 5 = 0 THEN 'odd answer' END AS error
+  FROM (SELECT *, c_custkey % 7 = 0 AS bad, c_custkey % 3 = 0 AND c_custkey % 7 <> 0 AS ruled FROM customer)"""
+
+
+@query("run_rows", RUN_ROWS_SQL)
+def _run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.streaming.run_events import PASSING
+
+    return H.run_rows(H.fold_events(governed_events(spark, sf_dir).filter(~F.col("type").isin(*PASSING))))
+
+
+@query("run_rows_streamed", RUN_ROWS_SQL)
+def _run_rows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches; a run in a later year moves the watermark past the runs that were never closed."""
     from plumbline.streaming import run_events as R
 
-    found = R.arriving_profile(spark, R.stream_parquet(spark, sf_dir, "customer.parquet"))
-    return found.select(F.col("position").cast("int").alias("position"), "rows", "nulls", "raw_distinct", "type")
+    events = governed_events(spark, sf_dir)
+    bounds = [(1, 3), (4, 6), (7, 10)]
+    parts = [events.filter(F.col("seq").between(*b)) for b in bounds]
+    later = table(spark, sf_dir, "customer").agg(F.max("c_custkey").cast("long").alias("run_id")).selectExpr(
+        "-1 - run_id AS run_id", "1 AS seq", "'done' AS type", "CAST(0 AS BIGINT) AS t_ms", "'{}' AS payload", "TIMESTAMP '2025-01-01 00:00:00' AS at")
+    columns = [F.col(f.name).cast(f.dataType) for f in events.schema]
+    folder = parts_of(spark, [*parts, later.select(*columns)], "governed-events")
+    rows, _ = R.closed_runs(spark, R.stream_table(spark, folder, 1))
+    return rows.filter("run_id >= 0")
 
 
 @query("trailing_run_counts", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS recent FROM events")
@@ -69,6 +160,21 @@ def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.trailing_counts(events, "user_id", "ts").select("event_id", "user_id", "recent")
 
 
+# One user with a third of all events, inside one hour.
+HOT_SQL = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id,
+  CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (event_id % 3600) SECOND ELSE ts END AS ts FROM events"""
+
+
+@query("trailing_run_counts_hot_user", f"SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS recent FROM ({HOT_SQL})")
+def _trailing_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = F.col("event_id") % 3 == 0
+    within = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("event_id") % 3600)
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.when(hot, -1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(hot, within).otherwise(F.col("ts").cast("timestamp")).alias("ts"))
+    return H.trailing_counts(events, "user_id", "ts").select("event_id", "user_id", "recent")
+
+
 # ---- orders as runs: a customer is a dataset ----------------------------------------------------------------------
 
 RUN_ROW = {
@@ -272,6 +378,20 @@ def _timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.timing_stats(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
+# A NULL key, and one value that is a thousand million times the others.
+_SKEWED = "SELECT nullif(event_type, 'error') AS event_type, CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN 1e15::DOUBLE ELSE value END AS value FROM events"
+
+
+@query("timing_stats_outlier", f"""SELECT event_type, count(*) AS n, median(value) AS median, list_sort(list(value))[CAST(least(count(*) - 1, round_even(0.95 * (count(*) - 1), 0)) AS BIGINT) + 1] AS p95,
+  max(value) AS max FROM ({_SKEWED}) GROUP BY event_type""")
+def _timing_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    last = F.broadcast(events.agg(F.max("event_id").alias("last")))  # one row
+    marked = events.join(last, F.col("event_id") == F.col("last"), "left")
+    value = F.when(F.col("last").isNotNull(), F.lit(1e15)).otherwise(F.col("value"))
+    return Q.timing_stats(marked.select(F.nullif("event_type", F.lit("error")).alias("event_type"), value.alias("value")), ["event_type"], "value").drop("mean")
+
+
 KINDS = ["integer", "decimal", "boolean", "date", "text", "mixed", "empty"]
 SUGGESTED = ["int", "double", "string", "date", "bigint", "boolean", "decimal", "timestamp"]
 ANSWERS_SQL = f"""SELECT source AS dataset, n_chars % 3 AS rep, CASE WHEN n_chars % 4 = 0 THEN 'Col ' || lang ELSE lang END AS "column", ({KINDS!r})[n_chars % 7 + 1] AS type,

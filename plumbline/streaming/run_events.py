@@ -1,38 +1,58 @@
-"""Run events as they arrive: folds per run, quotas over sliding windows, and a profile that grows by file."""
+"""Run events as they arrive: folds per run, rows of closed runs, and quotas over sliding windows."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.profile import classified, column_measures, dictionary, resolved
-from plumbline.operators.cells import cells
-from plumbline.operators.runs import fold_events
+from plumbline.operators.runs import EVENT_TYPES, fold_events, run_rows
 from plumbline.session import fresh_path
 
+#: The event that closes a run, and events that say nothing about it.
+CLOSING, PASSING = "done", ["done", "saved", "provider.delta"]
+
 
-def stream_parquet(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """The matching files of a folder as a stream, with the schema they have now."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A parquet table, one file or a folder of part files, as a stream with the schema it has now."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # A stream takes a plain path for a folder; a pattern may also be a single file.
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _run_to_end(stream: DataFrame, out: str, mode: str) -> None:
-    """Process everything there is and stop. Each batch goes to its own folder, so a repeated batch replaces itself."""
+def _run_to_end(stream: DataFrame, out: str, mode: str) -> dict:
+    """Process everything there is and stop. Each batch goes to its own folder, so a repeated batch replaces itself.
+    Returns the last progress of the query."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
+    return query.lastProgress
 
 
-def _written(spark: SparkSession, out: str, empty: DataFrame) -> DataFrame:
-    from plumbline.operators.load import has_rows
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What batches have written under a path; an empty table before the first."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    if not has_rows(spark, f"{out}/data/*"):
-        return spark.createDataFrame([], empty.schema).withColumn("batch", F.lit(0))
-    return spark.read.parquet(f"{out}/data/*")
+
+def _schema_of(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
 def folded_runs(spark: SparkSession, events: DataFrame, **fold: object) -> DataFrame:
@@ -41,33 +61,78 @@ def folded_runs(spark: SparkSession, events: DataFrame, **fold: object) -> DataF
     folded = fold_events(events, **fold)
     _run_to_end(folded, out, "update")
     latest = Window.partitionBy("run_id").orderBy(F.desc("batch"))
-    rows = _written(spark, out, folded)
+    rows = written(spark, f"{out}/data/*", _schema_of(folded, "batch int"))
     return rows.withColumn("_turn", F.row_number().over(latest)).filter("_turn = 1").drop("_turn", "batch")
 
 
-def window_quota(spark: SparkSession, events: DataFrame, user: str, at: str, late: str = "1 hour") -> DataFrame:
-    """``(user, window_start, runs)``: runs per user over 24 hours, a window starting every hour. Events later than
-    ``late`` are dropped; windows still open at the end are kept as they stand."""
+def closed_runs(spark: SparkSession, events: DataFrame, at: str = "at", idle: str = "1 hour", late: str = "10 minutes") -> tuple[DataFrame, int]:
+    """The row of every run that has ended, and how many runs are still open.
+
+    A run ends with its closing event, or when nothing was heard of it for ``idle`` beyond the watermark; its state,
+    one payload for each event type, is dropped then. ``events`` is ``(run_id, seq, type, t_ms, payload, <at>)``, in
+    order for each run; events after the closing one start a run anew.
+    """
+    out = fresh_path(spark, "closed-runs")
+    run_type = events.schema["run_id"].dataType.simpleString()
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    fields = [f"last_{t.replace('.', '_')}" for t in EVENT_TYPES]
+    folded = f"run_id {run_type}, events long, elapsed_ms long, " + ", ".join(f"{f} string" for f in fields)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        heard = json.loads(state.get[0]) if state.exists else {"events": 0, "elapsed": 0, "last": {}, "at": 0, "closed": False}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for row in batch.sort_values("seq").itertuples(index=False):
+                    heard["closed"] |= row.type == CLOSING
+                    heard["at"] = max(heard["at"], int(row.at_ms))
+                    if row.type in PASSING:
+                        continue
+                    heard["events"] += 1
+                    heard["elapsed"] = max(heard["elapsed"], int(row.t_ms or 0))
+                    if heard["last"].get(row.type, [-1])[0] <= row.seq:
+                        heard["last"][row.type] = [int(row.seq), row.payload]
+        if heard["closed"] or state.hasTimedOut:
+            if state.exists:
+                state.remove()
+            last = [heard["last"].get(t, [0, None])[1] for t in EVENT_TYPES]
+            yield pd.DataFrame([[key[0], heard["events"], heard["elapsed"], *last]], columns=["run_id", "events", "elapsed_ms", *fields])
+        else:
+            state.update((json.dumps(heard),))
+            state.setTimeoutTimestamp(max(heard["at"], state.getCurrentWatermarkMs()) + idle_ms)
+
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(
+        "run_id", "seq", "type", "t_ms", "payload", F.unix_millis(at).alias("at_ms"), at)
+    kept = timed.groupBy("run_id").applyInPandasWithState(step, folded, "heard string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = run_rows(kept)
+    progress = _run_to_end(rows, out, "append")
+    open_runs = sum(s["numRowsTotal"] for s in progress["stateOperators"])
+    return written(spark, f"{out}/data/*", _schema_of(rows, "batch int")).drop("batch"), open_runs
+
+
+def window_quota(spark: SparkSession, events: DataFrame, user: str, at: str, late: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """``(user, window_start, runs)``: runs per user over 24 hours, a window starting every hour; and the late events.
+
+    An event is late when it lies more than ``late`` behind the newest event of the batches before its own. Late
+    events are in no window but kept, so windows and late events add up to all events. Each batch writes its counts,
+    its late events and its newest time to folders of its own: a repeated batch replaces itself.
+    """
     out = fresh_path(spark, "quota")
-    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    counted = timed.groupBy(F.window(at, "24 hours", "1 hour").alias("w"), user).agg(F.count("*").alias("runs"))
-    flat = counted.select(F.col(user), F.col("w.start").alias("window_start"), "runs")
-    _run_to_end(flat, out, "update")
-    latest = Window.partitionBy(user, "window_start").orderBy(F.desc("batch"))
-    rows = _written(spark, out, flat)
-    return rows.withColumn("_turn", F.row_number().over(latest)).filter("_turn = 1").drop("_turn", "batch")
-
-
-def arriving_profile(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Column measures over all files of a stream. Each batch adds its own dictionary of values; dictionaries of all
-    batches merge by adding their counts, so no file is read twice."""
-    out = fresh_path(spark, "dictionaries")
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    counted = f"`{user}` {timed.schema[user].dataType.simpleString()}, window_start timestamp, runs long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dictionary(cells(batch), ["position"]).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
-
-    query = (files.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint")
-             .trigger(availableNow=True).start())
+        own = batch.sparkSession
+        before = written(own, f"{out}/newest/*", "batch int, newest timestamp").filter(F.col("batch") < batch_id)
+        # One row.
+        mark = before.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_mark"))
+        marked = batch.crossJoin(F.broadcast(mark)).withColumn("_late", F.coalesce(F.col(at) < F.col("_mark"), F.lit(False)))
+        windows = marked.filter("NOT _late").groupBy(F.window(at, "24 hours", "1 hour").alias("w"), user).agg(F.count("*").alias("runs"))
+        for name, rows in (("windows", windows.select(user, F.col("w.start").alias("window_start"), "runs")),
+                           ("late", marked.filter("_late").select(*batch.columns)),
+                           ("newest", batch.agg(F.lit(batch_id).alias("batch"), F.max(at).alias("newest")))):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+
+    query = (timed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    merged = spark.read.parquet(f"{out}/data/*").groupBy("position", "value", "long_length").agg(F.sum("n").alias("n"))
-    return resolved(column_measures(classified(merged), ["position"]))
+    windows = written(spark, f"{out}/windows/*", counted).groupBy(user, "window_start").agg(F.sum("runs").alias("runs"))
+    return windows, written(spark, f"{out}/late/*", _schema_of(timed))

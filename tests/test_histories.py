@@ -1,5 +1,6 @@
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import evidence as E
 from plumbline.operators import portfolio as Q
 from plumbline.operators import runs as H
-from plumbline.operators.ordered import median, median_ranks, nearest_rank, order_statistics, running
+from plumbline.operators.ordered import blocks_by_count, median, median_ranks, nearest_rank, order_statistics, running
 from plumbline.functions import spending as S
 
 COSTS = {"daylight": 1.0, "horizon": 3.0, "twilight": 8.0, "starlight": 20.0, "aurora": 40.0}
@@ -50,6 +51,31 @@ def test_running_totals_match_brute_force_with_a_hot_key(spark):
     assert {r["i"]: (r["total"], r["total_before"], r["best"], r["best_before"]) for r in found} == expected
 
 
+def test_blocks_hold_equal_counts_even_of_one_key(spark):
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i % 1000) for i in range(20_000)]
+    cut = blocks_by_count(spark.createDataFrame(rows, "k string, i int"), ["k"], ["i"], blocks=8).collect()
+    sizes = Counter(r["_block"] for r in cut)
+    assert max(sizes.values()) < 2 * len(rows) / len(sizes) and len({r["_block"] for r in cut if r["k"] == "hot"}) > 1
+    ordered = sorted((r["k"], r["i"], r["_block"]) for r in cut)
+    assert all(a[2] <= b[2] for a, b in zip(ordered, ordered[1:]) if a[0] == b[0])
+    assert len({(r["k"], r["i"], r["_block"]) for r in cut}) == len({(r["k"], r["i"]) for r in cut})
+
+
+def test_running_totals_cut_by_count(spark):
+    rows = [(None if i % 3 == 0 else i % 5, i, i % 7) for i in range(4000)]
+    found = running(spark.createDataFrame(rows, "k int, i int, v int"), ["k"], ["i"], sums={"total": F.col("v")}, maxes={"best": F.col("v")})
+    totals, best, expected = {}, {}, {}
+    for k, i, v in rows:
+        totals[k], best[k] = totals.get(k, 0) + v, max(best.get(k, v), v)
+        expected[i] = (k, totals[k], best[k])
+    assert {r["i"]: (r["k"], r["total"], r["best"]) for r in found.collect()} == expected and found.columns[:3] == ["k", "i", "v"]
+
+
+def test_timing_stats_keep_null_keys(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("b", None)], "g string, v double")
+    assert {r["g"]: (r["n"], r["median"], r["mean"]) for r in Q.timing_stats(df, ["g"], "v").collect()} == {None: (2, 2.0, 2.0), "a": (1, 2.0, 2.0)}
+
+
 def test_trailing_counts_match_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if rng.random() < 0.4 else f"u{rng.randint(0, 9)}", rng.randint(0, 400_000) // 7 * 7) for i in range(1500)]
@@ -67,11 +93,14 @@ def test_null_users_are_counted_too(spark):
 def test_order_statistics_match_sorting(spark):
     rng = random.Random(9)
     groups = {"ties": [rng.choice([1.5, 1.5, 1.5, 9.0]) for _ in range(400)], "one": [3.25], "same": [2.0] * 31,
-              "wide": [rng.lognormvariate(0, 4) for _ in range(777)]}
+              "wide": [rng.lognormvariate(0, 4) for _ in range(777)], None: [rng.random() for _ in range(50)],
+              "far": [*[float(i % 97) for i in range(500)], 1e15]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
-    found = order_statistics(df, ["g"], "v", {**median_ranks(), "p95": nearest_rank(0.95)}, buckets=16).withColumn("median", median())
-    for r in found.collect():
+    found = order_statistics(df, ["g"], "v", {**median_ranks(), "p95": nearest_rank(0.95)}).withColumn("median", median()).collect()
+    assert {r["g"] for r in found} == set(groups)
+    for r in found:
         ordered = sorted(groups[r["g"]])
+        assert (r["lowest"], r["highest"]) == (ordered[0], ordered[-1])
         assert r["median"] == statistics.median(ordered) and r["n"] == len(ordered)
         assert r["p95"] == ordered[min(len(ordered) - 1, round(0.95 * (len(ordered) - 1)))]
 
