@@ -7,7 +7,10 @@ evidence: such checks are ``skipped``, never ``passed``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as Y
@@ -98,40 +101,65 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 def runtime_checks(source: DataFrame, target: DataFrame, loaded: DataFrame) -> DataFrame:
     """Per source table: rows loaded against both catalogs.
 
-    ``loaded`` is ``(table_name, rows_loaded, digest, null_cells)``; a table that was not loaded is skipped. Without
-    an expected target count the digest status is unknown.
+    ``loaded`` is ``(*key, rows_loaded, digest, null_cells, nulls)``; a table that was not loaded is skipped. Tables
+    are matched by database, schema and name as far as both sides carry them; a name that fits several tables of a
+    side is ``ambiguous``. Without an expected target count the digest status is unknown.
     """
-    s = source.select("table_name", F.col("row_count").alias("expected_source_rows"))
-    t = target.select("table_name", F.col("row_count").alias("expected_target_rows"))
-    rows = s.join(t, "table_name", "left").join(loaded, "table_name", "left")
-    missing = F.col("rows_loaded").isNull()
+    keys = [c for c in ("database", "schema", "table_name") if c in source.columns]
+
+    def one_each(df: DataFrame, by: list[str], *values: str) -> DataFrame:
+        """One row per key, with how many tables it names."""
+        return df.groupBy(*by).agg(F.count("*").alias("_n"), *[F.first(v).alias(v) for v in values])
+
+    def matched(left: DataFrame, right: DataFrame, by: list[str], *values: str) -> DataFrame:
+        found = one_each(right, by, *values).select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_n").alias("_found"), *values)
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
+        joined = left.join(found, same, "left").drop(*[f"_k_{k}" for k in by])
+        return joined.withColumn("_unclear", F.col("_unclear") | (F.coalesce("_found", F.lit(0)) > 1)).drop("_found")
+
+    s = source.groupBy(*keys).agg(F.first("row_count").alias("expected_source_rows"), (F.count("*") > 1).alias("_unclear"))
+    for side in (target, loaded):
+        by = [k for k in keys if k in side.columns]
+        if by != keys:
+            # Several source tables that the other side can't tell apart.
+            s = s.withColumn("_unclear", F.col("_unclear") | (F.count("*").over(Window.partitionBy(*by)) > 1))
+    rows = matched(s, target.withColumnRenamed("row_count", "expected_target_rows"), [k for k in keys if k in target.columns], "expected_target_rows")
+    rows = matched(rows, loaded, [k for k in keys if k in loaded.columns], "rows_loaded", "digest", "null_cells", "nulls")
+    unclear, missing = F.col("_unclear"), F.col("rows_loaded").isNull()
     expected_target = F.coalesce("expected_target_rows", F.lit(0))
+    status = F.when(unclear, "ambiguous").when(missing, "skipped").otherwise("checked")
+
+    def checked(value: Column) -> Column:
+        return F.when(status == "checked", value)
 
     def verdict(expected: Column) -> Column:
         return F.when(F.col("rows_loaded") == expected, "passed").otherwise("failed")
 
     return rows.select(
-        "table_name",
-        F.when(missing, "skipped").otherwise("checked").alias("status"),
-        F.when(missing, "csv_not_found").alias("reason"),
-        "rows_loaded",
-        F.when(~missing, F.col("expected_source_rows")).alias("expected_source_rows"),
-        F.when(~missing, expected_target).alias("expected_target_rows"),
-        F.when(~missing, verdict(F.col("expected_source_rows"))).alias("row_count_status"),
-        F.when(~missing, F.when(expected_target == 0, "unknown").otherwise(verdict(expected_target))).alias("checksum_status"),
-        "digest", "null_cells",
-    )
-
-
-def loaded_stats(df: DataFrame, table_name: str) -> DataFrame:
-    """``(table_name, rows_loaded, digest, null_cells)`` of one loaded table, in one pass."""
+        *keys, status.alias("status"), F.when(status == "skipped", "csv_not_found").alias("reason"),
+        checked(F.col("rows_loaded")).alias("rows_loaded"),
+        checked(F.col("expected_source_rows")).alias("expected_source_rows"),
+        checked(expected_target).alias("expected_target_rows"),
+        checked(verdict(F.col("expected_source_rows"))).alias("row_count_status"),
+        checked(F.when(expected_target == 0, "unknown").otherwise(verdict(expected_target))).alias("checksum_status"),
+        checked(F.col("digest")).alias("digest"), checked(F.col("null_cells")).alias("null_cells"), checked(F.col("nulls")).alias("nulls"))
+
+
+def loaded_stats(df: DataFrame, table_name: str, database: str | None = None) -> DataFrame:
+    """``([database,] table_name, rows_loaded, digest, null_cells, nulls)`` of one loaded table, in one pass.
+
+    ``nulls`` lists each column, in order, with its cells that are NULL or empty.
+    """
     from plumbline.operators.reconcile import row_digest
 
     columns = [F.col(quoted(c)) for c in df.columns]
-    empty = sum((F.count_if(c.isNull() | (c.cast("string") == "")) for c in columns), F.lit(0))
-    return df.agg(
+    names = [F.lit(table_name).alias("table_name")] if database is None else [F.lit(database).alias("database"), F.lit(table_name).alias("table_name")]
+    one = df.agg(
         F.count("*").alias("rows_loaded"), F.coalesce(F.sum(row_digest(columns)), F.lit(0)).cast("string").alias("digest"),
-        empty.alias("null_cells")).select(F.lit(table_name).alias("table_name"), "rows_loaded", "digest", "null_cells")
+        *[F.count_if(c.isNull() | (c.cast("string") == "")).alias(f"n{i}") for i, c in enumerate(columns)])
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(df.columns)])
+    total = sum((F.col(f"n{i}") for i in range(len(columns))), F.lit(0).cast("long"))
+    return one.select(*names, "rows_loaded", "digest", total.alias("null_cells"), entries.alias("nulls"))
 
 
 # ---- estimates and compatibility over a source catalog -------------------------------------------------------------

@@ -257,14 +257,23 @@ def _runtime_sql(name: str, columns: list[str], extra: int, checksum: str) -> st
     empty = " + ".join(f"count(*) FILTER ({c} IS NULL OR CAST({c} AS VARCHAR) = '')" for c in columns)
     target = f"count(*) + {extra}" if extra >= 0 else "0"
     return (f"SELECT '{name}' AS table_name, 'checked' AS status, NULL AS reason, count(*) AS rows_loaded, count(*) AS expected_source_rows, {target} AS expected_target_rows, 'passed' AS row_count_status, "
-            f"'{checksum}' AS checksum_status, {_RUNTIME_DIGEST.format(texts)} AS digest, {empty} AS null_cells FROM {name}")
+            f"'{checksum}' AS checksum_status, {_RUNTIME_DIGEST.format(texts)} AS digest, {empty} AS null_cells, {_nulls_sql(columns)} AS nulls FROM {name}")
+
+
+def _nulls_sql(columns: list[str]) -> str:
+    return " || ', ' || ".join(f"'{c}=' || count(*) FILTER ({c} IS NULL OR CAST({c} AS VARCHAR) = '')" for c in columns)
+
+
+def _shown_nulls(found: DataFrame) -> DataFrame:
+    text = F.transform("nulls", lambda e: F.concat(e["column"], F.lit("="), e["n"]))
+    return found.withColumn("nulls", F.when(F.col("nulls").isNotNull(), F.array_join(text, ", ")))
 
 
 @query("runtime_checks", " UNION ALL ".join((
     _runtime_sql("nation", ["n_nationkey", "n_name", "n_regionkey"], 0, "passed"),
     _runtime_sql("labels", ["doc_id", "quality", "toxic"], 1, "failed"),
     _runtime_sql("conversations", ["conv_id", "turn", "role", "text"], -1, "unknown"),
-    "SELECT 'lineitem', 'skipped', 'csv_not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL")))
+    "SELECT 'lineitem', 'skipped', 'csv_not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL")))
 def _runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counted(name: str, extra: int) -> DataFrame:
         return table(spark, sf_dir, name).agg((F.count("*") + extra).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -272,7 +281,37 @@ def _runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = reduce(DataFrame.unionByName, [counted(n, 0) for n in ("nation", "labels", "conversations", "lineitem")])
     target = counted("nation", 0).unionByName(counted("labels", 1))
     loaded = reduce(DataFrame.unionByName, [E.loaded_stats(spread(table(spark, sf_dir, n)), n) for n in ("nation", "labels", "conversations")])
-    return E.runtime_checks(source, target, loaded)
+    return _shown_nulls(E.runtime_checks(source, target, loaded))
+
+
+def _delivered_sql(database: str, name: str, columns: list[str], target: str, checksum: str) -> str:
+    texts = ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns)
+    empty = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
+    return (f"SELECT '{database}' AS database, 't' AS table_name, 'checked' AS status, NULL AS reason, count(*) AS rows_loaded, count(*) AS expected_source_rows, {target} AS expected_target_rows, "
+            f"'passed' AS row_count_status, '{checksum}' AS checksum_status, {_RUNTIME_DIGEST.format(texts)} AS digest, {empty} AS null_cells, {_nulls_sql(columns)} AS nulls FROM {name}")
+
+
+@query("runtime_checks_from_files", " UNION ALL ".join((
+    _delivered_sql("first", "customer", ["c_custkey", "c_name", "c_nationkey"], "count(*)", "passed"),
+    _delivered_sql("second", "(SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus FROM orders)", ["o_orderkey", "o_orderstatus"], "count(*) + 1", "failed"),
+    "SELECT 'second', 'lost', 'skipped', 'csv_not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    "SELECT 'third', 't', 'skipped', 'csv_not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    "SELECT 'third', 'twice', 'ambiguous', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL")))
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one name in two databases, tables without a file, and one that the catalog names twice."""
+    from plumbline.plans.runtime import check_delivered
+
+    root = fresh_path(spark, "delivered")
+    tables = {"first": table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"),
+              "second": table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"))}
+    for database, df in tables.items():
+        df.write.option("header", True).csv(f"{root}/{database}/t.csv")
+
+    def listed(extra: int) -> list[DataFrame]:
+        return [df.agg((F.count("*") + extra * (d == "second")).alias("row_count")).select(F.lit(d).alias("database"), F.lit("t").alias("table_name"), "row_count") for d, df in tables.items()]
+
+    more = spark.createDataFrame([("second", "lost", 7), ("third", "t", 7), ("third", "twice", 7), ("third", "twice", 8)], "database string, table_name string, row_count long")
+    return _shown_nulls(check_delivered(reduce(DataFrame.unionByName, [*listed(0), more]), reduce(DataFrame.unionByName, listed(1)), root))
 
 
 @query("lineage_edges", """SELECT DISTINCT 'job_' || o_custkey AS job_name, 'input' AS direction, o_orderpriority AS dataset FROM orders

@@ -56,14 +56,19 @@ def flatten_target(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def csv_presence(tables: DataFrame, root: str) -> DataFrame:
-    """``(database, table_name, path, found)``: which tables have ``<root>/<database>/<table>.csv``. Only file names
-    are read."""
+    """``(database, table_name, path, found)``: which tables have ``<root>/<database>/<table>.csv``, a file or a folder
+    of part files. Only file names are read."""
     spark = tables.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    listed = files.select("path", F.element_at(F.split("path", "/"), -2).alias("database"),
-                          F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.csv$", "").alias("table_name"))
-    return tables.select("database", "table_name").join(listed, ["database", "table_name"], "left").withColumn(
-        "found", F.col("path").isNotNull())
+    place = r"^(.*/([^/]+)/([^/]+)\.csv)(/[^/]+)?$"
+    # A part file's folder is the table; a file directly under the database is a table of its own.
+    folder = r"^(.*/([^/]+)/([^/]+)\.csv)/[^/]+$"
+    pattern = F.when(F.col("path").rlike(folder), F.lit(folder)).otherwise(F.lit(place))
+    part = lambda i: F.expr(f"regexp_extract(path, pattern, {i})")
+    listed = files.select("path", pattern.alias("pattern")).select(part(2).alias("_d"), part(3).alias("_t"), part(1).alias("path")).distinct()
+    wanted = tables.select("database", "table_name").distinct()
+    same = F.col("database").eqNullSafe(F.col("_d")) & F.col("table_name").eqNullSafe(F.col("_t"))
+    return wanted.join(listed, same, "left").select("database", "table_name", "path", F.col("path").isNotNull().alias("found"))
 
 
 def mapping_digest(mapping: DataFrame, keys: list[str]) -> DataFrame:

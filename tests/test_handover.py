@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import evidence
 from plumbline.operators import load as L
 from plumbline.operators import reconcile as R
 from plumbline.plans.handover import approved_plan, load_and_reconcile
@@ -95,3 +96,18 @@ def test_numbers_too_large_diverge_without_ending_the_job(spark, intake):
     loaded = L.typed_projection(intake.rows, plans).withColumn("valor", F.lit(1e30))
     status = {r["verificacao"]: r["status"] for r in R.reconcile(loaded, plans, 40).collect()}
     assert status["max(valor)"] == "DIVERGE" and status["min(id)"] == "OK"
+
+
+def test_runtime_checks_tell_databases_apart_and_refuse_to_guess(spark):
+    keyed = "database string, table_name string, row_count long"
+    source = spark.createDataFrame([("d1", "t", 2), ("d2", "t", 3), ("d3", "u", 1), ("d3", "u", 1), (None, "t", 5)], keyed)
+    target = spark.createDataFrame([("d1", "t", 2), ("d2", "t", 4)], keyed)
+    rows = {"d1": spark.createDataFrame([("a", None), ("b", "")], "x string, y string"), "d2": spark.createDataFrame([("c", "1")] * 3, "x string, y string")}
+    loaded = evidence.loaded_stats(rows["d1"], "t", "d1").unionByName(evidence.loaded_stats(rows["d2"], "t", "d2"))
+    found = {(r.database, r.table_name): r for r in evidence.runtime_checks(source, target, loaded).collect()}
+    assert {k: (r.status, r.row_count_status, r.checksum_status) for k, r in found.items()} == {
+        ("d1", "t"): ("checked", "passed", "passed"), ("d2", "t"): ("checked", "passed", "failed"), ("d3", "u"): ("ambiguous", None, None),
+        (None, "t"): ("skipped", None, None)}
+    assert [tuple(n) for n in found["d1", "t"].nulls] == [("x", 0), ("y", 2)] and found["d1", "t"].null_cells == 2
+    by_name = evidence.runtime_checks(source, target, loaded.drop("database")).collect()
+    assert {r.status for r in by_name} == {"ambiguous"}
