@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
 from plumbline.functions import types as Y
 from plumbline.functions import values as V
 from plumbline.operators.cells import quoted
+from plumbline.session import create_only, folders, remove_folder
 
 
 @dataclass(frozen=True)
@@ -122,20 +124,56 @@ def has_rows(spark: SparkSession, path: str) -> bool:
 
 
 def load_table(raw: DataFrame, plans: list[ColumnPlan], path: str, expected_rows: int, drop_duplicates: bool = False) -> None:
-    """Append the typed rows to the parquet table at ``path``, or refuse and write nothing."""
+    """Write the typed rows as the parquet table at ``path``, or refuse and leave it as it was.
+
+    The source is read once: rows and lost values are counted while the typed rows go to a folder beside the target,
+    and only when everything agrees is that folder published. Of two loads that race for one target one is refused.
+    """
     spark = raw.sparkSession
     N.check_path(path)
-    measured = _lost_and_rows(raw, plans).first()
-    lost = {p.target: measured[f"c{i}"] for i, p in enumerate(plans) if measured[f"c{i}"]}
-    if lost:
-        raise LoadRefused(f"the conversion loses values (column: rows): {lost}")
-    out = typed_projection(raw, plans)
-    rows = measured["rows"]
-    if drop_duplicates:
-        out = out.dropDuplicates()
-        rows = out.count()
-    if rows != expected_rows:
-        raise LoadRefused(f"{rows} rows to load, {expected_rows} measured on the source")
     if has_rows(spark, path):
         raise LoadRefused(f"{path} already holds data; nothing was written")
-    out.write.mode("append").parquet(path)
+    staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    filled = [V.trimmed(F.col(quoted(p.source))).isNotNull() for p in plans]
+    marked = raw.select(*[converted(p).alias(f"_v{i}") for i, p in enumerate(plans)], *[f.alias(f"_f{i}") for i, f in enumerate(filled)])
+    seen = Observation()
+    watched = marked.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.col(f"_f{i}") & F.col(f"_v{i}").isNull()).alias(f"c{i}") for i in range(len(plans))])
+    out = watched.select(*[F.col(f"_v{i}").alias(p.target) for i, p in enumerate(plans)])
+    try:
+        (out.dropDuplicates() if drop_duplicates else out).write.parquet(staging)
+        measured = seen.get
+        lost = {p.target: measured[f"c{i}"] for i, p in enumerate(plans) if measured.get(f"c{i}")}
+        if lost:
+            raise LoadRefused(f"the conversion loses values (column: rows): {lost}")
+        # From the footers of what was written.
+        rows = spark.read.schema(out.schema).parquet(staging).count()
+        if rows != expected_rows:
+            raise LoadRefused(f"{rows} rows to load, {expected_rows} measured on the source")
+        publish(spark, staging, path)
+    finally:
+        remove_folder(spark, staging)
+
+
+def publish(spark: SparkSession, staging: str, path: str) -> None:
+    """Make a finished folder the table at ``path``, unless another load holds the target or has filled it.
+
+    A claim file, which only one load can create, guards the step; a load that died while publishing leaves it
+    behind, and the message names it. A new table appears by one rename; into an empty table its files are moved.
+    """
+    files, place, claim = folders(spark, path, path.rstrip("/") + "__loading")
+    if not create_only(files, claim):
+        raise LoadRefused(f"another load is publishing {path} ({claim}); nothing was written")
+    try:
+        if has_rows(spark, path):
+            raise LoadRefused(f"{path} already holds data; nothing was written")
+        source = folders(spark, staging)[1]
+        if not files.exists(place):
+            moved = files.rename(source, place)
+        else:
+            parts = [f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")]
+            moved = all([files.rename(p, files.makeQualified(place).suffix("/" + p.getName())) for p in parts])
+        if not moved:
+            raise LoadRefused(f"{staging} could not be moved to {path}")
+    finally:
+        files.delete(claim, False)

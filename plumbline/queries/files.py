@@ -19,7 +19,29 @@ def _to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, f"{name}-text")
         text_table(spark, sf_dir, name).write.option("header", True).option("sep", ";").csv(path)
         sources[name] = path
-    return D.to_parquet(spark, sources, fresh_path(spark, "columnar")).drop("path")
+    return D.to_parquet(spark, sources, fresh_path(spark, "columnar")).drop("path", "renamed")
+
+
+@query("delimited_edge_cases", """WITH rows AS (SELECT c_custkey, c_name, c_nationkey FROM customer)
+  SELECT 'repeated' AS table_name, count(*) AS rows, CAST(0 AS BIGINT) AS discarded, 'A -> A_2' AS renamed, CAST(sum(c_custkey + c_nationkey) AS BIGINT) AS keys FROM rows
+  UNION ALL SELECT 'unclosed', count(*), count(*) + 2, '', CAST(sum(c_custkey + 10) AS BIGINT) FROM rows""")
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header whose names differ in case only; and a file in which the quote of one record is never closed: as many
+    good rows stand before it as lines after it."""
+    customers = table(spark, sf_dir, "customer")
+    repeated, unclosed, out = fresh_path(spark, "repeated"), fresh_path(spark, "unclosed"), fresh_path(spark, "edges")
+    head = spark.range(1).select(F.lit("a,A,b").alias("value"), F.lit(-1).cast("long").alias("n"))
+    rows = customers.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), "c_name").alias("value"), F.col("c_custkey").cast("long").alias("n"))
+    head.unionByName(rows).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(repeated)
+    quoted = [F.concat(F.col("c_custkey").cast("string"), F.lit(',"1'), F.lit('0",x')).alias("value"), F.col("c_custkey").cast("long").alias("n")]
+    after = customers.select(F.lit("7,8,9").alias("value"), (F.col("c_custkey") + F.lit(1 << 40)).alias("n"))
+    breaks = spark.createDataFrame([('a,"b\n",c', -1), ('1,"never closed', 1 << 39), ('still, "open"', (1 << 39) + 1)], "value string, n long")
+    whole = breaks.unionByName(customers.select(*quoted)).unionByName(after)
+    whole.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(unclosed)
+    found = D.to_parquet(spark, {"repeated": repeated, "unclosed": unclosed}, out)
+    sums = spark.read.parquet(f"{out}/repeated").agg(F.sum(F.col("a").cast("long") + F.col("A_2").cast("long")).alias("keys")).withColumn("t", F.lit("repeated")).unionByName(
+        spark.read.parquet(f"{out}/unclosed").toDF("a", "b", "c").agg(F.sum(F.col("a").cast("long") + F.col("b").cast("long")).alias("keys")).withColumn("t", F.lit("unclosed")))
+    return found.join(sums, F.col("table_name") == F.col("t")).select("table_name", "rows", "discarded", F.concat_ws(", ", "renamed").alias("renamed"), "keys")
 
 
 def _broken_lines(spark: SparkSession, sf_dir: str) -> str:

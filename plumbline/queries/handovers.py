@@ -250,16 +250,16 @@ def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reconciliation -----------------------------------------------------------------------------------------------
 
 
-def _loaded(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[L.ColumnPlan], int, int]:
-    """The text table landed once, loaded through every guard and read back, with its plan and measured row counts."""
+def _loaded(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[L.ColumnPlan], int]:
+    """The text table landed once, loaded through every guard and read back, with its plan and measured row count."""
     landed = fresh_path(spark, f"{name}-landed")
     text_table(spark, sf_dir, name).write.parquet(landed)
     raw = spark.read.parquet(landed)
     plans = L.plan_columns(P.profile(raw, name), approved(spark, name))
-    counts = P.duplicate_rows({name: raw}).first()
+    rows = plans[0].measured["rows"]
     path = fresh_path(spark, name)
-    L.load_table(raw, plans, path, counts["rows"])
-    return spark.read.parquet(path), plans, counts["rows"], counts["duplicate_rows"]
+    L.load_table(raw, plans, path, rows)
+    return spark.read.parquet(path), plans, rows
 
 
 @cache

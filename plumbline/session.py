@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from functools import cache
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -66,6 +68,29 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="plumbline-")
 
 
+def folders(spark: SparkSession, *paths: str) -> tuple:
+    """The file system of the first path, and all of them as its paths."""
+    jvm = spark.sparkContext._jvm
+    places = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return (places[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *places)
+
+
+def create_only(files: JavaObject, place: JavaObject) -> bool:
+    """Create an empty file; ``False`` if there is one already."""
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName() or "already exists" in str(error.java_exception):
+            return False
+        raise
+    return True
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = folders(spark, path)
+    files.delete(place, True)
+
+
 _handed_out: list[tuple[SparkSession, str]] = []
 
 
@@ -83,8 +108,6 @@ def remove_handed_out() -> None:
     while _handed_out:
         spark, path = _handed_out.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove_folder(spark, path)
         except Exception:  # the session has ended before the driver
             _handed_out.clear()

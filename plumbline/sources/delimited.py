@@ -6,7 +6,7 @@ import csv
 import io
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import running
@@ -54,10 +54,16 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file: a bounded number of lines, each cut at the sample size."""
+    """The first lines of a file, as many as make up the sample and no more; none is longer than the sample."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.substring(F.col("value").cast("binary"), 1, SAMPLE_CHARACTERS).alias("b")).limit(200)
-    return b"\n".join(bytes(r["b"]) for r in lines.collect())
+        F.substring(F.col("value").cast("binary"), 1, SAMPLE_CHARACTERS).alias("b"))
+    wanted = 64
+    while True:
+        found = [bytes(r["b"]) for r in lines.limit(wanted).collect()]
+        # A line has one byte at least, its end.
+        if len(found) < wanted or sum(len(x) + 1 for x in found) >= 4 * SAMPLE_CHARACTERS or wanted >= SAMPLE_CHARACTERS:
+            return b"\n".join(found)
+        wanted = min(4 * wanted, SAMPLE_CHARACTERS)
 
 
 def _encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, bool]:
@@ -81,15 +87,29 @@ def _encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, bool]:
 def _first_record(spark: SparkSession, path: str, encoding: str, delimiter: str) -> list[str]:
     """The fields of the first record, however long its lines and however many it has."""
     codec = {"utf-8": "utf-8-sig", "windows-1252": "cp1252"}.get(encoding, "latin-1")
-    lines, wanted = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b")), 64
-    while True:
-        found = [bytes(r["b"]) for r in lines.limit(wanted).collect()]
-        text = b"\n".join(found).decode(codec, "replace")
-        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
-        first = next(reader, [])
-        if len(found) < wanted or reader.line_num < len(found):
-            return first
-        wanted *= 16
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b"))
+    found = [bytes(r["b"]) for r in lines.limit(64).collect()]
+    reader = csv.reader(io.StringIO(b"\n".join(found).decode(codec, "replace"), newline=""), delimiter=delimiter)
+    first = next(reader, [])
+    if len(found) < 64 and _closed(b"\n".join(found).decode(codec, "replace"), delimiter) or reader.line_num < len(found):
+        return first
+    # The header goes on: where it ends is found without reading on, and only its lines are fetched.
+    told, numbered, ends = _record_numbers(spark, path, Layout(encoding, delimiter, (), True))
+    if not ends.filter("open AND last = 1").isEmpty():
+        raise UnreadableFile("a quote in the header is never closed")
+    head = numbered.filter("record = 1")
+    one = head.agg(F.min("file")).first()[0]
+    text = [r["text"] for r in told.join(head, ["file", "line"]).filter(F.col("file") == one).orderBy("line").select("text").collect()]
+    return next(csv.reader(io.StringIO("\n".join(text), newline=""), delimiter=delimiter), [])
+
+
+def _closed(text: str, delimiter: str) -> bool:
+    """Whether no quoted cell is open at the end of a text's first record."""
+    try:
+        next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True), None)
+    except csv.Error as error:
+        return "unexpected end" not in str(error)
+    return True
 
 
 def _sample(head: bytes, encoding: str) -> str:
@@ -138,7 +158,10 @@ def read_delimited(spark: SparkSession, path: str, found: Layout, multi_line: bo
     """
     if found.line_breaks and not multi_line:
         rows = records(spark, path, found)
-        return rows.select(_parsed(F.col("text"), found).alias("r")).select("r.*")
+        cells = _parsed(F.col("text"), found)
+        names = [f"c{i}" for i in range(len(found.header))]
+        unread = F.struct(*[F.lit(None).cast("string").alias(n) for n in names], F.col("text").alias(BAD_ROW))
+        return rows.select(F.when(F.col("open"), unread).otherwise(cells).alias("r")).select("r.*")
     schema = _schema(found)
     return (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
@@ -207,23 +230,23 @@ def _end_state(text: Column, delimiter: str, start: int) -> Column:
     return (F.aggregate(begun, F.lit(start), step) == IN).cast("int")
 
 
-def records(spark: SparkSession, path: str, found: Layout) -> DataFrame:
-    """``(file, line, text)`` of every record but each file's first, which is the header, and blank ones; ``line`` is
-    where the record starts. Quoted line breaks belong to their record, whatever byte range they fall into.
+def _record_numbers(spark: SparkSession, path: str, found: Layout) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(file, line, text)``, ``(file, line, record)`` and, one row per file, ``(file, last, open)``: the last
+    record's number and whether a quote in it is never closed.
 
     Each line is a step between "outside" and "inside" a quoted cell: it keeps the state, changes it, or sets it. What
     holds before a line is what the last setting line left, changed as often as lines since then change it; both are
     running totals over blocks of lines, so a file is never in one task.
     """
-    text = F.regexp_replace("text", "^\\uFEFF", "")
+    text = F.regexp_replace("text", "^\uFEFF", "")
     lines = _numbered_lines(spark, path, found).withColumn("text", F.when(F.col("line") == 1, text).otherwise(F.col("text")))
     stepped = lines.withColumn("quoted", F.contains("text", F.lit('"'))).select(
         "file", "line", "text",
         F.when(F.col("quoted"), _end_state(F.col("text"), found.delimiter, OUT)).otherwise(0).alias("out"),
         F.when(F.col("quoted"), _end_state(F.col("text"), found.delimiter, IN)).otherwise(1).alias("into"))
-    path = fresh_path(spark, "lines")
-    stepped.write.parquet(path)
-    stepped = spark.read.parquet(path)
+    kept = fresh_path(spark, "lines")
+    stepped.write.parquet(kept)
+    stepped = spark.read.parquet(kept)
     block = F.floor(F.col("line") / 65536)
     changes = F.when((F.col("out") == 1) & (F.col("into") == 0), 1).otherwise(0)
     steps = running(stepped.drop("text"), ["file"], ["line"], block, sums={"changed": changes})
@@ -231,13 +254,27 @@ def records(spark: SparkSession, path: str, found: Layout) -> DataFrame:
     steps = running(steps, ["file"], ["line"], block, maxes={"set": sets})
     last = F.col("set_before")
     state = F.coalesce((last["to"] + F.col("changed_before") - last["changed"]) % 2, F.col("changed_before") % 2)
-    starts = F.when(state == 0, 1).otherwise(0)
-    numbered = running(steps.select("file", "line", starts.alias("starts")), ["file"], ["line"], block, sums={"record": F.col("starts")})
-    parts = stepped.select("file", "line", "text").join(numbered.select("file", "line", "record"), ["file", "line"])
-    whole = parts.groupBy("file", "record").agg(
+    after = F.when(state == 0, F.col("out")).otherwise(F.col("into"))
+    told = steps.select("file", "line", F.when(state == 0, 1).otherwise(0).alias("starts"), after.alias("after"))
+    numbered = running(told, ["file"], ["line"], block, sums={"record": F.col("starts")})
+    ends = numbered.groupBy("file").agg(F.max("record").alias("last"), (F.max_by("after", "line") == 1).alias("open"))
+    return stepped.select("file", "line", "text"), numbered.select("file", "line", "record"), ends
+
+
+def records(spark: SparkSession, path: str, found: Layout) -> DataFrame:
+    """``(file, line, text, open)`` of every record but each file's first, which is the header, and blank ones; ``line``
+    is where the record starts. Quoted line breaks belong to their record, whatever byte range they fall into.
+
+    A record whose quote is never closed is not put together: each of its lines is a row of its own, marked ``open``.
+    """
+    told, numbered, ends = _record_numbers(spark, path, found)
+    parts = told.join(numbered, ["file", "line"]).join(ends, "file").withColumn("open", F.col("open") & (F.col("record") == F.col("last")))
+    # Lines of an open record stay apart, so that nothing gathers the rest of a file.
+    apart = F.when(F.col("open"), F.col("line")).otherwise(0)
+    whole = parts.groupBy("file", "record", "open", apart.alias("apart")).agg(
         F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda p: p["text"]), "\n").alias("text"))
     whole = whole.filter("record > 1").withColumn("text", F.regexp_replace("text", "\r\\z", ""))
-    return whole.filter(F.trim("text") != "").select("file", "line", "text")
+    return whole.filter(F.trim("text") != "").select("file", "line", "text", "open")
 
 
 def malformed_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
@@ -248,26 +285,46 @@ def malformed_lines(spark: SparkSession, path: str, found: Layout) -> DataFrame:
     else:
         rows = _numbered_lines(spark, path, found).filter("line > 1").withColumn("text", F.regexp_replace("text", "\r\\z", ""))
         rows = rows.filter(F.trim("text") != "")
-    return rows.filter(_parsed(F.col("text"), found)[BAD_ROW].isNotNull()).select("file", "line", "text")
+    unread = F.col("open") if found.line_breaks else F.lit(False)
+    return rows.filter(unread | _parsed(F.col("text"), found)[BAD_ROW].isNotNull()).select("file", "line", "text")
+
+
+def column_names(header: tuple[str, ...]) -> list[str]:
+    """The header's names, made different where they are blank or repeated but for case: ``a, A`` gives ``a, A_2``."""
+    names, taken = [], {n.strip().lower() for n in header}
+    for i, name in enumerate(header):
+        new, turn = name if name.strip() else f"column_{i + 1}", 2
+        while new.lower() in {n.lower() for n in names} or (new != name and new.lower() in taken):
+            new, turn = f"{name.strip() or f'column_{i + 1}'}_{turn}", turn + 1
+        names.append(new)
+    return names
 
 
 def to_parquet(spark: SparkSession, tables: dict[str, str], out: str) -> DataFrame:
-    """Copy delimited files ``{table: path}`` to parquet under ``out``; ``(table_name, rows, discarded, path)`` per
-    table. Malformed rows are counted and stay, as text, under ``<table>_discarded``."""
+    """Copy delimited files ``{table: path}`` to parquet under ``out``; ``(table_name, rows, discarded, path, renamed)``
+    per table. Malformed rows are counted and stay, as text, under ``<table>_discarded``.
+
+    Rows are counted while they are written. ``renamed`` lists columns whose names could not stay, as ``a -> b``.
+    """
     manifest = []
     for name, path in tables.items():
         found = layout(spark, path)
-        good, bad = split_malformed(read_delimited(spark, path, found), found)
-        good.toDF(*found.header).write.mode("errorifexists").parquet(f"{out}/{name}")
-        bad.write.mode("errorifexists").parquet(f"{out}/{name}_discarded")
-        counts = spark.read.parquet(f"{out}/{name}").select(F.lit(1).alias("n"), F.lit(0).alias("d")).unionAll(
-            spark.read.parquet(f"{out}/{name}_discarded").select(F.lit(0), F.lit(1)))
-        manifest.append(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("d"), F.lit(0)).alias("discarded")).select(
-            F.lit(name).alias("table_name"), "rows", "discarded", F.lit(f"{out}/{name}").alias("path")))
-    result = manifest[0]
-    for other in manifest[1:]:
-        result = result.unionByName(other)
-    return result
+        parsed = read_delimited(spark, path, found)
+        names = column_names(found.header)
+        bad = F.col(BAD_ROW)
+        cells = [F.col(f"c{i}") for i in range(len(names))]
+        # A read of the malformed text alone is refused: a cell goes along and is cut off again.
+        line = F.left(F.concat(bad, F.coalesce(cells[0], F.lit(""))), F.length(bad))
+        good = parsed.filter(bad.isNull()).select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+        lost = parsed.filter(bad.isNotNull()).select(line.alias("line"))
+        counts = []
+        for rows, at in ((good, f"{out}/{name}"), (lost, f"{out}/{name}_discarded")):
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(at)
+            counts.append(int(seen.get.get("n") or 0))
+        renamed = [f"{a} -> {b}" for a, b in zip(found.header, names, strict=True) if a != b]
+        manifest.append((name, *counts, f"{out}/{name}", renamed))
+    return spark.createDataFrame(manifest, "table_name string, rows long, discarded long, path string, renamed array<string>").coalesce(1)
 
 
 def text_to_parquet(df: DataFrame, staging: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,38 @@ def test_runtime_checks_tell_databases_apart_and_refuse_to_guess(spark):
     assert [tuple(n) for n in found["d1", "t"].nulls] == [("x", 0), ("y", 2)] and found["d1", "t"].null_cells == 2
     by_name = evidence.runtime_checks(source, target, loaded.drop("database")).collect()
     assert {r.status for r in by_name} == {"ambiguous"}
+
+
+def test_a_load_publishes_once_and_leaves_nothing_beside_it(spark, intake, tmp_path):
+    plans = approved_plan(intake, mapping(spark))
+    path = str(tmp_path / "t")
+
+    def load(_):
+        try:
+            L.load_table(intake.rows, plans, path, 40)
+        except L.LoadRefused as refused:
+            return str(refused)
+        return "loaded"
+
+    with ThreadPoolExecutor(2) as pool:
+        said = sorted(pool.map(load, range(2)), key=lambda s: s == "loaded")
+    assert said[1] == "loaded" and said[0] != "loaded" and spark.read.parquet(path).count() == 40
+    with pytest.raises(L.LoadRefused, match="already holds data"):
+        L.load_table(intake.rows, plans, path, 40)
+    with pytest.raises(L.LoadRefused, match="measured"):
+        L.load_table(intake.rows, plans, str(tmp_path / "u"), 41)
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_load_fills_an_empty_table_and_respects_a_claim(spark, intake, tmp_path):
+    plans = approved_plan(intake, mapping(spark))
+    path = str(tmp_path / "t")
+    L.typed_projection(intake.rows, plans).limit(0).write.parquet(path)
+    (tmp_path / "t__loading").touch()
+    with pytest.raises(L.LoadRefused, match="another load"):
+        L.load_table(intake.rows, plans, path, 40)
+    (tmp_path / "t__loading").unlink()
+    L.load_table(intake.rows, plans, path, 40)
+    assert spark.read.parquet(path).count() == 40
+    L.load_table(intake.rows, plans, str(tmp_path / "once"), 39, drop_duplicates=True)
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 39

@@ -171,3 +171,46 @@ def test_text_table_is_replaced_by_a_columnar_one(spark):
         D.convert_text_table(spark, "notes")
     for name in ("notes", "notes_text_backup"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_record_that_is_never_closed_is_malformed_line_by_line(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_text('a,b,c\n1,"x\ny",2\n3,4,5\n6,"open\n7,8,9\n' + "10,11,12\n" * 500, encoding="utf-8")
+    found = D.layout(spark, str(path))
+    good, bad = D.split_malformed(D.read_delimited(spark, str(path), found), found)
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "x\ny", "2"), ("3", "4", "5")] and bad.count() == 502
+    lines = D.malformed_lines(spark, str(path), found)
+    assert lines.agg(F.min("line"), F.max("line"), F.count("*")).first()[:] == (5, 506, 502)
+
+
+def test_a_header_that_is_never_closed_is_refused_without_being_read_whole(spark, tmp_path):
+    path = tmp_path / "head.csv"
+    path.write_text('a,"b\n' + "1,2\n" * 3000, encoding="utf-8")
+    with pytest.raises(D.UnreadableFile, match="never closed"):
+        D.layout(spark, str(path))
+
+
+def test_a_header_over_many_lines(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    name = "\n".join(f"part {i}" for i in range(200))
+    path.write_text(f'a,"{name}"\n1,2\n', encoding="utf-8")
+    found = D.layout(spark, str(path))
+    assert found.header == ("a", name)
+    good, bad = D.split_malformed(D.read_delimited(spark, str(path), found), found)
+    assert [tuple(r) for r in good.collect()] == [("1", "2")] and bad.count() == 0
+
+
+@pytest.mark.parametrize("header, names", [(("a", "A", "b"), ["a", "A_2", "b"]), (("a", "A", "a_2", ""), ["a", "A_3", "a_2", "column_4"]), (("x", "x", "X"), ["x", "x_2", "X_3"])])
+def test_copies_have_names_of_their_own(spark, tmp_path, header, names):
+    assert D.column_names(header) == names
+    path = tmp_path / "names.csv"
+    path.write_text(",".join(header) + "\n" + ",".join("1" for _ in header) + "\n" + ",".join("2" for _ in header) + ",3\n", encoding="utf-8")
+    row = D.to_parquet(spark, {"t": str(path)}, str(tmp_path / "out")).first()
+    assert (row.rows, row.discarded) == (1, 1) and spark.read.parquet(row.path).columns == names
+    assert [r.line for r in spark.read.parquet(row.path + "_discarded").collect()] == [",".join("2" for _ in header) + ",3"]
+
+
+def test_the_delimiter_is_looked_for_in_the_whole_sample(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a;b\n" + "x,y\n" * 210 + "1;2\n" * 2000, encoding="utf-8")
+    assert D.layout(spark, str(path)).delimiter == ";"
