@@ -35,7 +35,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     head.unionByName(rows).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(repeated)
     quoted = [F.concat(F.col("c_custkey").cast("string"), F.lit(',"1'), F.lit('0",x')).alias("value"), F.col("c_custkey").cast("long").alias("n")]
     after = customers.select(F.lit("7,8,9").alias("value"), (F.col("c_custkey") + F.lit(1 << 40)).alias("n"))
-    breaks = spark.createDataFrame([('a,"b\n",c', -1), ('1,"never closed', 1 << 39), ('still, "open"', (1 << 39) + 1)], "value string, n long")
+    breaks = spark.createDataFrame([('a,"b\n",c', -1), ('1,"never closed', 1 << 39), ('still, open', (1 << 39) + 1)], "value string, n long")
     whole = breaks.unionByName(customers.select(*quoted)).unionByName(after)
     whole.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(unclosed)
     found = D.to_parquet(spark, {"repeated": repeated, "unclosed": unclosed}, out)

@@ -310,6 +310,11 @@ def to_parquet(spark: SparkSession, tables: dict[str, str], out: str) -> DataFra
     for name, path in tables.items():
         found = layout(spark, path)
         parsed = read_delimited(spark, path, found)
+        if found.line_breaks:
+            # Records put together from lines are kept, not put together for each pass.
+            kept = fresh_path(spark, "parsed")
+            parsed.write.parquet(kept)
+            parsed = spark.read.parquet(kept)
         names = column_names(found.header)
         bad = F.col(BAD_ROW)
         cells = [F.col(f"c{i}") for i in range(len(names))]
