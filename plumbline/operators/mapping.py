@@ -6,6 +6,10 @@ and no type. A profile row needs ``(dataset, position, name, type, min, max, has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,21 +121,67 @@ def mapping_offenders(profile: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.unionByName(shared)
 
 
-def check_mapping(profile: DataFrame, mapping: DataFrame, with_offenders: bool = True) -> DataFrame:
-    """``(dataset, ordinal, name, status, details, n_offenders, offenders)``: six checks per dataset.
+@dataclass(frozen=True)
+class OwnCheck:
+    """A check of the user's own. ``offends`` gets profile and mapping side by side, ``(dataset, position, name, type,
+    ..., source, target, suggested, legacy)``, and returns ``(dataset, position, offender)``, a row for each offence."""
+
+    name: str
+    passed: str
+    failed: str
+    offends: Callable[[DataFrame], DataFrame]
+
+
+class OwnChecks:
+    """The user's checks in the order they were registered; names are their own and none of the six."""
+
+    def __init__(self) -> None:
+        self.all: list[OwnCheck] = []
+
+    def register(self, name: str, passed: str = "", failed: str = "") -> Callable[[Callable], Callable]:
+        if name in {c[0] for c in CHECKS} | {c.name for c in self.all}:
+            raise ValueError(f"there is a check {name!r} already")
+
+        def add(offends: Callable[[DataFrame], DataFrame]) -> Callable:
+            self.all.append(OwnCheck(name, passed or f"{name}: ok", failed or f"{name}: failed", offends))
+            return offends
+
+        return add
+
+    def offenders(self, profile: DataFrame, mapping: DataFrame) -> DataFrame:
+        """``(dataset, check, position, offender)`` of all registered checks."""
+        joined = _joined(profile, mapping).withColumn("dataset", F.coalesce("dataset", "m_dataset")).drop("m_dataset")
+        found = []
+        for check in self.all:
+            rows = check.offends(joined)
+            missing = {"dataset", "position", "offender"} - set(rows.columns)
+            if missing:
+                raise ValueError(f"check {check.name!r} returns no {', '.join(sorted(missing))}")
+            found.append(rows.select("dataset", F.lit(check.name).alias("check"), F.col("position").cast("int").alias("position"),
+                                     F.col("offender").cast("string").alias("offender")))
+        return reduce(DataFrame.unionByName, found)
+
+
+def check_mapping(profile: DataFrame, mapping: DataFrame, with_offenders: bool = True, own: OwnChecks | None = None) -> DataFrame:
+    """``(dataset, ordinal, name, status, details, n_offenders, offenders)``: six checks per dataset, and ``own`` ones
+    after them, which count like the six.
 
     The offenders of a check are columns of one table. Without them nothing but counts is gathered, and
     ``mapping_offenders`` gives them one per row.
     """
+    more = own.all if own else []
     skeleton = profile.select("dataset").distinct().select(
         "dataset", F.explode(F.array(*[
             F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name"), F.lit(ok).alias("ok"), F.lit(bad).alias("bad"))
-            for i, (n, ok, bad) in enumerate(CHECKS)])).alias("c")).select("dataset", "c.*")
+            for i, (n, ok, bad) in enumerate([*CHECKS, *((c.name, c.passed, c.failed) for c in more)])])).alias("c")).select("dataset", "c.*")
     aggregates = [F.count("*").alias("n")]
     if with_offenders:
         entry = F.struct(F.coalesce("position", F.lit(2**31 - 1)).alias("p"), F.col("offender").alias("o"))
         aggregates.append(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["o"]).alias("found"))
-    found = mapping_offenders(profile, mapping).groupBy("dataset", F.col("check").alias("name")).agg(*aggregates)
+    offenders = mapping_offenders(profile, mapping)
+    if more:
+        offenders = offenders.unionByName(own.offenders(profile, mapping))
+    found = offenders.groupBy("dataset", F.col("check").alias("name")).agg(*aggregates)
     rows = skeleton.join(found, ["dataset", "name"], "left")
     failed = F.col("n").isNotNull()
     columns = [

@@ -326,6 +326,22 @@ def profile(df: DataFrame, dataset: str, distinct_limit: int | None = None) -> D
     return profile_many({dataset: df}, distinct_limit)
 
 
+#: Size of a distinct sketch, 2 ** 14 registers, and the relative standard error of its estimate.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(cell_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, sketch)``: a mergeable sketch of the distinct trimmed values; no value leaves its task."""
+    return cell_rows.groupBy(*keys).agg(F.hll_sketch_agg(V.trimmed(F.col("cell")), SKETCH_BITS).alias("sketch"))
+
+
+def distinct_estimates(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, distinct_estimate)`` from sketches of any parts of the data, batches or tables; the standard error is
+    ``SKETCH_ERROR`` of the estimate."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"))
+
+
 def duplicate_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """``(dataset, rows, duplicate_rows)``: rows equal to an earlier one, compared cell by cell as they are."""
     keys = []

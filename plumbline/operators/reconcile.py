@@ -150,6 +150,61 @@ def keyed_differences(source: DataFrame, target: DataFrame, keys: list[str]) ->
         *keys, F.lit("(repeated key)").alias("column"), F.col("_n1").cast("string").alias("source"), F.col("_n0").cast("string").alias("target")))
 
 
+LEAVES, FAN = 4096, 16
+
+
+def digest_tree(df: DataFrame, keys: list[str], leaves: int = LEAVES) -> DataFrame:
+    """``(level, node, rows, digest)``: digests of ranges of hashed keys, summed upward to one root at level 0.
+
+    A node's digest is the sum of its children's, and every level is made from the leaves alone, ``leaves`` rows of
+    them whatever the size of the table.
+    """
+    told = df.select(_leaf(keys, leaves).alias("node"), row_digest([F.col(quoted(c)) for c in df.columns]).alias("d"))
+    level, width = 0, leaves
+    while width > 1:
+        level, width = level + 1, -(-width // FAN)
+    rows = told.groupBy("node").agg(F.count("*").alias("rows"), F.sum("d").alias("digest")).withColumn("level", F.lit(level))
+    steps = F.explode(F.array(*[F.struct(F.lit(level - i).alias("level"), F.floor(F.col("node") / FAN**i).cast("long").alias("node")) for i in range(level + 1)]))
+    return rows.select(steps.alias("at"), "rows", "digest").groupBy("at.level", "at.node").agg(
+        F.sum("rows").alias("rows"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
+
+
+def _leaf(keys: list[str], leaves: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in keys]), F.lit(leaves)).cast("long")
+
+
+def unequal_ranges(source: DataFrame, target: DataFrame, keys: list[str], leaves: int = LEAVES) -> DataFrame:
+    """``(node, source_rows, target_rows)`` of the leaves in which the two sides differ."""
+    sides = digest_tree(source, keys, leaves).withColumn("_s", F.lit(1)).unionByName(digest_tree(target, keys, leaves).withColumn("_s", F.lit(0)))
+    of = lambda side, column: F.max(F.when(F.col("_s") == side, F.col(column)))
+    both = sides.filter(F.col("level") == F.lit(_depth(leaves))).groupBy("node").agg(
+        F.coalesce(of(1, "rows"), F.lit(0)).alias("source_rows"), F.coalesce(of(0, "rows"), F.lit(0)).alias("target_rows"),
+        of(1, "digest").alias("_d1"), of(0, "digest").alias("_d0"))
+    differ = (F.col("source_rows") != F.col("target_rows")) | ~F.col("_d1").eqNullSafe(F.col("_d0"))
+    return both.filter(differ).select("node", "source_rows", "target_rows")
+
+
+def _depth(leaves: int) -> int:
+    depth = 0
+    while leaves > 1:
+        depth, leaves = depth + 1, -(-leaves // FAN)
+    return depth
+
+
+def tree_differences(source: DataFrame, target: DataFrame, keys: list[str], leaves: int = LEAVES) -> DataFrame:
+    """``keyed_differences`` for sides that mostly agree: only rows of unequal ranges leave their tasks.
+
+    Digests are compared first, a few thousand numbers for each side; then both sides are read again and rows outside
+    the unequal ranges dropped where they are read.
+    """
+    nodes = F.broadcast(unequal_ranges(source, target, keys, leaves).select(F.col("node").alias("_node")))  # at most ``leaves`` rows
+
+    def suspects(df: DataFrame) -> DataFrame:
+        return df.withColumn("_leaf", _leaf(keys, leaves)).join(nodes, F.col("_leaf") == F.col("_node"), "left_semi").drop("_leaf")
+
+    return keyed_differences(suspects(source), suspects(target), keys)
+
+
 def row_differences(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, for tables without a key: ``(*columns, source_copies, target_copies)``.
     Copies are counted before the shuffle, so a row repeated many times travels once per task."""

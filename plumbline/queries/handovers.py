@@ -71,6 +71,28 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.check_mapping(*profile_and_mapping(spark, sf_dir), with_offenders=False).drop("details")
 
 
+OWN = M.OwnChecks()
+
+
+@OWN.register("short_targets")
+def _short_targets(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.length("target") > 7).select("dataset", "position", F.col("target").alias("offender"))
+
+
+@OWN.register("positions_are_counted")
+def _positions(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("position") < 0).select("dataset", "position", F.col("name").alias("offender"))
+
+
+@query("own_mapping_checks", f"""WITH d AS (SELECT DISTINCT dataset FROM ({PROFILE_SQL})), long AS (SELECT dataset, count(*) AS n FROM ({MAPPING_SQL}) WHERE length(target) > 7 GROUP BY dataset)
+  SELECT d.dataset, 6 AS ordinal, 'short_targets' AS name, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status, CAST(coalesce(n, 0) AS INTEGER) AS n_offenders FROM d LEFT JOIN long ON long.dataset = d.dataset
+  UNION ALL SELECT dataset, 7, 'positions_are_counted', 'passed', 0 FROM d""")
+def _own_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks of the user's own beside the six; one of them fails."""
+    found = M.check_mapping(*profile_and_mapping(spark, sf_dir), with_offenders=False, own=OWN)
+    return found.filter("ordinal >= 6").drop("details")
+
+
 @query("mapping_offenders", _OFFENDERS_SQL)
 def _offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mapping_offenders(*profile_and_mapping(spark, sf_dir))
@@ -373,6 +395,31 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyed_differences(source, moved, ["o_orderkey"])
 
 
+@query("digest_tree_differences", """SELECT o_orderkey, 'o_totalprice' AS "column", CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR AS source, (CAST(o_totalprice AS DECIMAL(18,2)) + 1)::VARCHAR AS target FROM orders WHERE o_orderkey % 997 = 5
+  UNION ALL SELECT o_orderkey, '(row)', 'present', NULL FROM orders WHERE o_orderkey % 1009 = 8 AND o_orderkey % 997 <> 5""")
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few orders changed and few lost: only their ranges are compared row by row."""
+    key = F.col("o_orderkey")
+    source = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    changed = F.when(key % 997 == 5, (F.col("o_totalprice") + 1).cast("decimal(18,2)")).otherwise(F.col("o_totalprice"))
+    target = source.withColumn("o_totalprice", changed).filter((key % 1009 != 8) | (key % 997 == 5))
+    return R.tree_differences(source, target, ["o_orderkey"])
+
+
+@query("unequal_lineitem_ranges", "SELECT count(*) AS source_rows, count(*) AS target_rows, CAST(1 AS BIGINT) AS unequal_ranges, true AS few_rows FROM lineitem")
+def _one_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order's lines changed: one range differs, and it holds a small share of the rows."""
+    lines = table(spark, sf_dir, "lineitem")
+    last = F.broadcast(lines.agg(F.max("l_orderkey").alias("last")))  # one row
+    tax = F.when(F.col("last").isNotNull(), F.col("l_tax") + 1).otherwise(F.col("l_tax"))
+    target = lines.join(last, F.col("l_orderkey") == F.col("last"), "left").withColumn("l_tax", tax).drop("last")
+    root = R.digest_tree(lines, ["l_orderkey"]).filter("level = 0").select(F.col("rows").alias("source_rows"))
+    other = R.digest_tree(target, ["l_orderkey"]).filter("level = 0").select(F.col("rows").alias("target_rows"))
+    found = R.unequal_ranges(lines, target, ["l_orderkey"]).agg(F.count("*").alias("unequal_ranges"), F.sum("source_rows").alias("moved"))
+    one = [df.withColumn("_one", F.lit(1)) for df in (root, other, found)]
+    return one[0].join(one[1], "_one").join(one[2], "_one").select("source_rows", "target_rows", "unequal_ranges", (F.col("moved") * 100 < F.col("source_rows")).alias("few_rows"))
+
+
 @query("row_differences", """SELECT lang, source, n, count(*) FILTER (side = 1) AS source_copies, count(*) FILTER (side = 0) AS target_copies FROM
   (SELECT lang, source, n_chars % 50 AS n, 1 AS side FROM documents UNION ALL SELECT lang, source, CASE WHEN lang = 'fr' THEN n_chars % 49 ELSE n_chars % 50 END, 0 FROM documents)
   GROUP BY lang, source, n HAVING count(*) FILTER (side = 1) <> count(*) FILTER (side = 0)""")

@@ -133,3 +133,33 @@ def test_type_names(spark):
         Y.varchar_type(F.lit(9)).alias("d"), Y.varchar_type(F.lit(9000)).alias("e"), Y.tsql_type(F.lit("timestamp"), F.lit(1), F.lit(1), F.lit(1)).alias("f"),
         Y.hive_to_tsql(F.lit("DECIMAL(10,2)")).alias("g"), Y.warehouse_warning(F.lit("GEO")).alias("h")).first()
     assert tuple(row) == ("DECIMAL(10,2)", "DECIMAL(38,2)", "DECIMAL(38,10)", "VARCHAR(32)", "VARCHAR(8000)", "DATETIME2(6)", "decimal", "Tipo desconhecido: GEO")
+
+
+def test_integers_of_any_length_are_told_from_int(spark, rows_of):
+    profile = profile_of(spark, ("wide", "integer", "1", "9" * 60, False), ("edge", "integer", "-2147483648", "1", False), ("fits", "integer", "0", "2147483647", False))
+    mapping = mapping_of(spark, ("wide", "wide", "int"), ("edge", "edge", "int"), ("fits", "fits", "int"))
+    checks = {r["name"]: r for r in rows_of(M.check_mapping(profile, mapping))}
+    assert [o.split(":")[0] for o in checks["type_fits_data"]["offenders"]] == ["wide", "edge"]
+
+
+def test_own_checks_stand_beside_the_six(spark, rows_of):
+    own = M.OwnChecks()
+
+    @own.register("no_price", "no column is a price", "some column is a price")
+    def no_price(rows):
+        return rows.filter("name LIKE '%price%'").selectExpr("dataset", "position", "name AS offender")
+
+    own.register("nothing")(lambda rows: rows.filter("false").selectExpr("dataset", "position", "name AS offender"))
+    with pytest.raises(ValueError, match="already"):
+        own.register("no_price")
+    with pytest.raises(ValueError, match="already"):
+        own.register("valid_types")
+    profile = profile_of(spark, ("price", "decimal", "1", "9", False), ("id", "integer", "1", "9", False))
+    mapping = mapping_of(spark, ("price", "price", "decimal"), ("id", "id", "int"))
+    checks = rows_of(M.check_mapping(profile, mapping, own=own), "ordinal")
+    assert [(r["name"], r["status"], r["offenders"], r["details"]) for r in checks[6:]] == [
+        ("no_price", "failed", ["price"], "some column is a price"), ("nothing", "passed", [], "nothing: ok")]
+    assert M.pass_rates(profile, M.check_mapping(profile, mapping, own=own), ["dataset"]).first()["passed"] == 7
+    own.register("broken")(lambda rows: rows.select("dataset"))
+    with pytest.raises(ValueError, match="offender"):
+        M.check_mapping(profile, mapping, own=own)

@@ -66,3 +66,27 @@ def test_a_change_in_the_last_digit_diverges(spark):
     assert {r.verificacao for r in reconcile.reconcile(moved, plans, 2).filter("status = 'DIVERGE'").collect()} == {"min(a)", "max(a)"}
     nudged = loaded.withColumn("b", F.col("b") * 1.0000000000000002)
     assert "min(b)" in {r.verificacao for r in reconcile.reconcile(nudged, plans, 2).filter("status = 'DIVERGE'").collect()}
+
+
+def test_sketches_merge_to_the_estimate_of_all(spark):
+    rows = spark.range(30_000).selectExpr("CAST(id % 3 AS STRING) AS part", "'a' AS position", "CAST(id % 20000 AS STRING) AS cell")
+    parts = profile.distinct_sketches(rows, ["part", "position"])
+    whole = profile.distinct_estimates(profile.distinct_sketches(rows, ["position"]), ["position"]).first()["distinct_estimate"]
+    merged = profile.distinct_estimates(parts, ["position"]).first()["distinct_estimate"]
+    assert abs(merged - 20_000) <= 4 * profile.SKETCH_ERROR * 20_000 and abs(merged - whole) <= profile.SKETCH_ERROR * 20_000
+    blank = spark.createDataFrame([("a", " "), ("a", None)], "position string, cell string")
+    assert profile.distinct_estimates(profile.distinct_sketches(blank, ["position"]), ["position"]).first()["distinct_estimate"] == 0
+
+
+def test_a_digest_tree_sums_up_and_finds_the_range(spark):
+    source = spark.range(5000).selectExpr("id AS k", "CAST(id * 7 AS STRING) AS v")
+    target = source.withColumn("v", F.when(F.col("k") == 77, "x").otherwise(F.col("v"))).filter("k <> 4000")
+    tree = {(r.level, r.node): (r.rows, r.digest) for r in reconcile.digest_tree(source, ["k"], 256).collect()}
+    assert tree[0, 0][0] == 5000 and {level for level, _ in tree} == {0, 1, 2}
+    for (level, node), (rows, digest) in tree.items():
+        children = [v for (m, n), v in tree.items() if m == level + 1 and n // 16 == node]
+        assert level == 2 or (sum(c[0] for c in children), sum(c[1] for c in children)) == (rows, digest)
+    assert reconcile.unequal_ranges(source, target, ["k"], 256).count() == 2
+    found = sorted(map(tuple, reconcile.tree_differences(source, target, ["k"], 256).collect()))
+    assert found == sorted(map(tuple, reconcile.keyed_differences(source, target, ["k"]).collect())) == [(77, "v", "539", "x"), (4000, "(row)", "present", None)]
+    assert reconcile.tree_differences(source, source, ["k"]).count() == 0
