@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import cache
 
@@ -28,30 +29,36 @@ PRIVACY_HINTS = [
 ]
 
 
+@cache
+def _ascii_of() -> dict[str, str]:
+    """What the compatibility decomposition of every character outside ASCII leaves in ASCII, where it leaves any."""
+    found = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= code < 0xE000 and unicodedata.decomposition(chr(code)):
+            letters = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            if letters:
+                found[chr(code)] = letters
+    return found
+
+
 @cache
 def _accents() -> tuple[str, str]:
-    """Every character whose compatibility decomposition leaves one ASCII character, and that character."""
-    accented, plain = [], []
-    for code in range(0x80, 0x10000):
-        letter = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(letter) == 1:
-            accented.append(chr(code))
-            plain.append(letter)
-    return "".join(accented), "".join(plain)
+    """Every character that leaves one ASCII character, and that character."""
+    one = {c: letters for c, letters in _ascii_of().items() if len(letters) == 1}
+    return "".join(one), "".join(one.values())
 
 
 @cache
 def _signs() -> tuple[str, str]:
-    """Every character whose compatibility decomposition leaves several ASCII characters, and those, separated."""
-    found = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x10000)}
-    found = {c: letters for c, letters in found.items() if len(letters) > 1}
-    return "".join(found), "\x1f".join(found.values())
+    """Every character that leaves several ASCII characters, and those, separated."""
+    several = {c: letters for c, letters in _ascii_of().items() if len(letters) > 1}
+    return "\x1f".join(several), "\x1f".join(several.values())
 
 
 def without_accents(text: Column) -> Column:
     """ASCII letters only: accents go, signs like ™ and ligatures become their letters, other symbols are dropped."""
     signs, letters = _signs()
-    spelled = F.map_from_arrays(F.split(F.lit(signs), ""), F.split(F.lit(letters), "\x1f"))
+    spelled = F.map_from_arrays(F.split(F.lit(signs), "\x1f"), F.split(F.lit(letters), "\x1f"))
     plain = F.translate(text, *_accents())
     one_by_one = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
     return F.regexp_replace(F.when(plain.rlike(r"[^\x00-\x7f]"), one_by_one).otherwise(plain), r"[^\x00-\x7f]", "")

@@ -25,6 +25,25 @@ def call_cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out:
     return F.round(tokens_in / F.lit(1e6) * F.lit(price_in) + tokens_out / F.lit(1e6) * F.lit(price_out), 8)
 
 
+def worst_case_cost(tokens_in: Column, tier: Column, price_in: Column, price_out: Column) -> Column:
+    """US dollars a call can cost at most, known before it is made: all its input and the tier's whole output cap.
+
+    Without prices a dollar for a million input tokens is assumed. NULL for an unknown tier.
+    """
+    priced = tokens_in / F.lit(1e6) * price_in + tier_cap(tier) / F.lit(1e6) * price_out
+    unpriced = price_in.isNull() & price_out.isNull()
+    return F.when(tier_cap(tier).isNotNull(), F.round(F.when(unpriced, tokens_in / F.lit(1e6)).otherwise(priced), 8))
+
+
+def refusal(tokens_in: Column, tier: Column, worst_case: Column, left: Column) -> Column:
+    """Why a call must not be made, or NULL when it may: fails closed where the tier or the cost is unknown."""
+    return (
+        F.when(tier_cap(tier).isNull(), "unknown tier")
+        .when(tokens_in > tier_cap(tier, "input"), "input token cap exceeded")
+        .when(worst_case.isNull(), "unknown cost")
+        .when(left.isNull() | (worst_case > left), "worst case exceeds the budget"))
+
+
 def budget_violations(tokens_in: Column, tokens_out: Column, cost: Column) -> Column:
     """The exceeded limits joined by ``; ``, or NULL when the call is within all of them."""
     found = F.concat_ws(

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from plumbline.functions import names as N
 from plumbline.operators.cells import quoted
 
-# Flag kinds in reporting order, with their titles.
+# Flag kinds in reporting order, with their titles and what to do about them.
 FLAGS = [
-    ("column_names", "Nomes de coluna incompatíveis com Delta"),
-    ("duplicate_columns", "Colunas duplicadas (sem diferenciar maiúsculas)"),
-    ("malformed_rows", "Linhas com número de campos diferente do cabeçalho"),
-    ("identical_columns", "Colunas com conteúdo idêntico"),
-    ("mixed_types", "Colunas com tipos misturados"),
-    ("ambiguous_dates", "Datas ambíguas (dia/mês ou mês/dia)"),
-    ("encoding", "Arquivo fora de UTF-8"),
-    ("mostly_empty", "Colunas majoritariamente vazias"),
-    ("duplicate_rows", "Linhas duplicadas"),
+    ("column_names", "Nomes de coluna incompatíveis com Delta",
+     "Renomeie antes de migrar para Fabric ou Databricks; o plano de migração depende destes nomes."),
+    ("duplicate_columns", "Colunas duplicadas (sem diferenciar maiúsculas)", "Delta não diferencia maiúsculas: unifique ou renomeie."),
+    ("malformed_rows", "Linhas com número de campos diferente do cabeçalho",
+     "Estas linhas foram excluídas dos números acima; trate as métricas como incompletas."),
+    ("identical_columns", "Colunas com conteúdo idêntico",
+     "Confirme se uma delas é redundante antes de migrar; manter as duas duplica armazenamento e pode divergir."),
+    ("mixed_types", "Colunas com tipos misturados", "Defina o tipo de destino manualmente; o tipo inferido é ambíguo."),
+    ("ambiguous_dates", "Datas ambíguas (dia/mês ou mês/dia)",
+     "Todos os valores são válidos nas duas ordens; o perfil assumiu dia/mês (padrão brasileiro). "
+     "Confirme com o dono do dado: um erro aqui troca dia e mês sem gerar nenhuma falha."),
+    ("encoding", "Arquivo fora de UTF-8",
+     "O código de carga gerado já informa essa codificação. Se puder, exporte em UTF-8 para evitar surpresas."),
+    ("mostly_empty", "Colunas majoritariamente vazias", "Confirme se devem migrar; valide a regra de negócio com o dono do dado."),
+    ("duplicate_rows", "Linhas duplicadas",
+     "A reconciliação de contagem falhará se a origem e o destino tratarem duplicatas de forma diferente."),
 ]
 LISTED = 8
 MOSTLY_EMPTY = 0.5
@@ -120,7 +127,7 @@ def identical_columns(df: DataFrame, columns: DataFrame) -> DataFrame:
 
 def flags(columns: DataFrame, totals: DataFrame, identical: DataFrame | None = None,
           malformed: DataFrame | None = None, encodings: DataFrame | None = None) -> DataFrame:
-    """``(dataset, ordinal, kind, title, items, n_items)``: one row per flag raised, in reporting order.
+    """``(dataset, ordinal, kind, title, items, n_items, action)``: one row per flag raised, in reporting order.
 
     ``totals`` carries ``duplicate_rows``. ``malformed`` is ``(dataset, p, item)`` with line numbers, ``encodings``
     is ``(dataset, encoding)``.
@@ -145,13 +152,14 @@ def flags(columns: DataFrame, totals: DataFrame, identical: DataFrame | None = N
     rows = found[0].withColumn("n_items", F.lit(None).cast("long"))
     for other in found[1:]:
         rows = rows.unionByName(other, allowMissingColumns=True)
-    ordinal, title = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for i, (kind, text) in enumerate(FLAGS):
+    ordinal, title, action = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (kind, text, advice) in enumerate(FLAGS):
         ordinal = F.when(F.col("kind") == kind, i).otherwise(ordinal)
         title = F.when(F.col("kind") == kind, text).otherwise(title)
+        action = F.when(F.col("kind") == kind, advice).otherwise(action)
     rows = rows.withColumn("n_items", F.coalesce("n_items", F.size("items").cast("long")).cast("int"))
     return rows.select("dataset", ordinal.alias("ordinal"), "kind", title.alias("title"),
-                       listed(F.col("items"), F.col("n_items")).alias("items"), "n_items")
+                       listed(F.col("items"), F.col("n_items")).alias("items"), "n_items", action.alias("action"))
 
 
 def quality(columns: DataFrame, totals: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,25 @@ def portfolio_totals(totals: DataFrame) -> DataFrame:
         F.sum("empty_cells").alias("empty_cells"), F.sum("duplicate_rows").alias("duplicate_rows"))
 
 
+def portfolio_figures(datasets: DataFrame, flags: DataFrame, runs: DataFrame, hints: DataFrame) -> DataFrame:
+    """One row over a portfolio: ``datasets, rows, columns, bytes, alerts_total, hints_total, runs_total, cost_total``.
+
+    ``datasets`` holds ``(dataset, rows, columns, bytes)``, ``flags`` a row per alert, ``runs`` every run, best or not,
+    with its ``cost_usd``, and ``hints`` a row per column whose name suggests personal data.
+    """
+    def of(df: DataFrame, **figures: Column) -> DataFrame:
+        return df.agg(*[c.alias(n) for n, c in figures.items()]).withColumn("_one", F.lit(1))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).cast("long")
+
+    cost = F.coalesce(F.sum(F.coalesce("cost_usd", F.lit(0)).cast("decimal(28,8)")), F.lit(0)).cast("double")
+    parts = [of(datasets, datasets=F.count("*"), rows=total("rows"), columns=total("columns"), bytes=total("bytes")),
+             of(flags, alerts_total=F.count("*")), of(hints, hints_total=F.count("*")), of(runs, runs_total=F.count("*"), cost_total=cost)]
+    # One row each.
+    return reduce(lambda a, b: a.join(b, "_one"), parts).drop("_one")
+
+
 def economy_totals(economies: DataFrame) -> DataFrame:
     """Savings over decided runs, and the part that rests on a reported baseline."""
     decided = F.col("saving_hours").isNotNull()

@@ -73,6 +73,32 @@ def _malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.malformed_lines(spark, path, D.layout(spark, path)).select("text")
 
 
+@query("file_digests", "SELECT item_id, octet_length(encode(text)) + 1 AS bytes, sha256(text || chr(10)) AS sha256 FROM benchmark")
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each benchmark item, hashed line by line."""
+    path = fresh_path(spark, "items")
+    table(spark, sf_dir, "benchmark").select("text", F.col("item_id").alias("item")).repartition("item").write.partitionBy("item").text(path)
+    found = D.file_digests(spark, path)
+    return found.select(F.regexp_extract("path", "/item=([0-9]+)/", 1).cast("long").alias("item_id"), "bytes", "sha256")
+
+
+@query("file_flags", """WITH lines AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderkey) + 1 AS line FROM orders), bad AS (SELECT line, row_number() OVER (ORDER BY line) AS n, count(*) OVER () AS total FROM lines WHERE o_orderstatus = 'P')
+  SELECT 2 AS ordinal, 'malformed_rows' AS kind, string_agg('linha ' || line, ' | ' ORDER BY n) FILTER (n <= 8) || CASE WHEN max(total) > 8 THEN ' | … e mais ' || (max(total) - 8) ELSE '' END AS items, CAST(max(total) AS INTEGER) AS n_items,
+    'Estas linhas foram excluídas dos números acima; trate as métricas como incompletas.' AS action FROM bad HAVING count(*) > 0
+  UNION ALL SELECT 6, 'encoding', 'windows-1252', 1, 'O código de carga gerado já informa essa codificação. Se puder, exporte em UTF-8 para evitar surpresas.'""")
+def _file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as one windows-1252 file in which those with status P have a field too many."""
+    from plumbline.plans.intake import profile_file
+
+    path = fresh_path(spark, "orders-1252")
+    extra = F.when(F.col("o_orderstatus") == "P", F.lit("extra"))
+    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.lit(" preço")), extra)
+    rows = table(spark, sf_dir, "orders").select(line.alias("chave;prioridade"), "o_orderkey").repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey")
+    rows.drop("o_orderkey").write.option("header", True).option("sep", "\x01").option("quote", "\x00").option("encoding", "windows-1252").csv(path)
+    return profile_file(spark, path, "orders").flags.filter(F.col("kind").isin("malformed_rows", "encoding")).select(
+        "ordinal", "kind", F.concat_ws(" | ", "items").alias("items"), "n_items", "action")
+
+
 @query("content_hashes", "SELECT page_id, sha256(html) AS sha256, true AS utf8 FROM pages")
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.is_valid_utf8("html").alias("utf8"))

@@ -189,12 +189,15 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exported_mapping", """SELECT '''=' || o_orderkey AS source_column, CASE WHEN o_totalprice < 50000 THEN '''-' || o_orderstatus ELSE lower(o_orderstatus) END AS target_column,
   CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'int' END AS type, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'pending' END AS decision FROM orders""")
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.sources.delimited import export_mapping
+    """The mapping written as delimited files and read back."""
+    from plumbline.sources.delimited import write_mapping
 
     rows = table(spark, sf_dir, "orders").selectExpr(
         "concat('=', o_orderkey) AS source", "CASE WHEN o_totalprice < 50000 THEN concat('-', o_orderstatus) ELSE lower(o_orderstatus) END AS target",
         "'int' AS type", "o_orderpriority = '5-LOW' AS legacy", "o_orderstatus")
-    return export_mapping(rows, F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending"))
+    path = fresh_path(spark, "mapping-export")
+    write_mapping(rows, F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending"), path)
+    return spark.read.option("header", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").csv(path)
 
 
 # ---- loads --------------------------------------------------------------------------------------------------------

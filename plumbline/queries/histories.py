@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import names as N
 from plumbline.functions import spending as S
 from plumbline.functions import types as Y
 from plumbline.operators import flags as G
@@ -317,6 +318,8 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.decide(attempt_history(spark, sf_dir), ESTIMATES, POLICY).select("artifact_id", "attempt_no", "action", "next_tier", "candidates")
 
 
+HINTED_SQL = "SELECT 1 FROM supplier WHERE s_nationkey % 2 = 0"
+
 # ---- costs, budgets, tiers ----------------------------------------------------------------------------------------
 
 USAGE_SQL = "SELECT conv_id, turn, role, length(text) * 20 AS tin, length(text) * 7 AS tout, round(length(text) * 20 / 1e6 * 400.0 + length(text) * 7 / 1e6 * 800.0, 8) AS cost FROM conversations"
@@ -495,6 +498,29 @@ def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.portfolio_totals(all_totals(spark, sf_dir)[1])
 
 
+@query("portfolio_figures", f"""SELECT (SELECT count(*) FROM customer) AS datasets, (SELECT CAST(sum(c_custkey % 100) AS BIGINT) FROM customer) AS rows, (SELECT CAST(sum(1 + c_nationkey % 5) AS BIGINT) FROM customer) AS columns,
+  (SELECT CAST(sum(c_custkey * 1000) AS BIGINT) FROM customer) AS bytes, (SELECT count(*) FROM events WHERE event_type = 'error') AS alerts_total, (SELECT count(*) FROM ({HINTED_SQL})) AS hints_total,
+  count(*) AS runs_total, CAST(sum(CAST(cost_usd AS DECIMAL(28,8))) AS DOUBLE) AS cost_total FROM ({RUNS_SQL})""")
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datasets = table(spark, sf_dir, "customer").selectExpr("c_custkey AS dataset", "c_custkey % 100 AS rows", "1 + c_nationkey % 5 AS columns", "c_custkey * 1000 AS bytes")
+    alerts = table(spark, sf_dir, "events").filter("event_type = 'error'").selectExpr("user_id AS dataset", "event_type AS kind")
+    named = table(spark, sf_dir, "supplier").select(F.concat(F.when(F.col("s_nationkey") % 2 == 0, "telefone_").otherwise("codigo_"), F.col("s_suppkey").cast("string")).alias("name"))
+    hints = named.filter(N.privacy_hint(F.col("name")).isNotNull())
+    return Q.portfolio_figures(datasets, alerts, runs(spark, sf_dir), hints)
+
+
+@query("worst_case_costs", """WITH c AS (SELECT conv_id, turn, length(text) * 40 AS tin, ['daylight', 'horizon', 'twilight', 'nebula'][turn % 4 + 1] AS tier, conv_id % 3 = 0 AS unpriced FROM conversations),
+  w AS (SELECT *, CASE tier WHEN 'daylight' THEN 4000 WHEN 'horizon' THEN 8000 WHEN 'twilight' THEN 16000 END AS cap_in, CASE tier WHEN 'daylight' THEN 1200 WHEN 'horizon' THEN 2400 WHEN 'twilight' THEN 4800 END AS cap_out FROM c),
+  x AS (SELECT *, CASE WHEN cap_out IS NULL THEN NULL WHEN unpriced THEN round(tin / 1e6, 8) ELSE round(tin / 1e6 * 2.0 + cap_out / 1e6 * 8.0, 8) END AS worst FROM w)
+  SELECT conv_id, turn, round(worst, 6) AS worst_case, CASE WHEN cap_out IS NULL THEN 'unknown tier' WHEN tin > cap_in THEN 'input token cap exceeded' WHEN worst > 0.025 THEN 'worst case exceeds the budget' END AS refusal FROM x""")
+def _worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = F.get(F.array(*[F.lit(t) for t in ("daylight", "horizon", "twilight", "nebula")]), (F.col("turn") % 4).cast("int"))
+    price = lambda p: F.when(F.col("conv_id") % 3 != 0, F.lit(p))
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") * 40).alias("tin"), tier.alias("tier"))
+    told = calls.withColumn("worst", S.worst_case_cost(F.col("tin"), F.col("tier"), price(2.0), price(8.0)))
+    return told.select("conv_id", "turn", F.round("worst", 6).alias("worst_case"), S.refusal(F.col("tin"), F.col("tier"), F.col("worst"), F.lit(0.025)).alias("refusal"))
+
+
 @query("flag_frequency", f"""WITH c AS ({ALL_COLUMNS_SQL}) SELECT * FROM (SELECT 'mixed_types' AS kind, count(DISTINCT dataset) AS datasets FROM c WHERE type = 'mixed' UNION ALL SELECT 'ambiguous_dates', count(DISTINCT dataset) FROM c WHERE date_ambiguous
   UNION ALL SELECT 'mostly_empty', count(DISTINCT dataset) FROM c WHERE null_ratio > 0.5 UNION ALL SELECT 'duplicate_rows', count(*) FROM ({TOTALS_SQL}) WHERE duplicate_rows > 0) WHERE datasets > 0""")
 def _frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

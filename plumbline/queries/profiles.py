@@ -346,7 +346,7 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = P.profile_many(named)
     totals = P.dataset_totals(columns, P.duplicate_rows(named))
     raised = G.flags(columns, totals, G.identical_columns(rows, columns))
-    return raised.drop("title").withColumn("items", F.concat_ws(" | ", "items"))
+    return raised.drop("title", "action").withColumn("items", F.concat_ws(" | ", "items"))
 
 
 @query("flag_listing", """SELECT p_type AS dataset, CASE WHEN count(*) > 8 THEN string_agg(item, ' | ' ORDER BY rn) FILTER (rn <= 8) || ' | … e mais ' || (count(*) - 8)

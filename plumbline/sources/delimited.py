@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ SAMPLE_CHARACTERS = 16384
 UNDEFINED_BYTES = [0x81, 0x8D, 0x8F, 0x90, 0x9D]  # left open by windows-1252
 READER_ENCODINGS = {"utf-8": "UTF-8", "windows-1252": "windows-1252", "latin-1": "ISO-8859-1"}
 BAD_ROW = "_corrupt_record"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 class UnreadableFile(ValueError):
@@ -370,3 +374,49 @@ def export_mapping(mapping: DataFrame, decision: Column) -> DataFrame:
     return mapping.select(
         csv_safe(F.col("source")).alias("source_column"), csv_safe(F.col("target")).alias("target_column"),
         csv_safe(F.when(~F.col("legacy"), F.col("type"))).alias("type"), decision.alias("decision"))
+
+
+def write_mapping(mapping: DataFrame, decision: Column, path: str) -> None:
+    """The exported columns as delimited files with a header, every cell quoted; blank and missing cells are empty."""
+    rows = export_mapping(mapping, decision)
+    rows.na.fill("").write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, bytes, sha256)`` of files of any size: the lines of a file pass through one task in their order and
+    are hashed as they come, so no file is ever a value in memory. Spark lists no empty files; they have no row."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line"))
+    ordered = lines.repartition("path").sortWithinPartitions("path", "start", "id").select("path", "bytes", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size, digests, seen = None, 0, (), 0
+
+        def add(data: bytes | pa.Buffer) -> None:
+            for d in digests:
+                d.update(data)
+
+        def out() -> pa.RecordBatch:
+            # The reader leaves out a byte order mark and the last line end: the file's length tells what was there.
+            marked = seen < size
+            if seen + 3 * marked == size:
+                add(b"\n")
+            digest = digests[marked]
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], ["path", "bytes", "sha256"])
+
+        for batch in batches:
+            for name, length, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if name != file:
+                    if file is not None:
+                        yield out()
+                    file, size, digests, seen = name, length, (hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)), 0
+                else:
+                    add(b"\n")
+                own = line.as_buffer()
+                add(own)
+                seen += len(own) + 1
+        if file is not None:
+            yield out()
+
+    return ordered.mapInArrow(run, "path string, bytes long, sha256 string")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
+from plumbline.functions import spending as S
 from plumbline.functions import types as Y
 from plumbline.operators import load as L
 from plumbline.operators import mapping as M
@@ -163,3 +164,23 @@ def test_own_checks_stand_beside_the_six(spark, rows_of):
     own.register("broken")(lambda rows: rows.select("dataset"))
     with pytest.raises(ValueError, match="offender"):
         M.check_mapping(profile, mapping, own=own)
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    import unicodedata
+
+    names = ["\U0001d400\U0001d401 \U0001d7d8", "\U0001f110x", "café \U0001f600", "ﬁn™", "\U0002f800", "a\U0001d552b"]
+    expected = [unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(N.without_accents(F.col("n"))).collect()] == expected
+    assert [r[0] for r in df.select(N.snake_case(F.col("n"))).collect()][0] == "ab_0"
+
+
+def test_calls_are_refused_before_they_are_made(spark):
+    rows = [(1000, "daylight", 1.0, 2.0, 1.0), (1000, "daylight", None, None, 1.0), (9000, "daylight", 1.0, 2.0, 1.0), (10, "nebula", 1.0, 2.0, 1.0),
+            (1000, "daylight", 1.0, 2.0, 0.0033), (1000, "daylight", 1.0, None, 1.0), (1000, "daylight", 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "t long, tier string, pin double, pout double, left double").withColumn(
+        "worst", S.worst_case_cost(F.col("t"), F.col("tier"), F.col("pin"), F.col("pout")))
+    found = [(r.worst, r.no) for r in df.select("worst", S.refusal(F.col("t"), F.col("tier"), F.col("worst"), F.col("left")).alias("no")).collect()]
+    assert found == [(0.0034, None), (0.001, None), (0.0114, "input token cap exceeded"), (None, "unknown tier"), (0.0034, "worst case exceeds the budget"),
+                     (None, "unknown cost"), (0.0034, "worst case exceeds the budget")]

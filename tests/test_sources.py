@@ -214,3 +214,33 @@ def test_the_delimiter_is_looked_for_in_the_whole_sample(spark, tmp_path):
     path = tmp_path / "late.csv"
     path.write_text("a;b\n" + "x,y\n" * 210 + "1;2\n" * 2000, encoding="utf-8")
     assert D.layout(spark, str(path)).delimiter == ";"
+
+
+@pytest.mark.parametrize("content", [b"\n", b"abc", b"abc\n", b"a\r\nb\n\nc", b"\xef\xbb\xbfa;b\n1;2\n", b"\xef\xbb\xbfa", b"\xff\xfe\x00\n\x81", "é ü\n".encode("latin-1", "replace")])
+def test_files_are_hashed_line_by_line(spark, tmp_path, content):
+    (tmp_path / "f.csv").write_bytes(content)
+    (tmp_path / "empty.csv").touch()
+    r, = D.file_digests(spark, str(tmp_path)).collect()
+    assert (r.bytes, r.sha256) == (len(content), hashlib.sha256(content).hexdigest()) and r.path.endswith("/f.csv")
+
+
+def test_a_file_of_many_byte_ranges_is_hashed_as_one(spark, tmp_path):
+    lines = "".join(f"{i};{'x' * (i % 90)}\n" for i in range(60_000)).encode()
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes(lines + name.encode())
+    ranges, limit = "spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(ranges, str(len(lines) // 7))
+    spark.conf.set(limit, "1000")
+    try:
+        found = {r.path[-5:]: r.sha256 for r in D.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(ranges)
+        spark.conf.unset(limit)
+    assert found == {f"{n}.csv": hashlib.sha256(lines + n.encode()).hexdigest() for n in ("a", "b")}
+
+
+def test_an_exported_mapping_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b"', "=x", "int", False), ("c,d", None, "int", True)], "source string, target string, type string, legacy boolean")
+    D.write_mapping(rows, F.lit("pending"), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
+    assert sorted(set(text.splitlines())) == ['"a ""b""","\'=x","int","pending"', '"c,d","","","pending"', '"source_column","target_column","type","decision"']
