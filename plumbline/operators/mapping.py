@@ -11,13 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import names as N
 from plumbline.functions import types as Y
 from plumbline.operators.flags import in_order
-from plumbline.operators.ordered import running
 
 # The checks in order, with the detail shown when they pass and when they fail.
 CHECKS = [
@@ -218,35 +217,38 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
             other = (position, base, number)
         if other is not None:
             asking.append((other[0], other[1], other[2] + 1))
-    names = pd.DataFrame([(position, name) for name, (position, _, _) in held.items()], columns=["position", "unique"])
-    return names.assign(dataset=group["dataset"].iloc[0])[["dataset", "position", "unique"]]
+    names = {position: name for name, (position, _, _) in held.items()}
+    return pd.DataFrame({"rows": group["rows"], "unique": group["position"].map(names)})
 
 
-def unique_names(columns: DataFrame) -> DataFrame:
-    """``(dataset, position, base)`` to ``(dataset, position, unique)``: earlier columns keep their names.
+def with_unique_names(columns: DataFrame) -> DataFrame:
+    """Add ``unique`` to rows with ``(dataset, position, base)``: earlier columns keep their names.
 
     Names can only meet inside a family: the same name once trailing ``_<number>`` parts are cut off. Repeats are
-    numbered in blocks; only families in which a repeated name meets other names need their columns taken one after the
-    other. A family holds columns of one table, so its size is bounded by the width of a table.
+    numbered; only families in which a repeated name meets other names need their columns taken one after the other.
+    Rows are brought together once, by dataset: a dataset's rows are the columns of one table.
     """
-    named = columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", ""))
-    families = (
-        named.groupBy("dataset", "family", "base").agg(F.count("*").alias("times"))
-        .groupBy("dataset", "family").agg(F.count("*").alias("names"), F.max("times").alias("times"))
-        .filter("names > 1 AND times > 1").select("dataset", "family"))
-    free = named.join(families, ["dataset", "family"], "left_anti")
-    tangled = named.join(families, ["dataset", "family"], "left_semi")
+    names = columns.columns
+    same, family = Window.partitionBy("dataset", "base"), Window.partitionBy("dataset", "family")
+    told = (
+        columns.withColumn("family", F.regexp_replace("base", "(_[0-9]+)+$", "")).repartition("dataset")
+        .withColumn("times", F.count("*").over(same)).withColumn("turn", F.row_number().over(same.orderBy("position")))
+        .withColumn("tangled", (F.max("times").over(family) > 1) & (F.min("base").over(family) != F.max("base").over(family))))
     turn = F.col("turn")
-    block = F.floor(F.col("position") / 4096).cast("long")
-    simple = running(free, ["dataset", "base"], ["position"], block, sums={"turn": F.lit(1)}).select(
-        "dataset", "position",
-        F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn.cast("string"))).alias("unique"))
-    dataset_type = columns.schema["dataset"].dataType.simpleString()
-    settled = (
-        tangled.withColumn("position", F.col("position").cast("long")).groupBy("dataset", "family")
-        .applyInPandas(_settled, f"dataset {dataset_type}, position long, unique string")
-    )
-    return simple.select("dataset", F.col("position").cast("long").alias("position"), "unique").unionByName(settled)
+    simple = told.filter("NOT tangled").select(
+        *names, F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn.cast("string"))).alias("unique"))
+    # Whole rows go through as one value, whatever their types.
+    rows = told.filter("tangled").select("dataset", "family", F.col("position").cast("long").alias("position"), "base", F.struct(*names).alias("rows"))
+    kind = rows.schema["rows"].dataType
+    packed = rows.withColumn("rows", F.to_json("rows", {"ignoreNullFields": "false"}))
+    settled = packed.groupBy("dataset", "family").applyInPandas(_settled, "rows string, unique string")
+    return simple.unionByName(settled.select(F.from_json("rows", kind).alias("rows"), "unique").select("rows.*", "unique"))
+
+
+def unique_names(columns: DataFrame) -> DataFrame:
+    """``(dataset, position, base)`` to ``(dataset, position, unique)``; see ``with_unique_names``."""
+    named = with_unique_names(columns.select("dataset", "position", "base"))
+    return named.select("dataset", F.col("position").cast("long").alias("position"), "unique")
 
 
 def correct_mapping(profile: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,10 +258,8 @@ def correct_mapping(profile: DataFrame, mapping: DataFrame) -> tuple[DataFrame,
     spelled = F.coalesce(target.rlike(N.TARGET_NAME), F.lit(False))
     based = rows.withColumn("base", F.when(target.isNull(), N.snake_case(F.col("name")))
                             .when(~spelled, N.snake_case(target)).otherwise(target))
-    named = based.join(
-        unique_names(based.select("dataset", "position", "base")).withColumnRenamed("position", "u_position")
-        .withColumnRenamed("dataset", "u_dataset"),
-        (F.col("dataset") == F.col("u_dataset")) & (F.col("position") == F.col("u_position")))
+    named = with_unique_names(based.select(
+        "dataset", "position", "name", "type", "min", "max", "has_time", "target", "suggested", "base"))
     measured = (F.col("type"), F.col("min"), F.col("max"), F.col("has_time"))
     supported = F.coalesce(kind.isin(*Y.TARGET_TYPES), F.lit(False))
     typed = (
