@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(read(spark, sf_dir, "documents"), unit="sentence").drop("row")
+    return substrings.in_long_runs(substrings.repeats(read(spark, sf_dir, "documents"), unit="sentence")).drop("row")
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ Pieces end between two words whose hash is the smallest among those of ``REACH``
 give the same ends after ``REACH`` + 1 words, and a passage may lose the piece it begins or ends in. A piece below the
 minimum goes on to the end of the next one, the last one back to the start of the one before.
 
+Repeated units can be short, and documents share stock sentences: ``in_long_runs`` leaves only units in long repeated runs.
+
 Defined results: a null or empty text has no units. Units of fewer than ``min_words`` words and fewer than ``MIN_CHARS``
 characters are never removed. Null ids rank last; rows that share an id rank in the order they were read. Of repeated rows the first keeps its text. Units of
 any length are hashed whole. An empty table gives an empty result.
@@ -32,6 +34,9 @@ from plumbline.llm.tables import partitions, pick, small_batches, stored, type_o
 MIN_WORDS = 6
 #: Of a normalised unit; enough whatever the number of its words.
 MIN_CHARS = 30
+#: Characters of text that repeated units must cover in one go to be removed from a document by the registered query,
+#: and the characters between two units that don't part them.
+MIN_RUN, GAP = 150, 8
 #: Pairs of words on either side that the end of a piece is compared with.
 REACH = 3
 UNITS = {
@@ -143,6 +148,22 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
         "doc_id", "row", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
+def in_long_runs(spans: DataFrame, least: int = MIN_RUN, gap: int = GAP) -> DataFrame:
+    """The spans, in their own columns, that lie in a run of at least ``least`` characters: a stretch of one document that
+    spans cover with no more than ``gap`` characters between them.
+
+    A stock sentence that many documents share stays in all of them; a passage goes as a whole. The spans of one
+    document are brought together, not its text.
+    """
+    along = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("opens", F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0))
+    numbered = marked.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("row", "run")
+    long = numbered.withColumn("covered", F.max("end").over(whole) - F.min("start").over(whole)).filter(F.col("covered") >= least)
+    return long.select(*spans.columns)
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; offsets are those of the original."""
     out, at = [], 0
