@@ -67,6 +67,34 @@ def test_passages_of_short_sentences_and_inside_sentences(spark):
     assert {r.doc_id for r in found} == {3, 4, 5, 6}
 
 
+def test_only_spans_in_long_runs_are_left(spark):
+    rng = random.Random(5)
+    rows = [(d, d * 7, *sorted((a := rng.randint(0, 2000), a + rng.randint(10, 90))), None, 3) for d in range(8) for _ in range(rng.randint(0, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, row long, start int, end int, kept_doc_id long, kept_start int")
+    expected = []
+    for doc in range(8):
+        runs = []
+        for r in sorted(r for r in rows if r[0] == doc):
+            if runs and r[2] <= max(e[3] for e in runs[-1]) + substrings.GAP:
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        expected += [r for run in runs if max(e[3] for e in run) - run[0][2] >= 150 for r in run]
+    assert sorted(map(repr, map(tuple, substrings.in_long_runs(df, 150).collect()))) == sorted(map(repr, expected)) and expected
+    assert substrings.in_long_runs(df.limit(0)).count() == 0
+
+
+def test_stock_sentences_stay_and_passages_go(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passage, stock = ". ".join(words(11) for _ in range(5)) + ".", words(10) + "."
+    texts = [f"{words(30)}. {stock} {passage} {words(20)}.", f"{words(9)}. {stock} {words(25)}.", f"{words(12)}. {passage} {words(14)}. {stock}"]
+    found = substrings.in_long_runs(substrings.repeats(docs_of(spark, texts), unit="sentence")).collect()
+    assert {r.doc_id for r in found} == {2}
+    at = texts[2].index(passage)
+    assert covered(found, 2, at, at + len(passage)) > 0.9 and covered(found, 2, at + len(passage), len(texts[2])) < 0.2
+
+
 def test_few_long_words_are_a_unit(spark):
     texts = ["x" * 12 + " " + "y" * 20 + ".", "Other words. " + "x" * 12 + "\t" + "y" * 20 + ".", "a b c. d e", "a b c. d f"]
     found = substrings.repeats(docs_of(spark, texts), unit="sentence").collect()
