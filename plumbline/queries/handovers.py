@@ -232,15 +232,15 @@ def _typed_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.typed_projection(raw, plans).withColumn("balance", F.col("balance").cast("double"))
 
 
-@query("typed_load_lineitem", """SELECT order_id, part_id, quantity, CAST(price AS DOUBLE) AS price, CAST(shipped_on AS VARCHAR) AS shipped_on, shipped_at, count(*) AS n FROM
-  (SELECT l_orderkey AS order_id, CAST(l_partkey AS INTEGER) AS part_id, l_quantity AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_shipdate AS DATE) AS shipped_on,
-    strftime(l_shipdate, '%Y-%m-%d %H:%M:00') AS shipped_at FROM lineitem) GROUP BY ALL""")
+@query("typed_load_lineitem", """SELECT l_orderkey AS order_id, CAST(l_partkey AS INTEGER) AS part_id, CAST(l_suppkey AS INTEGER) AS supplier_id, CAST(l_linenumber AS INTEGER) AS line_no, l_quantity AS quantity,
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE) AS discount, CAST(CAST(l_tax AS DECIMAL(18,2)) AS DOUBLE) AS tax, l_returnflag AS return_flag,
+  CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linestatus END AS status, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped_on, strftime(l_shipdate, '%Y-%m-%d %H:%M:00') AS shipped_at FROM lineitem""")
 def _typed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, plans = planned(spark, sf_dir, "lineitem")
-    rows = L.typed_projection(raw, plans).select(
-        "order_id", "part_id", "quantity", F.col("price").cast("double").alias("price"), F.col("shipped_on").cast("string").alias("shipped_on"),
-        F.date_format("shipped_at", "yyyy-MM-dd HH:mm:ss").alias("shipped_at"))
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    rows = L.typed_projection(raw, plans)
+    return rows.withColumns({
+        "price": F.col("price").cast("double"), "discount": F.col("discount").cast("double"), "shipped_on": F.col("shipped_on").cast("string"),
+        "shipped_at": F.date_format("shipped_at", "yyyy-MM-dd HH:mm:ss")})
 
 
 @query("lost_values", """SELECT * FROM (SELECT 'order_id' AS target, CAST(0 AS BIGINT) AS lost UNION ALL SELECT 'customer_id', 0

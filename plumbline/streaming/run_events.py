@@ -123,9 +123,8 @@ def window_quota(spark: SparkSession, events: DataFrame, user: str, at: str, lat
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         before = written(own, f"{out}/newest/*", "batch int, newest timestamp").filter(F.col("batch") < batch_id)
-        # One row.
-        mark = before.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_mark"))
-        marked = batch.crossJoin(F.broadcast(mark)).withColumn("_late", F.coalesce(F.col(at) < F.col("_mark"), F.lit(False)))
+        mark = before.agg(F.max("newest") - F.expr(f"INTERVAL {late}")).first()[0]
+        marked = batch.withColumn("_late", F.coalesce(F.col(at) < F.lit(mark).cast("timestamp"), F.lit(False)))
         windows = marked.filter("NOT _late").groupBy(F.window(at, "24 hours", "1 hour").alias("w"), user).agg(F.count("*").alias("runs"))
         for name, rows in (("windows", windows.select(user, F.col("w.start").alias("window_start"), "runs")),
                            ("late", marked.filter("_late").select(*batch.columns)),
