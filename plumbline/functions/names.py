@@ -99,13 +99,22 @@ def csv_safe(cell: Column) -> Column:
     return F.when(F.left(text, F.lit(1)).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+def is_identifier(name: Column) -> Column:
+    """Whether a name may stand unquoted in generated statements; a line end after it does not pass."""
+    return F.coalesce(name.rlike(IDENTIFIER.replace("$", r"\z")), F.lit(False))
+
+
+def is_safe_path(path: Column) -> Column:
+    return F.coalesce(path.rlike(SAFE_PATH.replace("$", r"\z")), F.lit(False))
+
+
 def check_identifier(value: str, label: str) -> str:
-    if not re.match(IDENTIFIER, value or ""):
+    if not re.fullmatch(IDENTIFIER, value or ""):
         raise ValueError(f"{label}: use letters, digits and _, starting with a letter or _")
     return value
 
 
 def check_path(value: str) -> str:
-    if not re.match(SAFE_PATH, value or ""):
+    if not re.fullmatch(SAFE_PATH, value or ""):
         raise ValueError("path: use letters, digits and . _ / : @ - only")
     return value

@@ -93,6 +93,7 @@ def type_conflict(kind: Column, suggested: Column, low: Column, high: Column, ha
     named = F.coalesce(kind, F.lit("None"))
     is_a = F.concat(F.lit("a coluna é "), named)
     integral = suggested.isin("int", "bigint")
+    # The reasons, as they are shown.
     return (
         F.when(suggested.isin(*NUMERIC_TARGETS) & ~named.isin("integer", "decimal"), F.concat(is_a, F.lit(", não numérica")))
         .when(integral & (named == "decimal"), "há casas decimais que seriam perdidas")

@@ -278,6 +278,7 @@ def correct_mapping(profile: DataFrame, mapping: DataFrame) -> tuple[DataFrame,
 
     unique = F.col("unique")
     sentence = F.concat(F.upper(F.left("conflict", F.lit(1))), F.substr("conflict", F.lit(2)), F.lit("."))
+    # The reasons, as they are shown.
     changed = typed.select("dataset", "position", F.col("name").alias("column"), F.explode(F.array_compact(F.array(
         change(target.isNull(), 1, "destino", target, unique, F.lit("A coluna não tinha destino no mapeamento.")),
         change(target.isNotNull() & ~spelled, 1, "destino", target, unique, F.lit("Nome fora de [a-z_][a-z0-9_]*.")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import names as N
 from plumbline.operators.cells import as_text
 from plumbline.queries.profiles import text_table
 from plumbline.queries.registry import query, table
@@ -99,6 +100,18 @@ def _file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ordinal", "kind", F.concat_ws(" | ", "items").alias("items"), "n_items", "action")
 
 
+@query("safe_parameters", """WITH v AS (SELECT lower(p_brand) AS v FROM part UNION ALL SELECT 'T_' || p_partkey FROM part UNION ALL SELECT 't' || p_partkey || chr(10) FROM part UNION ALL SELECT url FROM pages UNION ALL SELECT NULL FROM region)
+  SELECT coalesce(regexp_full_match(v, '[A-Za-z_][A-Za-z0-9_]{0,127}'), false) AS identifier, coalesce(regexp_full_match(v, '[A-Za-z0-9_./:@ -]{1,300}'), false) AS path, count(*) AS n FROM v GROUP BY ALL""")
+def _safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands, made-up table names, the same with a line end, urls, and nothing."""
+    part, v = table(spark, sf_dir, "part"), "v"
+    key = F.col("p_partkey").cast("string")
+    values = part.select(F.lower("p_brand").alias(v)).unionByName(part.select(F.concat(F.lit("T_"), key).alias(v))).unionByName(
+        part.select(F.concat(F.lit("t"), key, F.lit("\n")).alias(v))).unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias(v))).unionByName(
+        table(spark, sf_dir, "region").select(F.lit(None).cast("string").alias(v)))
+    return values.groupBy(N.is_identifier(F.col(v)).alias("identifier"), N.is_safe_path(F.col(v)).alias("path")).agg(F.count("*").alias("n"))
+
+
 @query("content_hashes", "SELECT page_id, sha256(html) AS sha256, true AS utf8 FROM pages")
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.is_valid_utf8("html").alias("utf8"))

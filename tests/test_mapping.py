@@ -184,3 +184,13 @@ def test_calls_are_refused_before_they_are_made(spark):
     found = [(r.worst, r.no) for r in df.select("worst", S.refusal(F.col("t"), F.col("tier"), F.col("worst"), F.col("left")).alias("no")).collect()]
     assert found == [(0.0034, None), (0.001, None), (0.0114, "input token cap exceeded"), (None, "unknown tier"), (0.0034, "worst case exceeds the budget"),
                      (None, "unknown cost"), (0.0034, "worst case exceeds the budget")]
+
+
+@pytest.mark.parametrize("name, ok", [("t_1", True), ("t_1\n", False), ("1t", False), ("", False), ("a" * 128, True), ("a" * 129, False), ("a;b", False)])
+def test_identifiers_pass_or_are_refused_alike(spark, name, ok):
+    assert spark.createDataFrame([(name,)], "n string").select(N.is_identifier(F.col("n"))).first()[0] is ok
+    if ok:
+        assert N.check_identifier(name, "table") == name
+    else:
+        with pytest.raises(ValueError, match="table"):
+            N.check_identifier(name, "table")
