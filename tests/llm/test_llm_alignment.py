@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -117,13 +118,17 @@ def plain_alignment(texts):
         if not text or b"".join(own.a_bytes[i] for i in a) != raw or b"".join(own.b_bytes[i] for i in b) != raw:
             found.append(None)
             continue
-        spans = []
-        for ids, sizes in ((a, own.a_bytes), (b, own.b_bytes)):
-            ends = np.cumsum([len(sizes[i]) for i in ids]).tolist()
-            spans.append(list(zip([0, *ends], ends, ids)))
-        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        groups = ["|".join(",".join(str(i) for s, e, i in side if low <= s and e <= high) for side in spans) for low, high in zip([0, *cuts], cuts)]
-        links = [(i, j) for s, e, i in spans[0] for t, f, j in spans[1] if max(s, t) < min(e, f)]
+        # Byte by byte: which token of either side holds it.
+        sizes = [[len(own.a_bytes[i]) for i in a], [len(own.b_bytes[i]) for i in b]]
+        holders = [np.repeat(np.arange(len(n)), n).tolist() for n in sizes]
+        links = [(a[i], b[j]) for i, j in dict.fromkeys(zip(*holders))]
+        ends = [np.cumsum(n).tolist() for n in sizes]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for side, ids in enumerate((a, b)):
+            for i, end in zip(ids, ends[side]):
+                groups[bisect_left(cuts, end)][side].append(str(i))
+        groups = ["|".join(map(",".join, g)) for g in groups]
         counts.update(links)
         found.append((len(a), len(b), len(groups), links, ";".join(groups)))
     most = Counter()
