@@ -12,7 +12,7 @@ from plumbline.operators import flags as G
 from plumbline.operators import portfolio as Q
 from plumbline.operators import runs as H
 from plumbline.queries.profiles import ALL_COLUMNS_SQL, TEXT_TABLES, TOTALS_SQL, all_columns, all_totals, profile_sql, text_table, text_table_sql
-from plumbline.queries.registry import query, table
+from plumbline.queries.registry import query, spread, table
 from plumbline.session import fresh_path
 
 # ---- events as runs: a user is a run, an event type a step --------------------------------------------------------
@@ -116,7 +116,7 @@ def governed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = ", ".join(
         f"CASE WHEN {when} THEN named_struct('seq', {seq}, 'type', '{kind}', 'payload', to_json(named_struct({', '.join(f'{n!r}, {v}' for n, v in said.items())}))) END"
         for seq, kind, when, said in RUN_STEPS)
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS run_id", f"explode(array_compact(array({steps}))) AS e")
+    rows = spread(table(spark, sf_dir, "customer")).selectExpr("c_custkey AS run_id", f"explode(array_compact(array({steps}))) AS e")
     return rows.selectExpr("run_id", "e.seq AS seq", "e.type AS type", "run_id % 1000 + e.seq * 10 AS t_ms", "e.payload AS payload",
                            "timestampadd(MINUTE, e.seq, timestampadd(SECOND, CAST(run_id % 600 AS INT), TIMESTAMP '2024-01-01 00:00:00')) AS at")
 

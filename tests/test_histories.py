@@ -149,3 +149,9 @@ def test_overflow_finding(spark):
     assert [(r["check"], r["times"], r["example"][:10]) for r in failed.collect()] == [("type_fits_data", 2, "population"), ("valid_types", 1, "")]
     finding = Q.overflow_findings(failed).first()
     assert (finding["column"], finding["suggested"], finding["max"], finding["times"]) == ("population", "INT", "7761620146", 2)
+
+
+def test_one_file_of_customers_becomes_events_in_many_tasks(spark):
+    from plumbline.queries import histories
+
+    assert histories.governed_events(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
