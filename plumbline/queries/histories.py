@@ -38,12 +38,18 @@ def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.fold_events(run_events(spark, sf_dir), **STEPS)
 
 
-def parts_of(spark: SparkSession, parts: list[DataFrame], label: str) -> str:
-    """A folder of part files, written one after the other, so that a stream reads them in this order."""
+#: Rows of a part file, where a part has more than one.
+FILE_ROWS = 1_000_000
+
+
+def parts_of(spark: SparkSession, parts: list[DataFrame], label: str) -> tuple[str, int]:
+    """A folder of part files, written one after the other, so that a stream reads them in this order; and how many
+    files each part has, so that a batch is a part. The last part may have fewer."""
     folder = fresh_path(spark, label)
+    files = 1 + min(part.count() for part in parts[:-1]) // FILE_ROWS
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(folder)
+    return folder, files
 
 
 @query("run_folds_streamed", FOLD_SQL)
@@ -74,8 +80,8 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming import run_events as R
 
     events = table(spark, sf_dir, "events")
-    folder = parts_of(spark, [events.filter(F.col("event_id") % 3 == i).select("user_id", "ts") for i in range(3)], "events-in-parts")
-    windows, late = R.window_quota(spark, R.stream_table(spark, folder, 1), "user_id", "ts", "240 hours")
+    folder, files = parts_of(spark, [events.filter(F.col("event_id") % 3 == i).select("user_id", "ts") for i in range(3)], "events-in-parts")
+    windows, late = R.window_quota(spark, R.stream_table(spark, folder, files), "user_id", "ts", "240 hours")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("at")
     return windows.select(F.lit("window").alias("kind"), "user_id", shown("window_start"), F.col("runs").alias("n")).unionByName(
         late.groupBy("user_id", shown("ts")).agg(F.count("*").alias("n")).select(F.lit("late").alias("kind"), "user_id", "at", "n"))
@@ -89,8 +95,8 @@ def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = text_table(spark, sf_dir, "customer")
     part = F.pmod(F.xxhash64("c_custkey"), F.lit(5))
-    folder = parts_of(spark, [rows.filter(part == i) for i in range(5)], "customers-in-parts")
-    found = arriving_profile(spark, stream_table(spark, folder, 1), "customer", merge_every=2)
+    folder, files = parts_of(spark, [rows.filter(part == i) for i in range(5)], "customers-in-parts")
+    found = arriving_profile(spark, stream_table(spark, folder, files), "customer", merge_every=2)
     return found.profile().drop("out_of_range", "fingerprint")
 
 
@@ -150,8 +156,8 @@ def _run_rows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = table(spark, sf_dir, "customer").agg(F.max("c_custkey").cast("long").alias("run_id")).selectExpr(
         "-1 - run_id AS run_id", "1 AS seq", "'done' AS type", "CAST(0 AS BIGINT) AS t_ms", "'{}' AS payload", "TIMESTAMP '2025-01-01 00:00:00' AS at")
     columns = [F.col(f.name).cast(f.dataType) for f in events.schema]
-    folder = parts_of(spark, [*parts, later.select(*columns)], "governed-events")
-    rows, _ = R.closed_runs(spark, R.stream_table(spark, folder, 1))
+    folder, files = parts_of(spark, [*parts, later.select(*columns)], "governed-events")
+    rows, _ = R.closed_runs(spark, R.stream_table(spark, folder, files))
     return rows.filter("run_id >= 0")
 
 

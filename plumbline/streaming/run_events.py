@@ -109,29 +109,39 @@ def closed_runs(spark: SparkSession, events: DataFrame, at: str = "at", idle: st
     return written(spark, f"{out}/data/*", _schema_of(rows, "batch int")).drop("batch"), open_runs
 
 
+#: Hourly counts that one task turns into windows, 24 rows each.
+HOURS_OF_A_TASK = 50_000
+
+
 def window_quota(spark: SparkSession, events: DataFrame, user: str, at: str, late: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """``(user, window_start, runs)``: runs per user over 24 hours, a window starting every hour; and the late events.
 
     An event is late when it lies more than ``late`` behind the newest event of the batches before its own. Late
-    events are in no window but kept, so windows and late events add up to all events. Each batch writes its counts,
-    its late events and its newest time to folders of its own: a repeated batch replaces itself.
+    events are in no window but kept, so windows and late events add up to all events. Each batch writes its counts
+    by hour, its late events and its newest time to folders of its own: a repeated batch replaces itself. Hours become
+    windows at the end, in tasks of a bounded number of rows.
     """
     out = fresh_path(spark, "quota")
     timed = events.withColumn(at, F.col(at).cast("timestamp"))
-    counted = f"`{user}` {timed.schema[user].dataType.simpleString()}, window_start timestamp, runs long"
+    counted = f"`{user}` {timed.schema[user].dataType.simpleString()}, hour timestamp, runs long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         before = written(own, f"{out}/newest/*", "batch int, newest timestamp").filter(F.col("batch") < batch_id)
         mark = before.agg(F.max("newest") - F.expr(f"INTERVAL {late}")).first()[0]
         marked = batch.withColumn("_late", F.coalesce(F.col(at) < F.lit(mark).cast("timestamp"), F.lit(False)))
-        windows = marked.filter("NOT _late").groupBy(F.window(at, "24 hours", "1 hour").alias("w"), user).agg(F.count("*").alias("runs"))
-        for name, rows in (("windows", windows.select(user, F.col("w.start").alias("window_start"), "runs")),
+        hours = marked.filter("NOT _late").groupBy(F.window(at, "1 hour").alias("w"), user).agg(F.count("*").alias("runs"))
+        for name, rows in (("hours", hours.select(user, F.col("w.start").alias("hour"), "runs")),
                            ("late", marked.filter("_late").select(*batch.columns)),
                            ("newest", batch.agg(F.lit(batch_id).alias("batch"), F.max(at).alias("newest")))):
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
     query = (timed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    windows = written(spark, f"{out}/windows/*", counted).groupBy(user, "window_start").agg(F.sum("runs").alias("runs"))
+    hours = written(spark, f"{out}/hours/*", counted)
+    tasks = 1 + hours.count() // HOURS_OF_A_TASK
+    # A user's hours are few once counted; windows start every hour, so an hour lies in the same windows as its events.
+    by_user = hours.groupBy(user, "hour").agg(F.sum("runs").alias("runs")).repartition(tasks, user)
+    each = by_user.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    windows = each.groupBy(user, F.expr("hour - make_dt_interval(0, back)").alias("window_start")).agg(F.sum("runs").alias("runs"))
     return windows, written(spark, f"{out}/late/*", _schema_of(timed))

@@ -81,3 +81,23 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
         grown.add(batches[i], i)
     whole = P.profile(spark.createDataFrame([r for b in ROWS for r in b], COLUMNS), "t").orderBy("position").collect()
     assert grown.profile().orderBy("position").collect() == whole and grown.upto() == 2
+
+
+def test_hours_become_windows_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "HOURS_OF_A_TASK", 2)
+    rows = [("a", at(m)) for m in (0, 1, 59, 60, 1440)] + [("b", at(30))]
+    windows, late = R.window_quota(spark, R.stream_table(spark, parts(spark, tmp_path, "u string, at timestamp", rows[:3], rows[3:]), 1), "u", "at", "100 hours")
+    found = {(r.u, r.window_start): r.runs for r in windows.collect()}
+    starts = {(u, at(60 * h)) for u, t in rows for h in range(-23, 25) if at(60 * h) <= t < at(60 * (h + 24))}
+    assert found == {(u, s): sum(v == u and s <= t < s + dt.timedelta(hours=24) for v, t in rows) for u, s in starts} and late.count() == 0
+    assert windows.rdd.getNumPartitions() == 3
+
+
+def test_a_part_of_several_files_is_one_batch(spark, monkeypatch):
+    from plumbline.queries import histories
+
+    monkeypatch.setattr(histories, "FILE_ROWS", 10)
+    rows = [spark.createDataFrame([("u", at(k * 1000 + i)) for i in range(n)], "u string, at timestamp") for k, n in ((3, 40), (2, 25), (1, 2))]
+    folder, files = histories.parts_of(spark, rows, "several")
+    windows, late = R.window_quota(spark, R.stream_table(spark, folder, files), "u", "at", "1 hour")
+    assert files == 3 and late.count() == 27 and windows.agg(F.sum("runs")).first()[0] == 24 * 40
