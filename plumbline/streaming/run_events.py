@@ -65,48 +65,72 @@ def folded_runs(spark: SparkSession, events: DataFrame, **fold: object) -> DataF
     return rows.withColumn("_turn", F.row_number().over(latest)).filter("_turn = 1").drop("_turn", "batch")
 
 
-def closed_runs(spark: SparkSession, events: DataFrame, at: str = "at", idle: str = "1 hour", late: str = "10 minutes") -> tuple[DataFrame, int]:
+#: Runs share this many states, so that a batch calls Python once a state and not once a run.
+STATES = 1024
+
+
+def closed_runs(spark: SparkSession, events: DataFrame, at: str = "at", idle: str = "1 hour", late: str = "10 minutes",
+                states: int = STATES) -> tuple[DataFrame, int]:
     """The row of every run that has ended, and how many runs are still open.
 
-    A run ends with its closing event, or when nothing was heard of it for ``idle`` beyond the watermark; its state,
-    one payload for each event type, is dropped then. ``events`` is ``(run_id, seq, type, t_ms, payload, <at>)``, in
-    order for each run; events after the closing one start a run anew.
+    A run ends with its closing event, or when nothing was heard of it for ``idle`` beyond the watermark; what is kept
+    of it, one payload for each event type, is dropped then. ``events`` is ``(run_id, seq, type, t_ms, payload, <at>)``,
+    in order for each run; events after the closing one start a run anew. Runs are dealt into ``states`` by their hash;
+    a state holds its open runs, each with a time of its own at which it ends.
     """
     out = fresh_path(spark, "closed-runs")
-    run_type = events.schema["run_id"].dataType.simpleString()
+    run_type = events.schema["run_id"].dataType
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     fields = [f"last_{t.replace('.', '_')}" for t in EVENT_TYPES]
-    folded = f"run_id {run_type}, events long, elapsed_ms long, " + ", ".join(f"{f} string" for f in fields)
+    folded = "run_id string, events long, elapsed_ms long, " + ", ".join(f"{f} string" for f in fields)
+    columns = ["run_id", "events", "elapsed_ms", *fields, "opened"]
+
+    def whole(number: float | None) -> int:
+        return 0 if number is None or number != number else int(number)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        heard = json.loads(state.get[0]) if state.exists else {"events": 0, "elapsed": 0, "last": {}, "at": 0, "closed": False}
+        runs = dict(json.loads(state.get[0])) if state.exists else {}
+        before, heard_now = len(runs), set()
         if not state.hasTimedOut:
             for batch in batches:
-                for row in batch.sort_values("seq").itertuples(index=False):
-                    heard["closed"] |= row.type == CLOSING
-                    heard["at"] = max(heard["at"], int(row.at_ms))
-                    if row.type in PASSING:
+                rows = batch.sort_values("seq", kind="stable")
+                for run_id, seq, kind, t_ms, payload, at_ms in zip(*(rows[c].tolist() for c in ("run_id", "seq", "type", "t_ms", "payload", "at_ms"))):
+                    heard_now.add(run_id)
+                    heard = runs.setdefault(run_id, {"events": 0, "elapsed": 0, "last": {}, "at": 0, "closed": False})
+                    heard["closed"] |= kind == CLOSING
+                    heard["at"] = max(heard["at"], whole(at_ms))
+                    if kind in PASSING:
                         continue
                     heard["events"] += 1
-                    heard["elapsed"] = max(heard["elapsed"], int(row.t_ms or 0))
-                    if heard["last"].get(row.type, [-1])[0] <= row.seq:
-                        heard["last"][row.type] = [int(row.seq), row.payload]
-        if heard["closed"] or state.hasTimedOut:
-            if state.exists:
-                state.remove()
-            last = [heard["last"].get(t, [0, None])[1] for t in EVENT_TYPES]
-            yield pd.DataFrame([[key[0], heard["events"], heard["elapsed"], *last]], columns=["run_id", "events", "elapsed_ms", *fields])
-        else:
-            state.update((json.dumps(heard),))
-            state.setTimeoutTimestamp(max(heard["at"], state.getCurrentWatermarkMs()) + idle_ms)
-
+                    heard["elapsed"] = max(heard["elapsed"], whole(t_ms))
+                    if heard["last"].get(kind, [-1])[0] <= seq:
+                        heard["last"][kind] = [int(seq), payload]
+        mark = state.getCurrentWatermarkMs()
+        for run_id in heard_now:
+            runs[run_id]["ends"] = max(runs[run_id]["at"], mark) + idle_ms
+        ended = [r for r, heard in runs.items() if heard["closed"] or (r not in heard_now and heard["ends"] < mark)]
+        rows = []
+        for run_id in ended:
+            heard = runs.pop(run_id)
+            rows.append([run_id, heard["events"], heard["elapsed"], *[heard["last"].get(t, [0, None])[1] for t in EVENT_TYPES], None])
+        if runs:
+            state.update((json.dumps(list(runs.items())),))
+            state.setTimeoutTimestamp(max(mark, min(heard["ends"] for heard in runs.values())))
+        elif state.exists:
+            state.remove()
+        # Besides the ended runs, by how many the open ones have become more.
+        rows.append([*[None] * (len(columns) - 1), len(runs) - before])
+        yield pd.DataFrame(rows, columns=columns).astype({"events": "Int64", "elapsed_ms": "Int64", "opened": "Int64"})
+
+    # Runs go through as text, whatever their type, so that no missing one makes numbers inexact.
     timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(
-        "run_id", "seq", "type", "t_ms", "payload", F.unix_millis(at).alias("at_ms"), at)
-    kept = timed.groupBy("run_id").applyInPandasWithState(step, folded, "heard string", "append", GroupStateTimeout.EventTimeTimeout)
-    rows = run_rows(kept)
-    progress = _run_to_end(rows, out, "append")
-    open_runs = sum(s["numRowsTotal"] for s in progress["stateOperators"])
-    return written(spark, f"{out}/data/*", _schema_of(rows, "batch int")).drop("batch"), open_runs
+        F.col("run_id").cast("string").alias("run_id"), "seq", "type", "t_ms", "payload", F.unix_millis(at).alias("at_ms"), at,
+        F.pmod(F.xxhash64("run_id"), F.lit(states)).alias("state"))
+    kept = timed.groupBy("state").applyInPandasWithState(step, f"{folded}, opened long", "heard string", "append", GroupStateTimeout.EventTimeTimeout)
+    _run_to_end(kept, out, "append")
+    found = written(spark, f"{out}/data/*", _schema_of(kept, "batch int"))
+    open_runs = found.agg(F.sum("opened")).first()[0] or 0
+    return run_rows(found.filter("opened IS NULL").withColumn("run_id", F.col("run_id").cast(run_type))), open_runs
 
 
 #: Hourly counts that one task turns into windows, 24 rows each.

@@ -83,6 +83,18 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     assert grown.profile().orderBy("position").collect() == whole and grown.upto() == 2
 
 
+def test_runs_that_share_a_state_end_each_at_their_time(spark, tmp_path):
+    def said(run, seq, kind, minute):
+        return (run, seq, kind, seq, '{"message":"m%d"}' % seq, at(minute))
+
+    first = [said(f"r{i}", 1, "error", i) for i in range(40)] + [said(None, 1, "error", 1)]
+    second = [said("r0", 2, "error", 85), *[said(f"r{i}", 2, "done", 80) for i in range(20, 40)], said("far", 1, "error", 95)]
+    folder = parts(spark, tmp_path, EVENTS, first, second)
+    rows, open_runs = R.closed_runs(spark, R.stream_table(spark, folder, 1), states=3)
+    # The watermark ends at minute 85: runs last heard of before minute 25 are over, but for the one that went on.
+    assert {r.run_id: (r.events, r.error) for r in rows.collect()} == {**{f"r{i}": (1, "m1") for i in range(1, 40)}, None: (1, "m1")} and open_runs == 2
+
+
 def test_hours_become_windows_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "HOURS_OF_A_TASK", 2)
     rows = [("a", at(m)) for m in (0, 1, 59, 60, 1440)] + [("b", at(30))]
