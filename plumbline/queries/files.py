@@ -9,7 +9,7 @@ from plumbline.functions import names as N
 from plumbline.operators.cells import as_text
 from plumbline.queries.profiles import text_table
 from plumbline.queries.registry import query, table
-from plumbline.session import fresh_path
+from plumbline.session import fresh_path, kept_in_order
 from plumbline.sources import delimited as D
 
 
@@ -94,8 +94,9 @@ def _file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "orders-1252")
     extra = F.when(F.col("o_orderstatus") == "P", F.lit("extra"))
     line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.lit(" preço")), extra)
-    rows = table(spark, sf_dir, "orders").select(line.alias("chave;prioridade"), "o_orderkey").repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey")
-    rows.drop("o_orderkey").write.option("header", True).option("sep", "\x01").option("quote", "\x00").option("encoding", "windows-1252").csv(path)
+    rows = table(spark, sf_dir, "orders").select(line.alias("chave;prioridade"), "o_orderkey").orderBy("o_orderkey").drop("o_orderkey")
+    # Sorted by all tasks; the one that writes the file takes range after range as they are kept.
+    kept_in_order(rows).coalesce(1).write.option("header", True).option("sep", "\x01").option("quote", "\x00").option("encoding", "windows-1252").csv(path)
     return profile_file(spark, path, "orders").flags.filter(F.col("kind").isin("malformed_rows", "encoding")).select(
         "ordinal", "kind", F.concat_ws(" | ", "items").alias("items"), "n_items", "action")
 

@@ -244,3 +244,16 @@ def test_an_exported_mapping_reads_back(spark, tmp_path):
     D.write_mapping(rows, F.lit("pending"), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
     assert sorted(set(text.splitlines())) == ['"a ""b""","\'=x","int","pending"', '"c,d","","","pending"', '"source_column","target_column","type","decision"']
+
+
+def test_one_file_is_written_from_ranges_in_order_without_sorting(spark, tmp_path, capsys):
+    from plumbline.session import kept_in_order
+
+    rows = kept_in_order(spark.range(1000).selectExpr("cast(999 - id as string) AS value", "999 - id AS n").repartitionByRange(7, "n").sortWithinPartitions("n").drop("n"))
+    assert rows.rdd.getNumPartitions() > 1
+    one = rows.coalesce(1)
+    one.explain()
+    assert "Sort" not in capsys.readouterr().out
+    one.write.text(str(tmp_path / "one"))
+    files = list((tmp_path / "one").glob("part-*"))
+    assert len(files) == 1 and files[0].read_text().split() == [str(i) for i in range(1000)]
