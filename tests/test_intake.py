@@ -5,6 +5,7 @@ from plumbline.operators import flags as G
 from plumbline.operators import profile as P
 from plumbline.operators.profile import profile
 from plumbline.plans.intake import profile_file, profile_table
+from plumbline.queries.registry import read_evenly, spread
 from plumbline.sources import delimited as D
 
 
@@ -230,3 +231,26 @@ def test_many_malformed_lines_are_counted_and_the_first_listed(spark, tmp_path):
     found = intake(spark, tmp_path, "a,b\n" + "".join(f"{i},x{',y' if i % 2 else ''}\n" for i in range(60)))
     flag = found.flags.filter("kind = 'malformed_rows'").first()
     assert flag["n_items"] == 30 and flag["items"] == [f"linha {n}" for n in range(3, 19, 2)] + ["… e mais 22"]
+
+
+def test_measures_of_values_need_no_sort(spark):
+    """Largest and smallest keys are texts; all distinct values would be sorted by column if only plain aggregates held them."""
+    rows = spark.createDataFrame([("a", 0, v) for v in ("1", "true", "2024-01-05", None, "1.234", "1,5", "2.5", "x")], "dataset string, position int, cell string")
+    values = P.dictionary(rows, P.KEYS)
+    found = P.column_measures(P.classified(values), P.KEYS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert found.first()["kinds"] == 127
+    empty = P.column_measures(P.classified(P.dictionary(rows.filter("cell IS NULL"), P.KEYS)), P.KEYS).first()
+    assert (empty["kinds"], empty["nulls"]) == (0, 1)
+
+
+def test_tables_read_in_even_parts_are_left_together(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    even, one = str(tmp_path / "even"), str(tmp_path / "one")
+    spark.range(0, 8000, 1, cores).write.parquet(even)
+    spark.range(0, 8000, 1, 1).write.parquet(one)
+    assert read_evenly(spark.read.parquet(even), cores) and not read_evenly(spark.read.parquet(one), cores)
+    assert spread(spark.read.parquet(one)).rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in spread(spark.read.parquet(one)).collect()) == list(range(8000))
+    assert read_evenly(spark.read.parquet(one).filter("id < 0"), cores)  # nothing to spread
