@@ -90,3 +90,13 @@ def test_a_digest_tree_sums_up_and_finds_the_range(spark):
     found = sorted(map(tuple, reconcile.tree_differences(source, target, ["k"], 256).collect()))
     assert found == sorted(map(tuple, reconcile.keyed_differences(source, target, ["k"]).collect())) == [(77, "v", "539", "x"), (4000, "(row)", "present", None)]
     assert reconcile.tree_differences(source, source, ["k"]).count() == 0
+
+
+def test_keys_are_worked_out_once_a_spelling(spark):
+    rows = spark.createDataFrame([(v,) for v in ("1e3", "1000", "1e3", None, " 1e3", "007", "7")], "v string")
+    column = {"dataset": "t", "position": 0, "name": "v", "number_style": "us"}
+    found = profile.number_key_counts({"t": rows}, [column])
+    assert [tuple(r) for r in found.collect()] == [("t", 0, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Lines go from the result to the input: the key is worked out above an aggregate by spelling.
+    assert plan.index("regexp_replace") < plan.rindex("Aggregate")
