@@ -210,3 +210,16 @@ def test_names_of_long_texts_cost_no_look_through_all_signs_for_each_character(s
     assert [r.s for r in df.collect()] == [expected(n) for n in names]
     df.explain("extended")
     assert "element_at" not in capsys.readouterr().out
+
+
+def test_tasks_take_parts_of_a_bounded_size(spark):
+    """Sorts of a join and of windows hold their rows many times over, so small shuffle parts are not made into large ones."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    rows = spark.range(0, 600_000, 1, 8).selectExpr("id AS dataset", "sha2(CAST(id AS STRING), 256) AS base")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        # More than 16 MB of digests, which would be one part of the 64 MB that Spark asks for by itself.
+        parts = rows.repartition("dataset").groupBy(F.spark_partition_id().alias("part")).agg(F.max("base").alias("last"))
+        assert len(parts.collect()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
